@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import token_index
+from . import mixing, sharding, token_index
 from .common import table
 
 
@@ -18,5 +19,27 @@ def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_token_index": op1_token_index}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell, tokens, raked weight, probability and draw of every document."""
+    rows = mixing.mix(table(spark, sf_dir, "documents"))
+    null = lambda c: F.when(F.col(c) != "\0", F.col(c))
+    return rows.select(
+        "doc_id",
+        null("_mix_source").alias("source"),
+        null("_mix_lang").alias("lang"),
+        null("_mix_topic").alias("topic"),
+        F.col("_mix_tokens").cast("long").alias("n_tokens"),
+        F.col("_mix_weight").alias("weight"),
+        F.col("_mix_probability").alias("probability"),
+        F.col("_mix_kept").alias("kept"),
+    )
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 shards of near equal bytes; documents of equal text stay together."""
+    out = sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_index, op9_mixing, op10_sharding)}
 ORACLES: dict[str, str] = {}
