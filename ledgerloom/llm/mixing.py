@@ -55,21 +55,20 @@ def tempered(cells: DataFrame, margin: str, temper: float) -> DataFrame:
     return by.join(F.broadcast(total)).select(margin, (F.col("share") / F.col("total")).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12, cut_every: int = 2) -> DataFrame:
-    """Add ``raked``: the cell's tokens (as a share of all) scaled to the target margins."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 8) -> DataFrame:
+    """Add ``raked``: the cell's tokens (as a share of all) scaled to the target margins. Each step
+    is written before the next, as it reads its input twice."""
     total = cells.agg(F.sum("tokens").alias("total"))
-    out = cells.join(F.broadcast(total)).withColumn("raked", F.col("tokens") / F.col("total")).drop("total")
-    for k in range(rounds):
+    out = materialize(cells.join(F.broadcast(total)).withColumn("raked", F.col("tokens") / F.col("total")).drop("total"))
+    for _ in range(rounds):
         for margin in MARGINS:
             now = out.groupBy(margin).agg(F.sum("raked").alias("now"))
             scale = now.join(targets[margin], margin, "left").select(margin, F.when(F.col("now") > 0, F.coalesce("share", F.lit(0.0)) / F.col("now")).otherwise(0.0).alias("scale"))
-            out = out.join(scale, margin).withColumn("raked", F.col("raked") * F.col("scale")).drop("scale")
-        if (k + 1) % cut_every == 0:
-            out = materialize(out)
+            out = materialize(out.join(scale, margin).withColumn("raked", F.col("raked") * F.col("scale")).drop("scale"))
     return out
 
 
-def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, temper: float = 0.8, seed: int = 0, rounds: int = 12) -> DataFrame:
+def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, temper: float = 0.8, seed: int = 0, rounds: int = 8) -> DataFrame:
     """Every document with ``_mix_weight`` (raked over counted tokens), ``_mix_probability`` and
     ``_mix_kept``, besides its cell and tokens. ``targets``: by margin name (source, lang, topic)."""
     rows = with_cells(docs, topic)

@@ -35,11 +35,15 @@ MASK = (1 << 64) - 1
 class WordEncoder:
     """Encodes whole texts with a tokenizer that drops white space, word by word.
 
-    No token of such a tokenizer spans a space, so the ids of a text are those of its
-    space-separated words; each distinct word is encoded once and kept, up to ``keep`` words.
+    No token of such a tokenizer spans a space, nor the place between a letter and other signs
+    than an apostrophe, and capitals don't matter to it. So the ids of a text are those of its
+    pieces between such places; each distinct piece is encoded once and kept, up to ``keep``
+    pieces. Texts with the opening of a special token go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, dtype, keep: int = 200_000):
+    SPECIAL, LETTER_THEN_SIGNS = "<|", r"([a-zß-öø-ÿ])([.,!?;:#$%&*)(\-]+)"
+
+    def __init__(self, path: str, dtype, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -49,15 +53,26 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts back to back, and the number of ids of each."""
-        texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
-        split = pc.split_pattern(texts, " ")
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole = pc.match_substring(texts, self.SPECIAL)
+        ids, count = self.by_pieces(pc.if_else(whole, "", texts))
+        if (at := np.flatnonzero(whole.to_numpy(zero_copy_only=False))).size:
+            parts = np.split(ids, np.cumsum(count)[:-1])
+            for i in at:
+                parts[i] = np.array(self.tok.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, self.dtype)
+            ids, count = np.concatenate(parts), np.array([len(x) for x in parts])
+        return ids, count
+
+    def by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
+        split = pc.split_pattern(pc.replace_substring_regex(texts, self.LETTER_THEN_SIGNS, r"\1 \2"), " ")
         coded = split.flatten().dictionary_encode()
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         if len(self.seen) > self.keep:
             self.seen = {}
         seen, new = self.seen, [w for w in words if w not in self.seen]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        for i in range(0, len(new), 4_000):
+            part = new[i : i + 4_000]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 seen[w] = np.array(e.ids, self.dtype).tobytes()
         pieces = [seen[w] for w in words]
@@ -192,8 +207,8 @@ def write_token_store(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
             nonlocal at, last
             batch = first
             while batch is not None:
-                for lo in range(0, batch.num_rows, 500):
-                    part = batch.slice(lo, 500)
+                for lo in range(0, batch.num_rows, 1_000):
+                    part = batch.slice(lo, 1_000)
                     ids, count = enc.encode(part.column(1))
                     ends = np.cumsum(count)
                     yield np.insert(ids, ends, end_id).tobytes()
