@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, sharding, token_index
+from . import jaccard_join, langid, mixing, sharding, token_index, unigram
 from .common import table
 
 
@@ -19,6 +19,26 @@ def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every text: their number, how many are bytes, a digest, and whether they decode to the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = unigram.encode(docs, tokenizer("piece_bpe_32k.model"), decoded=True)
+    return out.select(
+        "doc_id",
+        F.size("_sp_ids").cast("long").alias("n_pieces"),
+        F.xxhash64("_sp_ids").alias("ids_xxhash64"),
+        (F.col("_sp_text") == F.coalesce("text", F.lit(""))).alias("decodes"),
+    )
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's language, learnt from the documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(~langid.is_held_out()))
+    out = langid.predict(docs.select("doc_id", "text", langid.is_held_out().alias("held_out")), model)
+    return out.select("doc_id", "held_out", F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at 85 of 100 over 4-word shingles; the least document id that links reach."""
     found = jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
@@ -47,5 +67,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_index, op8_jaccard_join, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_index, op6_sentencepiece, op7_langid, op8_jaccard_join, op9_mixing, op10_sharding)}
 ORACLES: dict[str, str] = {}
