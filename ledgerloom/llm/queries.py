@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, langid, mixing, sharding, token_index, unigram
+from . import jaccard_join, langid, mixing, sharding, token_index, unigram, winnowing
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and how alike they and the next document's are."""
+    return winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every text: their number, how many are bytes, a digest, and whether they decode to the text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,5 +72,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_index, op6_sentencepiece, op7_langid, op8_jaccard_join, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_index, op3_winnowing, op6_sentencepiece, op7_langid, op8_jaccard_join, op9_mixing, op10_sharding)}
 ORACLES: dict[str, str] = {}
