@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, langid, mixing, sharding, token_index, unigram, winnowing
+from . import chat, jaccard_join, langid, mixing, sharding, token_index, topk, unigram, winnowing
 from .common import table
 
 
@@ -24,6 +24,16 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of the repaired and rendered conversations."""
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all other vectors for each vector whose id is divisible by 50."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every text: their number, how many are bytes, a digest, and whether they decode to the text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -72,5 +82,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_index, op3_winnowing, op6_sentencepiece, op7_langid, op8_jaccard_join, op9_mixing, op10_sharding)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_index, op3_winnowing, op4_chat, op5_topk, op6_sentencepiece, op7_langid, op8_jaccard_join, op9_mixing, op10_sharding)}
+ORACLES = {
+    "op5_topk": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+  where embedding is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+p as (
+  select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from p)
+select query_id, rank, vec_id, score from r where rank <= 5""",
+}
