@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard_join, langid, mixing, sharding, token_index, topk, unigram, winnowing
+from . import chat, jaccard_join, langid, mixing, sharding, token_index, topk, unigram, urls, winnowing
 from .common import table
 
 
@@ -19,6 +19,16 @@ def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+#: The contract's rules.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    out = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return out.select("page_id", F.col("_url_host").alias("host"), F.col("_url_path").alias("path"), F.col("_url_rule").alias("rule"), F.col("_url_verdict").alias("verdict"), F.col("_url_template").alias("template"))
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and its edited text, and how alike they and the next document's are."""
     return winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
@@ -82,7 +92,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_index, op3_winnowing, op4_chat, op5_topk, op6_sentencepiece, op7_langid, op8_jaccard_join, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_index, op2_url_templates, op3_winnowing, op4_chat, op5_topk, op6_sentencepiece, op7_langid, op8_jaccard_join, op9_mixing, op10_sharding)}
 ORACLES = {
     "op5_topk": """
 with v as (
