@@ -37,13 +37,13 @@ class WordEncoder:
 
     No token of such a tokenizer spans a space, nor the place between a letter and other signs
     than an apostrophe, and capitals don't matter to it. So the ids of a text are those of its
-    pieces between such places; each distinct piece is encoded once and kept, up to ``keep``
-    pieces. Texts with the opening of a special token go to the tokenizer whole.
+    pieces between such places; each distinct piece of a batch is encoded once, and kept if it
+    recurs there, up to ``keep`` pieces. Texts with the opening of a special token go to the tokenizer whole.
     """
 
     SPECIAL, LETTER_THEN_SIGNS = "<|", r"([a-zß-öø-ÿ])([.,!?;:#$%&*)(\-]+)"
 
-    def __init__(self, path: str, dtype, keep: int = 300_000):
+    def __init__(self, path: str, dtype, keep: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -70,12 +70,14 @@ class WordEncoder:
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         if len(self.seen) > self.keep:
             self.seen = {}
-        seen, new = self.seen, [w for w in words if w not in self.seen]
+        now, new = {}, [w for w in words if w not in self.seen]
         for i in range(0, len(new), 4_000):
             part = new[i : i + 4_000]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                seen[w] = np.array(e.ids, self.dtype).tobytes()
-        pieces = [seen[w] for w in words]
+                now[w] = np.array(e.ids, self.dtype).tobytes()
+        pieces = [now[w] if w in now else self.seen[w] for w in words]
+        often = np.bincount(codes, minlength=len(words)) > 1
+        self.seen.update((w, now[w]) for w, o in zip(words, often.tolist(), strict=True) if o and w in now)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.dtype.itemsize
         flat = np.frombuffer(b"".join(pieces), self.dtype)
         start = np.cumsum(size) - size
@@ -207,8 +209,8 @@ def write_token_store(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
             nonlocal at, last
             batch = first
             while batch is not None:
-                for lo in range(0, batch.num_rows, 1_000):
-                    part = batch.slice(lo, 1_000)
+                for lo in range(0, batch.num_rows, 500):
+                    part = batch.slice(lo, 500)
                     ids, count = enc.encode(part.column(1))
                     ends = np.cumsum(count)
                     yield np.insert(ids, ends, end_id).tobytes()
