@@ -1,4 +1,54 @@
 """Registered queries over the derived payment tables, with their DuckDB SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.money import to_usd
+from ..operators import forecast as fc
+from ..operators import messages as ms
+from ..operators import reconcile as rc
+from ..sources.payments import payments, with_tables
+
+AS_OF = "2001-08-01"
+RULES = [
+    {"conditions": {"all": [{"fact": "method", "operator": "equal", "value": "post"}, {"fact": "path", "operator": "equal", "value": "/quotes"}, {"fact": "amount", "operator": "numericGreaterThan", "value": 100}]}, "event": {"type": "LARGE_QUOTE"}},
+    {"conditions": {"any": [{"fact": "path", "operator": "includesString", "value": "/error"}, {"fact": "method", "operator": "in", "value": ["put", "patch"]}]}, "event": {"type": "CALLBACK"}},
+    {"conditions": {"all": [{"fact": "path", "operator": "includesString", "value": "ransfers"}]}, "event": {"type": "TRANSFER"}},
+]
+
+
+def tables(*names):
+    return lambda f: lambda s, d: f(*(payments(s, d, n) for n in names))
+
+
+LEDGERS = ("transactions", "bank_transactions", "erp_records")
+found = lambda t, b, e: rc.anomalies(rc.reconcile_by_reference(t, b, e), rc.duplicate_charges(t))
+
+QUERIES = {
+    "p4_fx": tables("transactions")(lambda t: t.select("seq", F.round(to_usd(F.col("amount"), F.col("currency")), 6).alias("usd"))),
+    "w1_duplicates": tables("transactions")(lambda t: rc.duplicate_charges(t).select("seq", "transaction_id", "previous_id")),
+    "j6_reconcile": tables(*LEDGERS)(rc.reconcile_by_reference),
+    "o3_anomalies": tables(*LEDGERS)(found),
+    "o1_anomaly_queue": tables(*LEDGERS)(lambda t, b, e: rc.anomaly_queue(found(t, b, e))),
+    "a1_dashboard": tables(*LEDGERS)(lambda t, b, e: rc.dashboard(rc.reconcile_by_reference(t, b, e), found(t, b, e), t)),
+    "p12_result_filter": tables(*LEDGERS)(lambda t, b, e: rc.where_status(rc.reconcile_by_reference(t, b, e), "partial", "medium")),
+    "p13_queue": tables(*LEDGERS)(lambda t, b, e: rc.queue(rc.reconcile_by_reference(t, b, e), "bs-1", True)),
+    "a3_daily_flow": tables("transactions")(lambda t: fc.daily_flow(t, AS_OF).select("idx", "day", F.round("amount", 2).alias("amount"))),
+    "a5_forecast": tables("transactions")(lambda t: fc.forecast(fc.daily_flow(t, AS_OF), AS_OF)),
+    "m1_classification": tables("messages")(lambda m: ms.classify(m, RULES).select("seq", "event")),
+    "m6_exposure": tables("messages")(ms.exposure),
+    "m9_callbacks": tables("messages")(ms.callbacks),
+    "t5_retention": tables("messages")(lambda m: ms.retained(m).select("seq", "path")),
+}
+
+_RATE = "case currency when 'INR' then 83.5::double when 'EUR' then 0.92::double when 'KES' then 129.5::double else 1.0::double end"
+ORACLES = {
+    "p4_fx": with_tables(f"select seq, round(amount / {_RATE}, 6) as usd from transactions"),
+    "w1_duplicates": with_tables("select seq, transaction_id, previous_id from (select seq, transaction_id, row_number() over w as rn, first(transaction_id) over w as previous_id from transactions window w as (partition by payer, amount, currency order by seq)) where rn > 1"),
+    "a3_daily_flow": with_tables(f"select cast(i as integer) as idx, cast(date '{AS_OF}' - 30 + cast(i as integer) as date) as day, round(coalesce((select sum(amount) from transactions where cast(created_at as date) = date '{AS_OF}' - 30 + cast(i as integer)), 0), 2) as amount from range(30) r(i)"),
+    "m1_classification": with_tables("select seq, case when method = 'post' and path = '/quotes' and amount > 100 then 'LARGE_QUOTE' when contains(path, '/error') or method in ('put', 'patch') then 'CALLBACK' when contains(path, 'ransfers') then 'TRANSFER' end as event from messages"),
+    "m9_callbacks": with_tables("select base_path, seq, is_error from (select regexp_replace(path, '/error$', '') as base_path, seq, path like '%/error' as is_error, row_number() over (partition by regexp_replace(path, '/error$', '') order by ts desc, seq desc) as rn from messages where method = 'put') where rn = 1"),
+    "m6_exposure": with_tables("select seq, payee_fsp, amount, allowed, case when amount > allowed then '5100' end as error from (select *, 1000.0::double - coalesce(sum(case when path = '/transfers' then cast(round(amount * 100) as bigint) else 0 end) over (partition by payee_fsp order by ts, seq rows between unbounded preceding and 1 preceding), 0)::double / 100 as allowed from messages where method = 'post' and path in ('/quotes', '/transfers')) where path = '/quotes'"),
+    "t5_retention": with_tables("select seq, path from messages where ts >= (select max(ts) from messages) - interval 10 minutes"),
+}
