@@ -43,7 +43,7 @@ class WordEncoder:
 
     SPECIAL, LETTER_THEN_SIGNS = "<|", r"([a-zß-öø-ÿ])([.,!?;:#$%&*)(\-]+)"
 
-    def __init__(self, path: str, dtype, keep: int = 150_000):
+    def __init__(self, path: str, dtype, keep: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -89,6 +89,16 @@ class WordEncoder:
         return ids, total[ends[1:]] - total[ends[:-1]]
 
 
+#: One encoder per worker process: its pieces serve all tasks that the process runs.
+_encoders: dict[tuple, WordEncoder] = {}
+
+
+def encoder(path: str, dtype: str) -> WordEncoder:
+    if (path, dtype) not in _encoders:
+        _encoders[path, dtype] = WordEncoder(path, dtype)
+    return _encoders[path, dtype]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of splitmix: a bijection."""
     x = np.asarray(x, np.uint64) + np.uint64(0x9E3779B97F4A7C15)
@@ -200,7 +210,7 @@ def write_token_store(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
     n = shuffle_parts(spark)
 
     def shards(batches):
-        enc, last, entries, shard, at = WordEncoder(tokenizer_path, dtype), (), [], TaskContext.get().partitionId(), 0
+        enc, last, entries, shard, at = encoder(tokenizer_path, dtype), (), [], TaskContext.get().partitionId(), 0
         first = next(batches, None)
         if first is None:
             return
@@ -209,8 +219,8 @@ def write_token_store(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
             nonlocal at, last
             batch = first
             while batch is not None:
-                for lo in range(0, batch.num_rows, 500):
-                    part = batch.slice(lo, 500)
+                for lo in range(0, batch.num_rows, 250):
+                    part = batch.slice(lo, 250)
                     ids, count = enc.encode(part.column(1))
                     ends = np.cumsum(count)
                     yield np.insert(ids, ends, end_id).tobytes()
@@ -219,6 +229,8 @@ def write_token_store(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
                     occ, last = occurrences(keys, last)
                     entries.append((keys, occ, at + np.cumsum(size) - size, size))
                     at += int(size.sum())
+                batch = None  # before the next one comes
+                pa.default_memory_pool().release_unused()
                 batch = next(batches, None)
             yield MAGIC + struct.pack("<IQ", np.dtype(dtype).itemsize, at)
 
