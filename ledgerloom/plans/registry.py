@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 from ..functions.money import to_usd
 from ..operators import forecast as fc
 from ..operators import messages as ms
+from ..operators import rail as rl
+from ..operators import logs as lg
 from ..operators import reconcile as rc
-from ..sources.payments import payments, with_tables
+from ..operators import updates as up
+from ..functions.money import formatted
+from ..sources import ingest as ig
+from ..sources import sinks
+from ..sources.payments import REQUESTS, payments, reports, with_tables
 
 AS_OF = "2001-08-01"
 RULES = [
@@ -52,3 +58,117 @@ ORACLES = {
     "m6_exposure": with_tables("select seq, payee_fsp, amount, allowed, case when amount > allowed then '5100' end as error from (select *, 1000.0::double - coalesce(sum(case when path = '/transfers' then cast(round(amount * 100) as bigint) else 0 end) over (partition by payee_fsp order by ts, seq rows between unbounded preceding and 1 preceding), 0)::double / 100 as allowed from messages where method = 'post' and path in ('/quotes', '/transfers')) where path = '/quotes'"),
     "t5_retention": with_tables("select seq, path from messages where ts >= (select max(ts) from messages) - interval 10 minutes"),
 }
+
+
+def ledger_file(t):
+    """An uploaded ledger with sheet headers, blank payers, bad amounts and repeated rows."""
+    n = F.col("seq")
+    raw = lambda d: d.select(F.col("transaction_id").alias("Transaction ID"), F.when(n % 7 == 0, "").otherwise(F.col("payer")).alias("payer"), F.concat(F.lit("Alt "), "payer").alias("Payer Name"), F.when(n % 11 == 0, "n/a").otherwise(F.col("amount").cast("string")).alias("amount"), "currency")
+    return ig.ingest(raw(t).unionByName(raw(t.where(n % 100 == 1))), "ledger", existing=t.where(n % 13 == 0))
+
+
+def bank_file(b, profile):
+    names = {"csv": ("bank_statement_id", "counterparty", "amount", "ref_id"), "sheet": ("Statement ID", "Payer", "Amount", "Reference Number")}[profile]
+    raw = b.select(*(F.col(c).cast("string").alias(a) for c, a in zip(("bank_statement_id", "counterparty", "amount", "reference_number"), names, strict=True)))
+    return ig.ingest(raw, "bank", profile)[0]
+
+
+def erp_file(e):
+    raw = e.select("erp_id", "invoice_number", F.when(F.col("seq") % 4 == 0, "").otherwise(F.col("expected_amount").cast("string")).alias("expected_amount"), F.col("expected_amount").alias("amount"))
+    return ig.ingest(raw, "erp")[0]
+
+
+def service_hits(m):
+    trace = F.struct(F.col("payee_fsp").alias("service"), F.col("ts").alias("startTimestamp"), F.struct(F.col("method").alias("source"), F.col("path").alias("destination")).alias("tags"))
+    event = F.struct(F.when(F.col("seq") % 4 == 0, "trace").otherwise("log").alias("type"), F.struct(F.when(F.col("seq") % 3 == 0, "failed").otherwise("success").alias("status")).alias("state"))
+    return m.select("seq", F.struct(trace.alias("trace"), event.alias("event")).alias("metadata"), F.col("transaction_id").alias("content"))
+
+
+ROUTES = [{"conditions": {"all": [{"fact": "path", "operator": "includesString", "value": w}]}, "event": {"type": "FORWARD", "params": {"dfspId": d}}} for w, d in (("fx", "fxp1"), ("quotes", "fsp1"), ("transfers", "fsp2"))]
+LIMITED = [{"conditions": {"all": [{"fact": "amount", "operator": "numericGreaterThan", "value": "{$environment.limit}"}]}, "event": {"type": "OVER_LIMIT"}}]
+ENDPOINTS = [{"method": "put", "path": "/quotes/{ID}/error", "endpoint": "http://errors"}, {"method": "get", "path": "/transfers/{ID}", "endpoint": "http://transfers"}]
+BY_FSP = {"fsp3": {"endpoints": [{"method": "post", "path": "/any", "endpoint": "http://fsp3/post"}], "default": "http://fsp3"}}
+RANGE = ("2024-01-05 00:00:00", "2024-01-07 12:00:00")
+REPORTED = ("1996-01-01 00:00:00", "2001-07-01 00:00:00")
+judged = lambda s, d: lg.verdict(lg.rollup(reports(s, d))).drop("test_cases")
+listeners = lambda m: m.where("method = 'post' and path = '/quotes'").select(F.col("seq").alias("listener"), F.lit("put").alias("method"), F.concat(F.lit("/quotes/"), F.substring("transaction_id", 2, 20), F.lit("/error")).alias("path"), "ts")
+manual = lambda r: r.where("seq % 10 = 3").select("transaction_id", F.lit("BS-MANUAL").alias("ledger_id"))
+updates = lambda t: t.where("seq % 17 = 0").select(F.when(F.col("seq") % 2 == 0, F.col("transaction_id")).otherwise(F.concat("transaction_id", F.lit("-X"))).alias("transaction_id"), F.lit("FAILED").alias("status"), F.lit("ABORTED").alias("transfer_state"), F.col("created_at").alias("ts"), "seq")
+iso = lambda m: m.select("seq", rl.iso_transfer(F.col("body")).alias("x")).where("x.transaction_id is not null").select("seq", "x.*")
+headers = lambda: F.create_map(F.lit("Content-Type"), F.col("content_type"), F.lit("accept"), F.col("content_type"), F.lit("date"), F.lit("x"))
+
+QUERIES |= {
+    "s1_ledger_file": tables("transactions")(lambda t: ledger_file(t)[0].select("transaction_id", "payer", "payee", "amount", "currency", "status")),
+    "w4_rejects": tables("transactions")(lambda t: ledger_file(t)[1].select("transaction_id", "reason")),
+    "s2_bank_file": tables("bank_transactions")(lambda b: bank_file(b, "csv")),
+    "s4_bank_sheet": tables("bank_transactions")(lambda b: bank_file(b, "sheet")),
+    "s3_erp_file": tables("erp_records")(erp_file),
+    "k1_report": tables(*LEDGERS)(lambda t, b, e: sinks.report_rows(rc.reconcile_by_reference(t, b, e), "partial")),
+    "a7_export_counts": tables(*LEDGERS)(lambda t, b, e: sinks.counts({"transactions": t, "bank_transactions": b, "erp_records": e})),
+    "a2_run_summary": tables(*LEDGERS)(lambda t, b, e: up.run_summary(rc.reconcile_by_reference(t, b, e), found(t, b, e))),
+    "a6_forecast_totals": tables("transactions")(lambda t: up.forecast_totals(fc.forecast(fc.daily_flow(t, AS_OF), AS_OF))),
+    "p14_bands": tables(*LEDGERS)(lambda t, b, e: rc.reconcile_by_reference(t, b, e).select("seq", up.status_label(F.col("status")).alias("label"), up.confidence_band(F.col("match_confidence")).alias("band"))),
+    "p15_lookup": tables("transactions")(lambda t: up.lookup(t, "TX-D-1").select("seq", "transaction_id").unionByName(up.lookup(t, "20").select("seq", "transaction_id"))),
+    "p16_delete": tables("transactions")(lambda t: up.without(t, t.where("seq % 3 = 0"), "transaction_id").select("seq", "transaction_id")),
+    "p17_formatted": tables("transactions")(lambda t: t.select("seq", formatted(F.col("amount"), F.col("currency")).alias("shown"))),
+    "p18_dates": tables("transactions")(lambda t: t.select("seq", F.date_format("created_at", "yyyy-MM-dd").alias("day"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("moment"))),
+    "j9_manual_match": tables(*LEDGERS)(lambda t, b, e: (lambda r: up.manual_match(r, manual(r)))(rc.reconcile_by_reference(t, b, e))),
+    "j10_state_update": tables("transactions")(lambda t: up.update_states(t, updates(t))[0].select("seq", "status", "transfer_state")),
+    "j10_not_found": tables("transactions")(lambda t: up.update_states(t, updates(t))[1]),
+    "m3_bound_rules": tables("messages")(lambda m: ms.classify(m, rl.bind(LIMITED, {"limit": 25})).select("seq", "event")),
+    "m4_forward": tables("messages")(lambda m: m.select("seq", rl.forward_to(ROUTES).alias("dfsp"))),
+    "m5_endpoint": tables("messages")(lambda m: m.select("seq", rl.endpoint(F.col("method"), F.col("path"), F.col("payee_fsp"), "http://default", ENDPOINTS, BY_FSP).alias("endpoint"))),
+    "m7_iso_transfer": tables("rail")(iso),
+    "m8_iso_headers": tables("rail")(lambda m: m.select("seq", rl.rewritten(headers(), F.col("method"), F.col("path")).alias("h")).select("seq", F.col("h")["Content-Type"].alias("content_type"), F.col("h")["accept"].alias("accept"), F.col("h")["date"].alias("date_header"))),
+    "m10_transfer_id": tables("rail")(lambda m: m.select("seq", rl.transfer_id(F.col("body")).alias("transfer_id"), rl.transfer_kind(F.col("path")).alias("kind"))),
+    "m11_trace_id": tables("rail")(lambda m: m.select("seq", rl.trace_id(F.col("traceparent")).alias("trace_id"))),
+    "m12_quote_association": tables("messages")(lambda m: rl.associate_quotes(m, 24 * 60)),
+    "m13_stored_transfer": tables("messages")(lambda m: rl.stored_transfers(m, 24 * 60)),
+    "t7_await_callback": tables("messages")(lambda m: rl.await_callbacks(listeners(m), m, 24 * 3600)),
+    "l1_log_range": tables("messages")(lambda m: lg.log_range(m.select("seq", F.col("payee_fsp").alias("dfsp"), F.col("ts").alias("log_time"), "path"), "fsp2", *RANGE).select("seq", "path")),
+    "l2_report_range": lambda s, d: lg.report_range(judged(s, d), *REPORTED).select("report_id"),
+    "l3_report_listing": lambda s, d: lg.report_listing(judged(s, d), *REPORTED, passed=False, skip=2, limit=5).select("report_id", "total"),
+    "l4_key_search": tables("transactions")(lambda t: lg.search_key(t, "transaction_id", "^tx-d-.*1$").select("seq", "transaction_id")),
+    "l5_service_logs": tables("messages")(lambda m: lg.service_logs(service_hits(m), {"metadata.trace.service": "fsp2", "metadata.event.state.status": "failed"}).drop("timestamp")),
+    "l6_rollup": lambda s, d: judged(s, d).select("report_id", "total_assertions", "passed_assertions", "failed_assertions", "n_cases", "failed_cases", "n_requests", "failed_requests"),
+    "l7_pass_percentage": lambda s, d: reports(s, d).select("report_id", F.explode("test_cases").alias("c")).select("report_id", F.explode("c.requests").alias("r")).select("report_id", lg.pass_percentage(F.col("r")).alias("percentage")).groupBy("report_id", "percentage").agg(F.count("*").alias("n")),
+    "l8_verdict": lambda s, d: judged(s, d).select("report_id", "is_passed", "duration_ms"),
+    "l9_counters": lambda s, d: lg.counters(judged(s, d)),
+}
+
+_POPPED = "select {cols} from (select *, lag(seq) over w as last_seq, lag(ts) over w as last_ts, lag(is_push) over w as last_push from (select seq, ts, transaction_id, ({push}) as is_push from messages where ({push}) or ({pop})) window w as (partition by transaction_id order by ts, seq)) where not is_push"
+_FRESH = "case when last_push and ts <= last_ts + interval 24 hours then last_seq end"
+_REPORT = lambda select: f"with {REQUESTS} {select}"
+ORACLES |= {
+    "s1_ledger_file": with_tables("select transaction_id, case when seq % 7 = 0 then concat('Alt ', payer) else payer end as payer, 'Unknown Payee' as payee, amount, currency, 'SUCCESS' as status from transactions where seq % 11 <> 0 and seq % 13 <> 0"),
+    "w4_rejects": with_tables("select transaction_id, case when seq % 11 = 0 then 'bad_amount' else 'duplicate_in_file' end as reason from (select * from transactions where seq % 11 = 0 union all select * from transactions where seq % 100 = 1)"),
+    "s2_bank_file": with_tables("select bank_statement_id, 'ACC-10098' as account_number, counterparty, amount, 'USD' as currency, 'CREDIT' as transaction_type, reference_number from bank_transactions"),
+    "s4_bank_sheet": with_tables("select bank_statement_id, 'ACC-10098' as account_number, counterparty, amount, 'USD' as currency, 'CREDIT' as transaction_type, coalesce(reference_number, '') as reference_number from bank_transactions"),
+    "s3_erp_file": with_tables("select erp_id, invoice_number, 'Vendor Inc' as customer_vendor_name, expected_amount, 'USD' as currency, '1100-RECEIVABLES' as ledger_account from erp_records"),
+    "a7_export_counts": with_tables("select 'transactions' as table_name, count(*) as n from transactions union all select 'bank_transactions', count(*) from bank_transactions union all select 'erp_records', count(*) from erp_records"),
+    "p15_lookup": with_tables("select seq, transaction_id from transactions where transaction_id = 'TX-D-1' or seq = 20"),
+    "p16_delete": with_tables("select seq, transaction_id from transactions where seq % 3 <> 0"),
+    "p17_formatted": with_tables("select seq, concat(case currency when 'USD' then '$' when 'INR' then '₹' when 'EUR' then '€' else 'KSh' end, format('{:,.2f}', amount)) as shown from transactions"),
+    "p18_dates": with_tables("select seq, strftime(created_at, '%Y-%m-%d') as day, strftime(created_at, '%Y-%m-%d %H:%M:%S') as moment from transactions"),
+    "j10_state_update": with_tables("select seq, case when seq % 34 = 0 then 'FAILED' else status end as status, case when seq % 34 = 0 then 'ABORTED' else transfer_state end as transfer_state from transactions"),
+    "j10_not_found": with_tables("select concat(transaction_id, '-X') as transaction_id, 'FAILED' as status, 'ABORTED' as transfer_state from transactions where seq % 34 = 17"),
+    "m3_bound_rules": with_tables("select seq, case when amount > 25 then 'OVER_LIMIT' end as event from messages"),
+    "m4_forward": with_tables("select seq, case when contains(path, 'fx') then 'fxp1' when contains(path, 'quotes') then 'fsp1' when contains(path, 'transfers') then 'fsp2' end as dfsp from messages"),
+    "m5_endpoint": with_tables("select seq, case when payee_fsp = 'fsp3' then case when method = 'post' then 'http://fsp3/post' else 'http://fsp3' end when method = 'put' and regexp_matches(path, '/quotes/.*/error') then 'http://errors' when method = 'get' and regexp_matches(path, '/transfers/.*') then 'http://transfers' else 'http://default' end as endpoint from messages"),
+    "m7_iso_transfer": with_tables("select seq, transaction_id, concat('Q', seq) as quote_id, 'BUSINESS' as payee_id_type, cast(seq as varchar) as payee_identifier, payee_fsp, 'MSISDN' as payer_id_type, cast(seq % 97 as varchar) as payer_identifier, 'hub' as payer_fsp, 'USD' as currency, cast(seq % 1000 as varchar) as amount from messages where seq % 3 = 2"),
+    "m8_iso_headers": with_tables("select seq, replace(content_type, 'interoperability.', 'interoperability.iso20022.') as content_type, replace(content_type, 'interoperability.', 'interoperability.iso20022.') as accept, 'x' as date_header from rail"),
+    "m10_transfer_id": with_tables("select seq, case seq % 3 when 0 then transaction_id when 1 then concat('C', seq) else concat('Q', seq) end as transfer_id, case when contains(path, '/fxTransfers') then 'fxTransfer' when contains(path, '/transfers') then 'transfer' end as kind from messages"),
+    "m11_trace_id": with_tables("select seq, md5(cast(seq as varchar)) as trace_id from messages"),
+    "m12_quote_association": with_tables(_POPPED.format(cols=f"seq, {_FRESH} as quote_seq, case when {_FRESH} is null then '3208' end as error", push="method = 'post' and path = '/quotes'", pop="method = 'post' and path = '/transfers'")),
+    "m13_stored_transfer": with_tables(_POPPED.format(cols=f"seq, {_FRESH} as transfer_seq", push="method = 'post' and path = '/transfers'", pop="method = 'get' and path like '/transfers/%'")),
+    "t7_await_callback": with_tables("select l.seq as listener, arg_min(i.seq, {'ts': i.ts, 'seq': i.seq}) as callback_seq from messages l left join messages i on i.method = 'put' and i.path = concat('/quotes/', substr(l.transaction_id, 2), '/error') and i.ts >= l.ts and i.ts <= l.ts + interval 24 hours where l.method = 'post' and l.path = '/quotes' group by l.seq"),
+    "l1_log_range": with_tables(f"select seq, path from messages where payee_fsp = 'fsp2' and ts >= timestamp '{RANGE[0]}' and ts < timestamp '{RANGE[1]}'"),
+    "l2_report_range": _REPORT(f"select report_id from rolled where completed >= timestamp '{REPORTED[0]}' and completed < timestamp '{REPORTED[1]}'"),
+    "l3_report_listing": _REPORT(f"select report_id, count(*) over () as total from rolled where completed between timestamp '{REPORTED[0]}' and timestamp '{REPORTED[1]}' and passed_assertions <> total_assertions order by completed desc, report_id limit 5 offset 2"),
+    "l4_key_search": with_tables("select seq, transaction_id from transactions where regexp_matches(transaction_id, '^tx-d-.*1$', 'i')"),
+    "l5_service_logs": with_tables("select seq, payee_fsp as service, method as source, path as destination, 'failed' as status, transaction_id as content from messages where payee_fsp = 'fsp2' and seq % 3 = 0 and seq % 4 <> 0 order by ts, seq limit 20"),
+    "l6_rollup": _REPORT("select report_id, total_assertions, passed_assertions, failed_assertions, n_cases, failed_cases, n_requests, failed_requests from rolled"),
+    "l7_pass_percentage": _REPORT("select report_id, case when n is null then 100 when n = 0 then null else cast(floor(p * 100.0 / n + 0.5) as bigint) end as percentage, count(*) as n from requests group by all"),
+    "l8_verdict": _REPORT("select report_id, passed_assertions = total_assertions as is_passed, epoch_ms(completed) - epoch_ms(started) as duration_ms from rolled"),
+    "l9_counters": _REPORT("select template, count(case when passed_assertions = total_assertions then 1 end) as passed, count(case when passed_assertions <> total_assertions then 1 end) as failed, cast(sum(passed_assertions) as bigint) as assertions_passed, cast(sum(failed_assertions) as bigint) as assertions_failed from rolled group by template"),
+}

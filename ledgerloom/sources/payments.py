@@ -3,7 +3,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CURRENCY = "case o_orderkey % 4 when 0 then 'USD' when 1 then 'INR' when 2 then 'EUR' else 'KES' end"
 REF = "case when o_orderkey % 50 = 49 then cast(null as string) {pad} else concat('REF-', o_orderkey) end"
@@ -27,22 +30,49 @@ TABLES = {
     "messages": """select event_id as seq, ts, case event_type when 'view' then 'get' when 'error' then 'put' else 'post' end as method,
  case event_type when 'signup' then '/quotes' when 'purchase' then '/transfers' when 'view' then concat('/transfers/', user_id) when 'click' then '/fxTransfers' else concat('/quotes/', user_id, '/error') end as path,
  concat('T', user_id) as transaction_id, concat('fsp', user_id % 5) as payee_fsp, value as amount from events""",
+    "rail": """select seq, ts, method, path, transaction_id, payee_fsp, amount,
+ concat('application/vnd.interoperability.', case when seq % 5 = 0 then 'iso20022.' else '' end, 'transfers+json;version=2.0') as content_type,
+ concat('00-', md5(cast(seq as string)), '-b7ad6b7169203331-01') as traceparent,
+ case seq % 3 when 0 then concat('{"transferId":"', transaction_id, '"}') when 1 then concat('{"transferId":"","commitRequestId":"C', seq, '"}')
+ else concat('{"CdtTrfTxInf":{"PmtId":{"TxId":"Q', seq, '","EndToEndId":"', transaction_id, '"},"IntrBkSttlmAmt":{"Ccy":"USD","ActiveCurrencyAndAmount":"', seq % 1000, '"},"CdtrAgt":{"FinInstnId":{"Othr":{"Id":"', payee_fsp,
+ '"}}},"DbtrAgt":{"FinInstnId":{"Othr":{"Id":"hub"}}},"Cdtr":{"Id":{"OrgId":{"Othr":{"Id":"BUSINESS","SchmeNm":{"Prtry":"', seq, '"}}}}},"Dbtr":{"Id":{"PrvtId":{"Othr":{"Id":"MSISDN","SchmeNm":{"Prtry":"', seq % 97, '"}}}}}}}') end as body from messages""",
 }
 BASE = ("orders", "customer", "nation", "supplier", "events")
+#: Derived tables that others are made of.
+FROM = {"transactions": "transactions_base", "rail": "messages"}
 
 
 def payments(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived table, planned lazily from the Parquet files of ``sf_dir``."""
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE if t in TABLES[name] or name == "transactions"}
-    if name == "transactions":
-        frames["transactions_base"] = payments(spark, sf_dir, "transactions_base")
-    sql = TABLES[name]
+    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE if re.search(rf"\b{t}\b", TABLES[name])}
+    if name in FROM:
+        frames[FROM[name]] = payments(spark, sf_dir, FROM[name])
     for t, df in frames.items():
         df.createOrReplaceTempView(t)
-    return spark.sql(sql)
+    return spark.sql(TABLES[name])
 
 
 def with_tables(select: str) -> str:
     """DuckDB SQL: the select over the derived tables that it names."""
-    need = [n for n in TABLES if n in select or (n == "transactions_base" and "transactions" in select)]
-    return "with " + ",\n".join(f"{n} as ({TABLES[n].replace('as string', 'as varchar')})" for n in need) + "\n" + select
+    need = {n for n in TABLES if re.search(rf"\b{n}\b", select)}
+    need |= {FROM[n] for n in need if n in FROM}
+    return "with " + ",\n".join(f"{n} as ({sql.replace('as string', 'as varchar')})" for n, sql in TABLES.items() if n in need) + "\n" + select
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested test reports: a customer's orders as test cases, their lines as requests with up to three assertions."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("l_orderkey") == F.col("o_orderkey"))
+    n = F.col("l_linenumber") % 4
+    assertions = F.transform(F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(1), n), lambda x: F.struct(x.alias("exec")))
+    passed = F.least(n, (F.floor("l_quantity") % 4).cast("int"))
+    tests = F.when(F.col("l_linenumber") % 7 != 0, F.struct(passed.alias("passedAssertionsCount"), assertions.alias("assertions")))
+    cases = lines.groupBy("o_custkey", "l_orderkey").agg(F.collect_list(F.struct(tests.alias("tests"))).alias("requests"), F.min("o_orderdate").alias("d"))
+    return cases.groupBy(F.col("o_custkey").alias("report_id")).agg(F.concat(F.lit("template-"), (F.first("o_custkey") % 5).cast("string")).alias("template"), F.min("d").alias("started"), F.max("d").alias("completed"), F.collect_list(F.struct("requests")).alias("test_cases"))
+
+
+#: DuckDB SQL of the same reports, flat: one row per request.
+REQUESTS = """requests as (select o_custkey as report_id, concat('template-', o_custkey % 5) as template, l_orderkey, o_orderdate, case when l_linenumber % 7 <> 0 then l_linenumber % 4 end as n,
+ case when l_linenumber % 7 <> 0 then least(l_linenumber % 4, cast(floor(l_quantity) as bigint) % 4) end as p from lineitem join orders on l_orderkey = o_orderkey),
+rolled as (select report_id, any_value(template) as template, min(o_orderdate) as started, max(o_orderdate) as completed, cast(sum(coalesce(n, 0)) as bigint) as total_assertions, cast(sum(coalesce(p, 0)) as bigint) as passed_assertions,
+ cast(sum(coalesce(n, 0)) - sum(coalesce(p, 0)) as bigint) as failed_assertions, count(distinct l_orderkey) as n_cases, count(distinct case when p <> n then l_orderkey end) as failed_cases, count(*) as n_requests, count(case when p <> n then 1 end) as failed_requests
+ from requests group by report_id)"""
