@@ -35,3 +35,21 @@ def test_forecast_and_entry(spark):
     f = registry.QUERIES["a5_forecast"](spark, SF).toPandas()
     assert len(f) == 7 and (f.predicted_amount >= 1000).all() and (f.lower_bound <= f.predicted_amount).all()
     assert entry.entry(spark).count() == 1
+
+
+@pytest.mark.parametrize("name", ["k1_report", "a2_run_summary", "a6_forecast_totals", "p14_bands", "j9_manual_match"])
+def test_queries_without_sql_give_rows(spark, name):
+    rows = registry.QUERIES[name](spark, SF).collect()
+    assert rows
+    if name == "j9_manual_match":
+        assert len(rows) == 1515
+        assert {(r.status, r.match_confidence) for r in rows if r.ledger_id == "BS-MANUAL"} == {("matched", 100.0)}
+
+
+def test_manual_match_of_an_unknown_transfer_is_added(spark):
+    from ledgerloom.operators import updates
+
+    have = spark.createDataFrame([(1, "A", None, "BANK", "unmatched", 3.5, 0.0, "low")], "seq long, transaction_id string, ledger_id string, ledger_type string, status string, amount_difference double, match_confidence double, confidence_tier string")
+    got = {r.transaction_id: r for r in updates.manual_match(have, spark.createDataFrame([("A", "X"), ("B", "Y")], "transaction_id string, ledger_id string")).collect()}
+    assert (got["A"].ledger_id, got["A"].status, got["A"].amount_difference) == ("X", "matched", 3.5)
+    assert (got["B"].ledger_id, got["B"].confidence_tier, got["B"].amount_difference) == ("Y", "high", 0.0)
