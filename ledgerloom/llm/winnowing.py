@@ -1,12 +1,15 @@
 """Document fingerprints by winnowing, in DataFrame functions alone.
 
 A text is lower-cased and cut into tokens: runs of letters and digits of up to 24 signs, with every ideograph
-or kana a token of its own. Each k tokens in a row have a Karp-Rabin hash (two 31-bit moduli, 62 bits), which is a
-function of the window and so the same as when rolled. Of every w hashes in a row the least is chosen, the rightmost
+or kana a token of its own. A token's hash is a polynomial of 59 bits over GF(2); each k tokens in a row have the hash
+x1 z^(k-1) + ... + xk, which rolls: adding the next token is a shift and an exclusive or, and the token that leaves is one more.
+It is mixed to 63 bits. Of every w in a row the one with the least leading 32 bits is chosen, the rightmost
 among equals; chosen (hash, position of the first token) pairs, each once, are the fingerprint. So
 two texts that share w + k - 1 tokens in a row share a chosen hash. A text of few hashes takes a
 smaller window, down to 1, whose choice includes that of any larger window: the guarantee still holds.
 
+The least of w is found by doubling: of 2 from single ones, of 4 from those of 2, and so on.
+
 Likeness is the Jaccard similarity of the distinct hashes.
 
 Cases. A null text is an empty one; texts without tokens have an empty fingerprint, and likeness 1 to each
@@ -22,47 +25,62 @@ from pyspark.sql import functions as F
 
 from .common import NULL_KEY, doc_key, let, materialize, with_rank
 
-#: Token pattern, and moduli and bases of the hash.
-ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
-TOKEN = rf"[{ALONE}]|[\p{{L}}\p{{N}}&&[^{ALONE}]]{{1,24}}"
-MODULI = ((2147483647, 1000003), (2147483629, 998244353))
+#: Signs that are tokens alone (kana, ideographs), and the token pattern.
+ALONE = r"\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+TOKEN = rf"[a-z0-9[\p{{L}}\p{{N}}&&[^{ALONE}]]]{{1,24}}+|[{ALONE}]"
+#: Positions take the low bits of a packed (rank, position), ranks the others.
+PLACE_BITS = 31
+LAST_PLACE = (1 << PLACE_BITS) - 1
 
 
-def gram_hash(tokens: Column, first: Column, k: int, n: Column | None = None) -> Column:
-    """Karp-Rabin hash of k tokens from ``first`` (from 0) on; k given as a number."""
-    parts = []
-    for modulus, base in MODULI:
-        h = F.lit(0).cast("long")
-        for j in range(k):
-            h = (h * F.lit(base) + F.pmod(F.get(tokens, first + F.lit(j)), F.lit(modulus))) % F.lit(modulus)
-        parts.append(h)
-    return F.shiftleft(parts[0], 31).bitwiseOR(parts[1])
+def gram_hash(tokens: Column, first: Column, k: int) -> Column:
+    """Rolling hash of k token hashes (64 - k bits each) from ``first`` (from 0) on, mixed; k given as a number."""
+    h = F.get(tokens, first)
+    for j in range(1, k):
+        h = F.shiftleft(h, 1).bitwiseXOR(F.get(tokens, first + F.lit(j)))
+    return F.shiftrightunsigned(F.xxhash64(h), 1)
 
 
 def grams(tokens: Column, k: int) -> Column:
     n = F.size(tokens)
-    short = F.xxhash64(F.concat_ws(" ", F.transform(tokens, lambda t: t.cast("string")))).bitwiseAND(F.lit((1 << 62) - 1))
+    short = F.shiftrightunsigned(F.xxhash64(F.concat_ws(" ", F.transform(tokens, lambda t: t.cast("string")))), 1)
     many = F.transform(F.sequence(F.lit(0), n - F.lit(k)), lambda i: gram_hash(tokens, i, k))
     return F.when(n == 0, F.array().cast("array<long>")).when(n < k, F.array(short)).otherwise(many)
 
 
-def chosen(hashes: Column, w: int) -> Column:
-    """Positions of the winnowed hashes, ascending."""
-    n = F.size(hashes)
-    width = F.least(F.lit(w), F.greatest(F.lit(1), F.floor(n / 4).cast("int")))
-    # the least struct (hash, -position): the rightmost among equal hashes
-    marked = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), (-i).alias("at")))
-    pick = let(
-        F.struct(marked.alias("m"), width.alias("w")),
-        lambda x: F.transform(F.sequence(F.lit(1), F.size(x["m"]) - x["w"] + 1), lambda s: -F.array_min(F.slice(x["m"], s, x["w"]))["at"]),
-    )
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.array_distinct(pick))
+def least_of(packed: Column, w: int) -> Column:
+    """The least of each w in a row (of those there are, towards the end)."""
+    step, out = 1, packed
+    while step < w:
+        by = min(step, w - step)
+        out = let(out, lambda m, by=by: F.transform(m, lambda x, i: F.least(x, F.get(m, i + F.lit(by)))))
+        step += by
+    return out
+
+
+def chosen(ranks: Column, w: int) -> Column:
+    """Positions of the winnowed among hashes of up to 32 bits, ascending."""
+    # rank first, then the later position: the rightmost among equals is the least
+    packed = F.transform(ranks, lambda h, i: F.shiftleft(h, PLACE_BITS).bitwiseOR(F.lit(LAST_PLACE).cast("long") - i))
+
+    def pick(m: Column) -> Column:
+        n = F.size(m)
+        width = F.greatest(F.lit(1), F.floor(n / 4).cast("int"))
+        few = F.transform(F.sequence(F.lit(1), n - width + 1), lambda s: F.array_min(F.slice(m, s, width)))
+        return F.when(n == 0, F.array().cast("array<long>")).when(n < 4 * w, few).otherwise(F.slice(least_of(m, w), F.lit(1), n - F.lit(w - 1)))
+
+    return F.transform(F.array_distinct(let(packed, pick)), lambda x: (F.lit(LAST_PLACE).cast("long") - x.bitwiseAND(F.lit(LAST_PLACE).cast("long"))).cast("int"))
 
 
 def winnow(text: Column, k: int = 5, w: int = 8) -> Column:
     """array of (hash, at) of a text, in order of position."""
-    tokens = F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
-    return let(tokens, lambda t: let(grams(t, k), lambda g: F.transform(chosen(g, w), lambda i: F.struct(F.get(g, i).alias("hash"), i.alias("at")))))
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    tokens = F.transform(words, lambda t: F.shiftrightunsigned(F.xxhash64(t), k))
+
+    def pick(g: Column) -> Column:
+        return F.transform(chosen(F.transform(g, lambda h: F.shiftrightunsigned(h, PLACE_BITS)), w), lambda i: F.struct(F.get(g, i).alias("hash"), i.alias("at")))
+
+    return let(tokens, lambda t: let(grams(t, k), pick))
 
 
 def hashes(fingerprint: Column) -> Column:
