@@ -52,12 +52,16 @@ def least_of(packed: Column, w: int) -> Column:
     """The least of each w in a row (of those there are, towards the end)."""
     step, out = 1, packed
     while step < w:
-        by = min(step, w - step)
-        out = let(out, lambda m, by=by: F.transform(m, lambda x, i: F.least(x, F.get(m, i + F.lit(by)))))
-        step += by
+        out = let(out, least_of_two(min(step, w - step)))
+        step += min(step, w - step)
     return out
 
 
+def least_of_two(by: int):
+    """Each element, or the one that comes ``by`` later if less."""
+    return lambda m: F.transform(m, lambda x, i: F.least(x, F.get(m, i + F.lit(by))))
+
+
 def chosen(ranks: Column, w: int) -> Column:
     """Positions of the winnowed among hashes of up to 32 bits, ascending."""
     # rank first, then the later position: the rightmost among equals is the least
