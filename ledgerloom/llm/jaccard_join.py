@@ -6,7 +6,8 @@ Texts of equal shingle sets form a class, stood for by its least document id. Ov
    is (power of two of that, hash), rare ones first.
 2. Prefix index: two sets of Jaccard J >= t share a shingle among the first |s| - ceil(t |s|) + 1
    of each in the global order. Tasks pack their entries (shingle, class, size) by target partition, so
-   that the shuffle carries a few rows of bytes. Very common shingles are salted by class.
+   that the shuffle carries a few rows of bytes. Very common shingles are salted by class; their chains
+   (below) give one interval of sizes per salt, and touching intervals of a shingle become one chain again.
 3. Each shingle's entries are cut into chains of like sizes, and a chain is called by its least class: its
    hub. All chains of one hub make one group, so that the many shingles which near copies share send
    each of them to few groups. Groups of over 256 members are dealt as pairs of blocks.
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_KEY, doc_key, materialize, shuffle_parts
@@ -38,6 +39,8 @@ ROWS, WIDTH, CHUNK = 3, 1 << 17, 1 << 14  # of the count sketch, and the cells t
 ENTRY = np.dtype([("t", "<u8"), ("c", "<u8"), ("n", "<u4")])
 #: Entries of one shingle that go to one partition at most, about.
 SALT_FROM = 20_000
+#: Flag in an entry's size: the shingle is salted. No text has so many shingles.
+SALTED = 1 << 31
 FLUSH = 1_000_000
 
 
@@ -155,6 +158,7 @@ def prefix_index(docs: DataFrame, k: int, num: int, den: int, order, parts: int)
                     e["t"], e["c"], e["n"] = t[:p], c, len(s)
                     with np.errstate(over="ignore"):
                         salts = np.maximum(1, np.ceil(est[:p] / SALT_FROM)).astype(np.uint64)
+                        e["n"] |= np.where(salts > 1, SALTED, 0).astype(np.uint32)
                         e["p"] = mix(t[:p] + (mix(np.array([c], np.uint64))[0] % salts)) % np.uint64(parts)
                     held.append(e)
                     size += p
@@ -178,16 +182,37 @@ def chains(index: DataFrame, num: int, den: int, parts: int) -> DataFrame:
         del blobs
         e = e[np.lexsort((e["c"], e["n"], e["t"]))]
         e = e[np.concatenate(([True], (e["t"][1:] != e["t"][:-1]) | (e["c"][1:] != e["c"][:-1])))]
-        n = e["n"].astype(np.int64)
+        n = (e["n"] & np.uint32(SALTED - 1)).astype(np.int64)
         start = np.concatenate(([True], (e["t"][1:] != e["t"][:-1]) | (n[1:] * num > n[:-1] * den)))
         first = np.flatnonzero(start)
         run = np.cumsum(start) - 1
-        hub = np.minimum.reduceat(e["c"], first)[run]
-        keep = np.bincount(run)[run] > 1
-        pair = np.unique(np.stack((hub[keep], e["c"][keep]), axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([i64(pair[:, 0]), i64(pair[:, 1])], ["h", "m"])
-
-    return index.repartitionById(parts, "part").mapInArrow(go, "h long, m long").distinct()
+        hub, count, salted = np.minimum.reduceat(e["c"], first), np.bincount(run), e["n"][first] >= SALTED
+        keep = ((count > 1) & ~salted)[run]
+        pair = np.unique(np.stack((hub[run][keep], e["c"][keep]), axis=1), axis=0)
+        # a chain of one salt is named by shingle and hub, as a class has one salt of a shingle
+        name, keep, last = mix(e["t"][first] ^ mix(hub)), salted[run], np.append(first[1:], len(e)) - 1
+        spans = [x[salted] for x in (name, hub, e["t"][first], n[first], n[last], count)]
+        for kind, rows in (("whole", [pair[:, 0], pair[:, 1]]), ("member", [name[run][keep], e["c"][keep]]), ("span", spans)):
+            rows = [i64(x) for x in rows]
+            rows += [zeros(len(rows[0]))] * (6 - len(rows))
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows[0]), pa.string()), *rows], ["kind", "h", "m", "t", "lo", "hi", "n"])
+
+    found = materialize(index.repartitionById(parts, "part").mapInArrow(go, "kind string, h long, m long, t long, lo long, hi long, n long"))
+    salted = found.where("kind = 'member'").select("h", "m").join(across_salts(found.where("kind = 'span'"), num, den), "h")
+    return found.where("kind = 'whole'").select("h", "m").unionByName(salted.select(F.col("hub").alias("h"), "m")).distinct()
+
+
+def across_salts(spans: DataFrame, num: int, den: int) -> DataFrame:
+    """(h, hub): for each salt's chain h its hub over all salts, from the chains' intervals of sizes (h, m, t, lo, hi, n).
+    Intervals that overlap or follow within the ratio are one chain of the shingle; chains of one class go."""
+    sign = F.lit(-(2**63))  # classes are ordered as unsigned numbers
+    by = Window.partitionBy("t").orderBy("lo", "hi", "h")
+    far = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.withColumn("new", F.when(F.col("lo") * num <= far * den, 0).otherwise(1))
+    runs = runs.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("t", "run")
+    runs = runs.select("h", F.min(F.col("m").bitwiseXOR(sign)).over(whole).bitwiseXOR(sign).alias("hub"), F.sum("n").over(whole).alias("classes"))
+    return runs.where("classes > 1").select("h", "hub").distinct()
 
 
 class PrefixTree:

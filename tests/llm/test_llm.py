@@ -71,6 +71,23 @@ def test_jaccard_components(spark, docs, none):
     assert jaccard_join.keep_one(docs).count() == len(corpus()) - 3
 
 
+def test_jaccard_salts_meet(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join([*words[:n], f"end{i}"]) for n in (28, 31, 60, 64, 300) for i in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    order = spark.sparkContext.broadcast(jaccard_join.Order(np.full((jaccard_join.ROWS, jaccard_join.WIDTH), 30)))
+
+    def groups(salt_from):
+        monkeypatch.setattr(jaccard_join, "SALT_FROM", salt_from)
+        index = jaccard_join.prefix_index(docs.toDF("key", "text"), 5, 80, 100, order, 64)
+        return {tuple(r) for r in jaccard_join.chains(index, 80, 100, 64).collect()}
+
+    assert groups(3) == groups(10**9)
+    monkeypatch.setattr(jaccard_join, "SALT_FROM", 1)
+    got = {r["key"]: r["component"] for r in jaccard_join.jaccard_components(docs).collect()}
+    assert [got[i] for i in range(40)] == [0] * 16 + [16] * 16 + [32] * 8
+
+
 def test_find_links_is_exact():
     r = np.random.default_rng(2)
     base = np.unique(r.integers(0, 10**6, 300).astype(np.uint64))
