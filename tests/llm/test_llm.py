@@ -124,6 +124,24 @@ def test_mixing_margins(spark, docs, none):
     assert mixing.sample(docs).columns == docs.columns and mixing.sample(none).count() == 0
 
 
+def test_mixing_volume(spark):
+    few = [(0, "x " * 20, "Y", "X", 0, 0), (1, "x " * 20, "en", "X", 0, 0), (2, "x " * 20, "Y", "s0", 0, 0)]
+    many = spark.range(3, 6003).selectExpr("id as doc_id", "repeat('w ', 200) as text", "if(id % 5 = 0, 'de', 'en') as lang", "if(id % 3 = 0, 's0', 's1') as source", "0L as n_chars", "0 as _1")
+    docs = spark.createDataFrame(few, SCHEMA).unionByName(many)
+    rows = mixing.mix(docs).toPandas().set_index("doc_id")
+    expected = rows._mix_tokens * rows._mix_probability
+    assert np.isclose(expected.sum(), rows._mix_tokens.sum() / 2) and abs(rows._mix_kept.mean() - 0.5) < 0.05
+    assert (rows._mix_probability[:3] == 1).all() and rows._mix_probability[3:].max() < 1
+    got = mixing.fit(mixing.with_cells(docs), tolerance=1e-6)
+    margins = got.margins.toPandas().set_index(["margin", "value"])
+    assert got.error <= 1e-6 and np.allclose(margins.raked, margins.target, atol=1e-6)
+    x = expected.groupby(rows._mix_source).sum() / expected.sum()
+    assert np.isclose(margins.reached["source", "X"], x["X"]) and x["X"] < margins.target["source", "X"]
+    only = spark.createDataFrame([("X", 1.0)], "value string, share double")
+    assert {r["doc_id"] for r in mixing.sample(docs, targets={"source": only}, rounds=3).select("doc_id").collect()} == {0, 1}
+    assert mixing.rake(mixing.fit(mixing.with_cells(docs)).cells.drop("raked"), {m: only.toDF(m, "share") for m in mixing.MARGINS}, rounds=1)[1] > 0.5
+
+
 def test_winnowing_by_hand(spark, docs, none):
     rows = winnowing.edited_fingerprints(docs).toPandas()
     assert len(rows) == len(corpus())
