@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release, steps_so_far
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -22,13 +22,15 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the least id reachable, for every id with an edge. edges (u, v), any order."""
+    """(id, component): the least id reachable, for every id with an edge. edges (u, v), any order. A round's steps
+    are removed once the next one is written."""
     e = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     seen = None
     while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break
-        seen = state
+        seen, old = state, set(steps_so_far())
         e = star(star(e, True), False)
+        release([x for x in steps_so_far() if x not in old][:-1])
     return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -1,6 +1,8 @@
 """Operators against brute force on small tables with nulls, empties, ties, repeats and odd columns."""
 
 import random
+import re
+import string
 import zlib
 
 import numpy as np
@@ -71,21 +73,57 @@ def test_jaccard_components(spark, docs, none):
     assert jaccard_join.keep_one(docs).count() == len(corpus()) - 3
 
 
-def test_jaccard_salts_meet(spark, monkeypatch):
-    words = [f"w{i}" for i in range(400)]
-    texts = [" ".join([*words[:n], f"end{i}"]) for n in (28, 31, 60, 64, 300) for i in range(8)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    order = spark.sparkContext.broadcast(jaccard_join.Order(np.full((jaccard_join.ROWS, jaccard_join.WIDTH), 30)))
-
-    def groups(salt_from):
-        monkeypatch.setattr(jaccard_join, "SALT_FROM", salt_from)
-        index = jaccard_join.prefix_index(docs.toDF("key", "text"), 5, 80, 100, order, 64)
-        return {tuple(r) for r in jaccard_join.chains(index, 80, 100, 64).collect()}
-
-    assert groups(3) == groups(10**9)
-    monkeypatch.setattr(jaccard_join, "SALT_FROM", 1)
-    got = {r["key"]: r["component"] for r in jaccard_join.jaccard_components(docs).collect()}
-    assert [got[i] for i in range(40)] == [0] * 16 + [16] * 16 + [32] * 8
+def brute_components(texts, k, num, den):
+    """(set size, least reachable position) of each text, over all pairs."""
+    sets, up = [], list(range(len(texts)))
+    for t in texts:
+        w = [x for x in re.split("[ \\t-\\r]+", (t or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))) if x]
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set()))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and den * len(a & b) >= num * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    return {i: (len(s), root(i)) for i, s in enumerate(sets)}
+
+
+def families(seed=3):
+    """Clusters of near copies of many sizes, a large one, texts that share a passage, short and odd texts."""
+    r = random.Random(seed)
+    vocab = [f"w{i}" for i in range(300)]
+    say = lambda n: [r.choice(vocab) for _ in range(n)]
+    edit = lambda ws, p: " ".join(r.choice(vocab) if r.random() < p else w for w in ws)
+    texts, passage, big = [], say(60), say(100)
+    for _ in range(12):
+        base = say(r.choice([20, 60, 150, 400]))
+        texts += [edit(base, r.choice([0, 0.002, 0.01, 0.03])) for _ in range(r.choice([2, 5, 30]))]
+    texts += [" ".join(passage + say(r.choice([2, 5, 10]))) for _ in range(60)]
+    texts += [" ".join(say(r.choice([2, 4, 8, 40, 100]))) for _ in range(150)]
+    texts += [edit(big, 0.01) for _ in range(120)]
+    return [*texts, "", "  ", None, "a b", "A\tB", texts[0].upper(), " ".join(say(30_000))]
+
+
+@pytest.mark.parametrize(("k", "num", "limits"), [(4, 85, jaccard_join.Limits()), (5, 80, jaccard_join.Limits(slab=500, hot=3, salt=4, block=8)), (4, 85, jaccard_join.Limits(slab=2000, hot=2, salt=2, block=5))])
+def test_jaccard_join_equals_all_pairs(spark, k, num, limits):
+    texts = families()
+    docs = spark.createDataFrame([(i, t, 0, "x") for i, t in enumerate(texts)], "doc_id long, text string, key int, c string").repartition(7)
+    got = {r["key"]: (r["n_shingles"], r["component"]) for r in jaccard_join.jaccard_components(docs, k, num, 100, limits).collect()}
+    assert got == brute_components(texts, k, num, 100)
+
+
+def test_packed_ids():
+    for t in ([7], [1, 2, 2, 9], [0, 1 << 47], [5, 5 + (1 << 32)]):
+        ids, more = np.array(t, np.uint64), np.arange(len(t), dtype=np.uint16)
+        back = jaccard_join.unpacked(jaccard_join.packed(ids, more), "<u2")
+        assert (back[0] == ids).all() and (back[1] == more).all()
+    code = jaccard_join.frequency_code(np.arange(1, 10**6, 7))
+    assert (np.diff(code.astype(int)) >= 0).all() and code.max() < 256
 
 
 def test_find_links_is_exact():
@@ -100,7 +138,7 @@ def test_find_links_is_exact():
                 group = [group[j] if g == group[i] else g for g in group]
     mine = list(range(40))
     everyone = np.ones(40, bool)
-    for u, v in jaccard_join.find_links(np.arange(40), sets, everyone, everyone, 85, 100):
+    for u, v in jaccard_join.find_links(np.arange(40), np.array([len(x) for x in sets]), sets, everyone, everyone, np.arange(40), 85, 100):
         mine = [mine[v] if g == mine[u] else g for g in mine]
     same = lambda g: {frozenset(i for i in range(40) if g[i] == x) for x in g}
     assert same(mine) == same(group)
