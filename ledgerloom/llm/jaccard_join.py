@@ -515,11 +515,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     sets = got.where("kind = 'set'").join(members.select(F.col("m").alias("c")).distinct(), "c", "left_semi")
     sets = materialize(sets.groupBy("c").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")))
     whole = components(group_links(members, sets, num, den, limits))
-    classes = rows.where("n > 0").groupBy("a", "b", "n").agg(F.min("key").alias("id"), F.first("c").alias("c"))
+    classes = rows.where("n > 0").groupBy("a", "b", "n").agg(F.min("key").alias("id"), F.first("c").alias("c"), F.count("*").alias("copies"))
     linked = materialize(classes.join(whole.withColumnRenamed("id", "c"), "c"))
     least = linked.groupBy("component").agg(F.min("id").alias("least"))
-    labels = classes.join(linked.join(least, "component").select("c", "least"), "c", "left").select("a", "b", "n", F.coalesce("least", "id").alias("component"))
-    out = rows.where("n > 0").join(labels, ["a", "b", "n"]).select("key", F.col("n").alias("n_shingles"), "component")
+    # only classes of several documents or with links need a label; it is dealt over salts, as a class may hold a third of all rows
+    labels = classes.join(linked.join(least, "component").select("c", "least"), "c", "left").where("copies > 1 or least is not null")
+    labels = labels.select("a", "b", "n", F.coalesce("least", "id").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    out = rows.where("n > 0").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(16)).cast("int")).join(labels, ["a", "b", "n", "salt"], "left")
+    out = out.select("key", F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component"))
     return out.unionByName(rows.where("n = 0").select("key", F.col("n").alias("n_shingles"), F.col("key").alias("component")))
 
 
