@@ -18,5 +18,6 @@ def to_usd(amount: Column, currency: Column) -> Column:
 
 
 def formatted(amount: Column, currency: Column) -> Column:
-    sign = F.create_map(*(F.lit(x) for kv in SIGNS.items() for x in kv))[currency]
+    """Sign, or code and a space, before thousands with two decimals; the code in any case."""
+    sign = F.create_map(*(F.lit(x) for kv in SIGNS.items() for x in kv))[F.upper(currency)]
     return F.concat(F.coalesce(sign, F.concat(currency, F.lit(" "))), F.format_number(amount, 2))

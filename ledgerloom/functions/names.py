@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Characters of the first name in one number of the state.
+WORD = 60
+ONES = (1 << WORD) - 1
+
 
 def sorted_tokens(name: Column) -> Column:
     """Lower-cased tokens in order, joined by a space."""
@@ -12,21 +16,66 @@ def sorted_tokens(name: Column) -> Column:
     return F.array_join(F.array_sort(tokens), " ")
 
 
-def common_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, bit-parallel, for ``a`` of up to 60 characters.
+def let(value: Column, body) -> Column:
+    """Bind a value once inside one expression, so that lambdas below don't evaluate it again."""
+    return F.transform(F.array(value), body)[0]
+
+
+def profile(name: Column) -> Column:
+    """What a comparison needs of a name: sorted tokens ``w``, their characters, and, for up to WORD of them, bits of the places
+    of each character."""
+
+    def of(w: Column) -> Column:
+        chars = F.filter(F.split(w, ""), lambda c: c != "")
+        bits = lambda cs, c: F.aggregate(F.transform(cs, lambda x, i: F.when(x == c, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+        places = lambda cs: F.map_from_entries(F.transform(F.array_distinct(F.slice(cs, 1, WORD)), lambda c: F.struct(c.alias("key"), bits(F.slice(cs, 1, WORD), c).alias("value"))))
+        return let(chars, lambda cs: F.struct(w.alias("w"), F.size(cs).alias("n"), cs.alias("chars"), places(cs).alias("places")))
+
+    return let(sorted_tokens(name), of)
 
-    Bit i of the state is 0 where the subsequence grows at a's character i.
+
+def common_short(places: Column, chars: Column) -> Column:
+    """Length of the longest common subsequence, bit-parallel, of a name of up to WORD characters, by their places, and another.
+
+    Bit i of the state is 0 where the subsequence grows at the first name's character i.
     """
-    m = F.length(a)
-    ones = F.shiftleft(F.lit(1).cast("long"), 60) - 1
-    places = lambda c: F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), F.lit(0).cast("long"), lambda s, i: F.when(F.substring(a, i, F.lit(1)) == c, s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i - 1))).otherwise(s))
-    step = lambda s, c: (lambda u: ((s + u).bitwiseOR(s - u)).bitwiseAND(ones))(s.bitwiseAND(places(c)))
-    state = F.aggregate(F.filter(F.split(b, ""), lambda c: c != ""), ones, step)
-    return F.lit(60) - F.bit_count(state)
+
+    def step(s: Column, c: Column) -> Column:
+        m = F.coalesce(F.try_element_at(places, c), F.lit(0).cast("long"))
+        return let(s.bitwiseAND(m), lambda u: (s + u).bitwiseOR(s - u).bitwiseAND(F.lit(ONES)))
+
+    return F.lit(WORD) - F.bit_count(F.aggregate(chars, F.lit(ONES), step))
+
+
+def places_from(a: Column, first: Column, c: Column) -> Column:
+    """Bits of the places of ``c`` among the WORD characters of ``a`` from ``first`` (from 0) on."""
+    bits = F.transform(F.slice(a, first + 1, F.lit(WORD)), lambda x, i: F.when(x == c, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+
+
+def common_long(a: Column, b: Column) -> Column:
+    """The same of two arrays of characters of any length: a state of several numbers, with the sum's carry from each to the next."""
+    words = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / WORD).cast("int"))
+    empty = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<long>").alias("out"))
+
+    def step(state: Column, c: Column) -> Column:
+        def word(done: Column, w: Column) -> Column:
+            here = F.struct(F.get(state, w).alias("s"), places_from(a, w * WORD, c).alias("m"))
+            grown = let(here, lambda x: F.struct((x["s"] + x["s"].bitwiseAND(x["m"]) + done["carry"]).alias("sum"), x["s"].bitwiseAND(F.bitwise_not(x["m"])).alias("kept")))
+            return let(grown, lambda x: F.struct(F.shiftright(x["sum"], WORD).alias("carry"), F.concat(done["out"], F.array(x["sum"].bitwiseAND(F.lit(ONES)).bitwiseOR(x["kept"]))).alias("out")))
+
+        return F.aggregate(words, empty, word, lambda x: x["out"])
+
+    state = F.aggregate(b, F.transform(words, lambda w: F.lit(ONES)), step)
+    return F.aggregate(state, F.lit(0), lambda n, s: n + WORD - F.bit_count(s))
+
+
+def likeness(x: Column, y: Column) -> Column:
+    """(1 - dist / n) * 100 of two profiles, dist = n - 2 * common, n the total length; 100 for two empty names."""
+    n = x["n"] + y["n"]
+    common = F.when(x["n"] <= WORD, common_short(x["places"], y["chars"])).when(y["n"] <= WORD, common_short(y["places"], x["chars"])).otherwise(common_long(x["chars"], y["chars"]))
+    return F.when(x["w"] == y["w"], 100.0).otherwise((1 - (n - 2 * common) / F.greatest(n, F.lit(1)).cast("double")) * 100)
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """(1 - dist / n) * 100 of the sorted tokens, dist = n - 2 * common, n the total length; 100 for two empty names."""
-    x, y = sorted_tokens(a), sorted_tokens(b)
-    n = F.length(x) + F.length(y)
-    return F.when(n == 0, 100.0).otherwise((1 - (n - 2 * common_length(x, y)) / F.greatest(n, F.lit(1)).cast("double")) * 100)
+    return let(F.struct(profile(a).alias("x"), profile(b).alias("y")), lambda p: likeness(p["x"], p["y"]))

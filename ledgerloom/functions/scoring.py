@@ -10,12 +10,6 @@ def stripped(ref: Column) -> Column:
     return F.regexp_replace(ref, r"^\s+|\s+$", "")
 
 
-def boost(a: Column, b: Column) -> Column:
-    """40 for equal references, both not empty."""
-    same = (a != "") & (b != "") & (stripped(a) == stripped(b))
-    return F.when(same, 40.0).otherwise(0.0)
-
-
 def amount_score(tx_usd: Column, ledger_usd: Column) -> Column:
     return F.greatest(F.lit(0.0), 100 - F.abs(tx_usd - ledger_usd) / (tx_usd + 1e-5) * 100)
 
@@ -25,7 +19,8 @@ def confidence(name: Column, amount: Column, bonus: Column) -> Column:
 
 
 def stored(raw: Column) -> Column:
-    return F.least(F.lit(100.0), F.round(raw, 2))
+    """Rounded and capped; null without a score."""
+    return F.when(raw.isNotNull(), F.least(F.lit(100.0), F.round(raw, 2)))
 
 
 def tier(score: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def daily_flow(tx: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """(idx, day, amount) of every day of the window before ``as_of``, 0 where nothing flowed."""
     end = F.to_date(F.lit(as_of))
-    sums = tx.where((F.to_date("created_at") >= F.date_sub(end, days)) & (F.to_date("created_at") < end)).groupBy(F.to_date("created_at").alias("day")).agg(F.sum("amount").alias("amount"))
+    sums = tx.where((F.col("created_at") >= F.date_sub(end, days).cast("timestamp")) & (F.col("created_at") < end.cast("timestamp"))).groupBy(F.to_date("created_at").alias("day")).agg(F.sum("amount").alias("amount"))
     calendar = tx.sparkSession.range(days).select(F.col("id").cast("int").alias("idx"), F.date_add(F.date_sub(end, days), F.col("id").cast("int")).alias("day"))
     return calendar.join(sums, "day", "left").select("idx", "day", F.coalesce("amount", F.lit(0.0)).alias("amount"))
 

@@ -59,14 +59,15 @@ def failed(request: Column) -> Column:
 def rollup(reports: DataFrame) -> DataFrame:
     """Counts per report, within the row: no shuffle."""
     cases = F.coalesce("test_cases", F.array().cast(reports.schema["test_cases"].dataType))
-    requests = F.flatten(F.transform(cases, lambda c: c["requests"]))
+    empty = F.array().cast(reports.schema["test_cases"].dataType.elementType["requests"].dataType)
+    requests = F.flatten(F.transform(cases, lambda c: F.coalesce(c["requests"], empty)))
     passed = lambda r: F.coalesce(r["tests"]["passedAssertionsCount"], F.lit(0))
     rows = reports.withColumns({"_cases": cases, "_requests": requests})
     r, c = F.col("_requests"), F.col("_cases")
     out = rows.withColumns({"total_assertions": total(r, asserted), "passed_assertions": total(r, passed)})
     return out.select(
         *reports.columns, "total_assertions", "passed_assertions", (F.col("total_assertions") - F.col("passed_assertions")).alias("failed_assertions"),
-        F.size(c).cast("long").alias("n_cases"), total(c, lambda x: F.exists(x["requests"], failed).cast("int")).alias("failed_cases"),
+        F.size(c).cast("long").alias("n_cases"), total(c, lambda x: F.coalesce(F.exists(x["requests"], failed), F.lit(False)).cast("int")).alias("failed_cases"),
         F.size(r).cast("long").alias("n_requests"), total(r, lambda x: failed(x).cast("int")).alias("failed_requests"),
     )
 
@@ -88,3 +89,10 @@ def counters(judged: DataFrame) -> DataFrame:
     """Passed and failed reports and assertions by template."""
     n = lambda c: F.count_if(c)
     return judged.groupBy("template").agg(n(F.col("is_passed")).alias("passed"), n(~F.col("is_passed")).alias("failed"), F.sum("passed_assertions").alias("assertions_passed"), F.sum("failed_assertions").alias("assertions_failed"))
+
+
+def assertion_counters(reports: DataFrame) -> DataFrame:
+    """Passed and failed assertions by request (its place in the case) and test case (its place in the report)."""
+    rows = reports.select(F.posexplode("test_cases").alias("test", "c")).select("test", F.posexplode("c.requests").alias("request", "r"))
+    n, ok = asserted(F.col("r")), F.coalesce("r.tests.passedAssertionsCount", F.lit(0))
+    return rows.groupBy("request", "test").agg(F.sum(ok.cast("long")).alias("assert_success"), F.sum((n - ok).cast("long")).alias("assert_fail"))

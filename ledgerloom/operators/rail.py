@@ -135,7 +135,8 @@ def await_callbacks(listeners: DataFrame, inbound: DataFrame, seconds: int = 15)
     """listeners (listener, method, path, ts) with the first inbound message of the same method and path from then on,
     within the time, else null: a union in time order, read backwards, instead of a join on ranges."""
     a = listeners.select("method", "path", "ts", "listener", F.lit(None).cast("long").alias("seq"))
-    b = inbound.select("method", "path", "ts", F.lit(None).cast("long").alias("listener"), "seq")
+    heard = inbound.join(listeners.select("method", "path").distinct(), ["method", "path"], "left_semi")
+    b = heard.select("method", "path", "ts", F.lit(None).cast("long").alias("listener"), "seq")
     here = F.when(F.col("seq").isNotNull(), F.struct("ts", "seq"))
     w = Window.partitionBy("method", "path").orderBy(F.desc("ts"), F.col("listener").isNotNull(), F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = a.unionByName(b).withColumn("_next", F.last(here, ignorenulls=True).over(w)).where("listener is not null")

@@ -1,60 +1,204 @@
-"""Duplicate charges, reference matches with confidence tiers, anomalies and summaries."""
+"""Reconciliation of transfers with bank statements and invoices, anomalies and summaries.
+
+Transfers are taken in ledger order (``seq``). Each scores every bank row that no earlier transfer has matched, and, where
+the best is below 85, every such invoice; a candidate replaces the best if its raw score is above the best's stored
+(rounded, capped) one. A result from 90 on is matched and takes its ledger row away from later transfers.
+
+As a parallel job:
+
+1. Over candidates in ledger order that fold has a closed form. The final stored score is the greatest, G; the winner is the
+   last candidate whose raw score is above G, or, if there is none, the first that is stored as G. So it is one
+   ``max_by``, without order or state (``place``).
+2. Without an equal reference a score is at most 80. So only rows of equal reference are ever matched and taken, and each
+   reference is a world of its own: where it has one transfer, ``max_by`` decides; where it has several, they are folded in order
+   (``fold``: one reference's rows in one task, as each choice depends on those before). What ends above 80 there is decided.
+3. The rest see all rows not taken before them. Rows of nearly equal amount give each of them a score that can be reached;
+   then only names whose similarity could beat it are joined, and only rows in the amounts that could. That
+   search is exact, and compares distinct names, not rows, with each other.
+
+Amounts are dollars. Null names are empty ones. A transfer without amount, or with a negative one, has no candidates. A
+reference counts if it is not empty, though it may be blank. Ledger rows have unique ids.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, scoring
 from ..functions.money import to_usd
+from ..functions.text import plain_number
+from ..steps import materialize
+
+RESULT = ("seq", "transaction_id", "ledger_id", "ledger_type", "status", "amount_difference", "match_confidence", "confidence_tier", "remarks")
+#: Relative width of the amount buckets that give a first reachable score.
+NEAR = 0.002
+#: First, last and relative width of the buckets of the search; amounts beyond count for the first or last.
+COARSE = (-200, 2000, 0.02)
+#: Scores closer than this can be stored as the same number.
+STEP = 0.011
 
 
 def duplicate_charges(tx: DataFrame) -> DataFrame:
     """Every occurrence of (payer, amount, currency) after the first, pointing to the first."""
+    return with_previous(tx).where("previous_id is not null").select("seq", "transaction_id", "previous_id", F.lit("duplicate_charge").alias("anomaly_type"), F.lit("high").alias("severity"), F.lit(0.92).alias("risk_score"))
+
+
+def with_previous(tx: DataFrame) -> DataFrame:
+    """Add ``previous_id``: the first transfer of the same payer, amount and currency, for every later one."""
     w = Window.partitionBy("payer", "amount", "currency").orderBy("seq")
-    marked = tx.withColumns({"rn": F.row_number().over(w), "first_id": F.first("transaction_id").over(w)})
-    return marked.where("rn > 1").select("seq", "transaction_id", F.col("first_id").alias("previous_id"), F.lit("duplicate_charge").alias("anomaly_type"), F.lit("high").alias("severity"), F.lit(0.92).alias("risk_score"))
-
-
-def name_scores(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, score) of the distinct name pairs: few, however many rows share them."""
-    return pairs.select(a, b).distinct().withColumn("score", names.similarity(F.col(a), F.col(b)))
-
-
-def reference_matches(tx: DataFrame, ledger: DataFrame, ref: str, name: str, amount: str, ledger_id: str, sides: list[str]) -> DataFrame:
-    """Transfers with the ledger rows of equal, stripped reference; name score is the best of ``sides``."""
-    t = tx.withColumns({"ref": scoring.stripped(F.col("reference_id")), "usd": to_usd(F.col("amount"), F.col("currency"))}).where("ref <> ''")
-    l = ledger.select(scoring.stripped(F.col(ref)).alias("ref"), F.col(name).alias("l_name"), to_usd(F.col(amount), F.col("currency")).alias("l_usd"), F.col(ledger_id).alias("ledger_id"))
-    rows = t.join(l, "ref")
-    for side in sides:
-        scores = name_scores(rows, side, "l_name").withColumnRenamed("score", f"score_{side}")
-        rows = rows.join(scores, [side, "l_name"])
-    best = F.greatest(*(F.col(f"score_{s}") for s in sides)) if len(sides) > 1 else F.col(f"score_{sides[0]}")
-    raw = scoring.confidence(best, scoring.amount_score(F.col("usd"), F.col("l_usd")), F.lit(40.0))
-    return rows.select("seq", "transaction_id", "ledger_id", "amount", raw.alias("raw"), F.round(F.abs(F.col("usd") - F.col("l_usd")), 2).alias("amount_difference"))
-
-
-def reconcile_by_reference(tx: DataFrame, bank: DataFrame, erp: DataFrame) -> DataFrame:
-    """One row per transfer from unique references: the bank row, or the invoice where the bank's score is below 85
-    and the invoice's is higher than the bank's stored score."""
-    b = reference_matches(tx, bank, "reference_number", "counterparty", "amount", "bank_statement_id", ["payer", "payee"])
-    e = reference_matches(tx, erp, "invoice_number", "customer_vendor_name", "expected_amount", "erp_id", ["payee"])
-    pick = lambda df, p: df.select("seq", *(F.col(c).alias(f"{p}_{c}") for c in ("ledger_id", "raw", "amount_difference")))
-    out = tx.select("seq", "transaction_id", "amount").join(pick(b, "b"), "seq", "left").join(pick(e, "e"), "seq", "left")
-    low = F.coalesce(F.col("b_raw"), F.lit(0.0))
-    use_erp = (low < 85) & F.col("e_raw").isNotNull() & (F.col("e_raw") > F.coalesce(scoring.stored(F.col("b_raw")), F.lit(0.0)))
-    chosen = lambda c: F.when(use_erp, F.col(f"e_{c}")).otherwise(F.col(f"b_{c}"))
-    score = F.coalesce(scoring.stored(chosen("raw")), F.lit(0.0))
-    return out.select(
-        "seq", "transaction_id", chosen("ledger_id").alias("ledger_id"), F.when(use_erp, "ERP").otherwise("BANK").alias("ledger_type"),
-        scoring.status(score).alias("status"), F.coalesce(chosen("amount_difference"), F.lit(0.0)).alias("amount_difference"), score.alias("match_confidence"), scoring.tier(score).alias("confidence_tier"),
+    return tx.withColumn("previous_id", F.when(F.row_number().over(w) > 1, F.first("transaction_id").over(w)))
+
+
+def reference_key(ref: Column) -> Column:
+    return F.when(ref != "", scoring.stripped(ref))
+
+
+def ledger_rows(bank: DataFrame, erp: DataFrame) -> DataFrame:
+    """(side, l_seq, ledger_id, name, l_usd, key) of both ledgers."""
+
+    def side(df: DataFrame, kind: str, ident: str, name: str, amount: str, ref: str) -> DataFrame:
+        return df.select(F.lit(kind).alias("side"), F.col("seq").alias("l_seq"), F.col(ident).alias("ledger_id"), F.coalesce(name, F.lit("")).alias("name"), to_usd(F.col(amount), F.col("currency")).alias("l_usd"), reference_key(F.col(ref)).alias("key"))
+
+    rows = side(bank, "BANK", "bank_statement_id", "counterparty", "amount", "reference_number")
+    return rows.unionByName(side(erp, "ERP", "erp_id", "customer_vendor_name", "expected_amount", "invoice_number")).where("l_usd is not null")
+
+
+def name_scores(pairs: DataFrame) -> DataFrame:
+    """Add ``score`` to pairs (side, payer, payee, name): of bank rows the better of payer and payee, of invoices the payee. Each
+    distinct pair of names is compared once, however many rows share it."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = pairs.where("side = 'BANK'").select(F.col("payer").alias("a"), "name").unionByName(pairs.select(F.col("payee").alias("a"), "name")).distinct()
+    names_of = lambda c: one.select(F.col(c).alias("n")).distinct().select(F.col("n").alias(c), names.profile(F.col("n")).alias(f"{c}_profile"))
+    one = materialize(one)
+    both = one.repartition(parts).join(materialize(names_of("a")), "a").join(materialize(names_of("name")), "name")
+    one = materialize(both.select("a", "name", names.likeness(F.col("a_profile"), F.col("name_profile")).alias("s")))
+    out = pairs.join(one.toDF("payee", "name", "s2"), ["payee", "name"]).join(one.toDF("payer", "name", "s1"), ["payer", "name"], "left")
+    return out.withColumn("score", F.when(F.col("side") == "BANK", F.greatest("s1", "s2")).otherwise(F.col("s2"))).drop("s1", "s2")
+
+
+def difference() -> Column:
+    return F.abs(F.col("usd") - F.col("l_usd"))
+
+
+def place(raw: Column) -> Column:
+    """What the fold keeps has the greatest of these."""
+    stored = scoring.stored(raw)
+    above = raw > stored
+    return F.struct(stored.alias("stored"), above.alias("above"), F.when(above, F.col("l_seq")).otherwise(-F.col("l_seq")).alias("turn"))
+
+
+def best(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """pairs (by, side, l_seq, ledger_id, raw, gap) to one row per group: bank and erp, each (ledger_id, raw, gap) or null."""
+    what = F.struct("ledger_id", "raw", "gap")
+    of = lambda side: F.max_by(F.when(F.col("side") == side, what), F.when(F.col("side") == side, place(F.col("raw"))))
+    return pairs.groupBy(*by).agg(of("BANK").alias("bank"), of("ERP").alias("erp"))
+
+
+def chosen(rows: DataFrame) -> DataFrame:
+    """rows with bank and erp to (…, ledger_type, ledger_id, raw, gap): the invoice if the bank's score is below 85 and less."""
+    held = F.coalesce(scoring.stored(F.col("bank.raw")), F.lit(0.0))
+    bank = F.when(F.col("bank.raw") > 0, F.col("bank"))
+    erp = (held < 85) & F.coalesce(F.col("erp.raw") > held, F.lit(False))
+    out = rows.withColumn("x", F.when(erp, F.col("erp")).otherwise(bank)).withColumn("ledger_type", F.when(erp, "ERP").when(F.col("x").isNotNull(), "BANK"))
+    return out.select("*", "x.*").drop("x", "bank", "erp")
+
+
+def fold(key: tuple, chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Transfers of one reference in order, each taking its matched ledger row from the later ones."""
+    pairs = pd.concat(list(chunks)).sort_values(["seq", "l_seq"])
+    taken, out = set(), []
+    for seq, rows in pairs.groupby("seq", sort=True):
+        held, pick = 0.0, None
+        for side in ("BANK", "ERP"):
+            if side == "ERP" and held >= 85:
+                break
+            for r in rows[rows.side == side].itertuples():
+                if (side, r.ledger_id) not in taken and r.raw > held:
+                    held, pick = r.stored, (side, r.ledger_id, r.raw, r.gap)
+        if pick and held >= 90:
+            taken.add(pick[:2])
+        out.append((seq, *(pick or (None, None, None, None))))
+    yield pd.DataFrame(out, columns=["seq", "ledger_type", "ledger_id", "raw", "gap"])
+
+
+def by_reference(tx: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(decided transfers: seq, ledger_type, ledger_id, raw, gap; pairs of equal reference)."""
+    t = tx.where("key is not null and usd >= 0").withColumn("rivals", F.count("*").over(Window.partitionBy("key")))
+    pairs = materialize(t.join(ledger.where("key is not null"), "key").select("key", "rivals", "seq", "payer", "payee", "usd", "side", "l_seq", "ledger_id", "name", "l_usd"))
+    raw = scoring.confidence(F.col("score"), scoring.amount_score(F.col("usd"), F.col("l_usd")), F.lit(40.0))
+    pairs = materialize(name_scores(pairs).select("key", "rivals", "seq", "side", "l_seq", "ledger_id", raw.alias("raw"), difference().alias("gap")))
+    alone = chosen(best(pairs.where("rivals = 1"), ["seq"]))
+    rivals = pairs.where("rivals > 1").withColumn("stored", scoring.stored(F.col("raw")))
+    folded = rivals.groupBy("key").applyInPandas(fold, "seq long, ledger_type string, ledger_id string, raw double, gap double")
+    return materialize(alone.unionByName(folded).where("raw > 80")), pairs.drop("rivals", "key")
+
+
+def by_search(rest: DataFrame, ledger: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Best bank row and invoice over all open rows of each of the ``rest`` transfers: (seq, ledger_type, ledger_id, raw, gap).
+    ledger with ``taken_at``; pairs: of equal reference, which have their bonus."""
+    open_ = F.col("taken_at").isNull() | (F.col("taken_at") >= F.col("seq"))
+    who = rest.select("payer", "payee").distinct()
+    both = materialize(name_scores(materialize(who.crossJoin(ledger.select("side", "name").distinct()))))
+    raw = scoring.confidence(F.col("score"), scoring.amount_score(F.col("usd"), F.col("l_usd")), F.lit(0.0))
+    bucket = lambda c: F.floor(F.ln(F.greatest(F.col(c), F.lit(0.01))) / NEAR)
+    own = pairs.join(rest.select("seq"), "seq", "left_semi").join(ledger.select("side", "ledger_id", "taken_at"), ["side", "ledger_id"]).where(open_).drop("taken_at")
+    near = rest.withColumn("b", F.explode(F.array(bucket("usd") - 1, bucket("usd"), bucket("usd") + 1)))
+    near = near.join(ledger.withColumn("b", bucket("l_usd")), "b").where(open_).join(both, ["payer", "payee", "side", "name"])
+    reach = near.select("seq", "side", raw.alias("raw")).unionByName(own.select("seq", "side", "raw")).groupBy("seq", "side").agg(F.max("raw").alias("reach"))
+    sides = rest.withColumn("side", F.explode(F.array(F.lit("BANK"), F.lit("ERP")))).join(reach, ["seq", "side"], "left").withColumn("reach", F.coalesce("reach", F.lit(0.0)))
+    able = sides.join(both, ["payer", "payee", "side"]).where(F.col("score") * 0.4 + 40 >= F.col("reach") - STEP)
+    # the amounts that could still reach it, as a range of coarse buckets; all of them where the name alone could
+    least = (F.col("reach") - STEP - F.col("score") * 0.4) / 40
+    most = F.when(least > 0, (F.col("usd") + 1e-5) * (1 - least) * 1.000001).otherwise(F.lit(1e300))
+    coarse = lambda c: F.least(F.lit(COARSE[1]), F.greatest(F.lit(COARSE[0]), F.floor(F.ln(F.greatest(c, F.lit(0.01))) / COARSE[2]).cast("int")))
+    able = able.withColumn("at", F.explode(F.sequence(coarse(F.col("usd") - most), coarse(F.col("usd") + most))))
+    found = able.join(ledger.withColumn("at", coarse(F.col("l_usd"))), ["side", "name", "at"]).where(open_).select("seq", "side", "l_seq", "ledger_id", "reach", raw.alias("raw"), difference().alias("gap"))
+    found = found.where(F.col("raw") >= F.col("reach") - STEP).drop("reach")
+    return chosen(best(found.unionByName(own.select(*found.columns)), ["seq"]))
+
+
+def reconcile(tx: DataFrame, bank: DataFrame, erp: DataFrame) -> DataFrame:
+    """One row per transfer: RESULT, and payer, amount, currency and previous_id (of a duplicate charge)."""
+    t = with_previous(tx).select("seq", "transaction_id", "payer", "amount", "currency", "previous_id", F.coalesce("payee", F.lit("")).alias("_payee"), to_usd(F.col("amount"), F.col("currency")).alias("_usd"), reference_key(F.col("reference_id")).alias("_key"))
+    t = materialize(t)
+    facts = t.select("seq", F.coalesce("payer", F.lit("")).alias("payer"), F.col("_payee").alias("payee"), F.col("_usd").alias("usd"), F.col("_key").alias("key"))
+    ledger = materialize(ledger_rows(bank, erp))
+    decided, pairs = by_reference(facts, ledger)
+    taken = decided.where(scoring.stored(F.col("raw")) >= 90).select(F.col("ledger_type").alias("side"), "ledger_id", F.col("seq").alias("taken_at"))
+    # few rows that meet many: dealt over all tasks, whatever their bytes
+    parts = int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = materialize(facts.where("usd >= 0").join(decided.select("seq"), "seq", "left_anti").drop("key").repartition(parts, "seq"))
+    searched = by_search(rest, materialize(ledger.join(taken, ["side", "ledger_id"], "left").drop("key").repartition(parts, "ledger_id")), pairs)
+    out = t.join(decided.unionByName(searched), "seq", "left")
+    score = F.coalesce(scoring.stored(F.col("raw")), F.lit(0.0))
+    out = out.withColumns({"match_confidence": score, "amount_difference": F.coalesce(F.round("gap", 2), F.lit(0.0)), "status": scoring.status(score), "confidence_tier": scoring.tier(score)})
+    out = out.withColumn("remarks", remarks()).withColumn("ledger_type", F.coalesce("ledger_type", F.lit("BANK")))
+    return out.select(*RESULT, "payer", "amount", "currency", "previous_id")
+
+
+def remarks() -> Column:
+    record = F.concat(F.col("ledger_type"), F.lit(" ledger record '"), F.col("ledger_id"), F.lit("'."))
+    return (
+        F.when(F.col("status") == "matched", F.concat(F.lit("Automated AI High-Confidence Match against "), record))
+        .when(F.col("status") == "partial", F.concat(F.lit("Partial Match against "), record, F.lit(" Slight amount difference of "), plain_number(F.col("amount_difference")), F.lit(" USD or name variance.")))
+        .otherwise("No matching bank statement or ERP invoice record found within acceptable confidence threshold.")
     )
 
 
-def anomalies(results: DataFrame, duplicates: DataFrame) -> DataFrame:
-    found = F.when(F.col("status") == "partial", F.struct(F.lit("amount_mismatch").alias("t"), F.lit("medium").alias("s"), F.lit(0.55).alias("r"))).when(F.col("status") == "unmatched", F.struct(F.lit("missing_settlement").alias("t"), F.lit("high").alias("s"), F.lit(0.88).alias("r")))
-    by_status = results.withColumn("x", found).where("x is not null").select("seq", "transaction_id", F.col("x.t").alias("anomaly_type"), F.col("x.s").alias("severity"), F.col("x.r").alias("risk_score"))
-    return duplicates.select(*by_status.columns).unionByName(by_status)
+def anomalies(results: DataFrame) -> DataFrame:
+    """Duplicate charges, and what the status tells: a transfer may have two. All are open. From the results alone."""
+    money = F.concat(F.coalesce("currency", F.lit("None")), F.lit(" "), F.coalesce(plain_number(F.col("amount")), F.lit("None")))
+    one = lambda kind, severity, risk, text: F.struct(F.lit(kind).alias("anomaly_type"), F.lit(severity).alias("severity"), F.lit(risk).alias("risk_score"), text.alias("explanation"))
+    duplicate = one("duplicate_charge", "high", 0.92, F.concat(F.lit("Potential duplicate charge detected. Identical amount "), money, F.lit(" and payer '"), F.coalesce("payer", F.lit("None")), F.lit("' matches previous transaction '"), F.col("previous_id"), F.lit("'.")))
+    mismatch = one("amount_mismatch", "medium", 0.55, F.concat(F.lit("Amount difference of $"), plain_number(F.col("amount_difference")), F.lit(" USD between Mojaloop transaction ("), money, F.lit(") and ledger record '"), F.col("ledger_id"), F.lit("'.")))
+    missing = one("missing_settlement", "high", 0.88, F.concat(F.lit("Mojaloop transfer of "), money, F.lit(" has no matching settlement record in central bank or ERP ledgers.")))
+    by_status = F.when(F.col("status") == "partial", mismatch).when(F.col("status") == "unmatched", missing)
+    both = F.array_compact(F.array(F.when(F.col("previous_id").isNotNull(), duplicate), by_status))
+    return results.select("seq", "transaction_id", F.explode(both).alias("x")).select("seq", "transaction_id", "x.*", F.lit("OPEN").alias("status"))
 
 
 def anomaly_queue(rows: DataFrame) -> DataFrame:
@@ -62,13 +206,41 @@ def anomaly_queue(rows: DataFrame) -> DataFrame:
     return rows.orderBy(rank, F.desc("risk_score"), "seq")
 
 
-def dashboard(results: DataFrame, found: DataFrame, tx: DataFrame) -> DataFrame:
-    n = lambda c: F.count_if(c)
-    a = results.agg(F.count("*").alias("total_transactions"), n(F.col("status") == "matched").alias("matched"), n(F.col("status") == "partial").alias("partial"), n(F.col("status") == "unmatched").alias("unmatched"))
-    b = found.agg(F.count("*").alias("open_anomalies"))
-    c = tx.join(results.where("status = 'matched'").select("transaction_id"), "transaction_id", "left_semi").agg(F.round(F.coalesce(F.sum("amount"), F.lit(0.0)), 2).alias("total_reconciled_value"))
-    rate = F.when(F.col("total_transactions") > 0, F.round(F.col("matched") / F.col("total_transactions") * 100, 2)).otherwise(0.0)
-    return a.join(F.broadcast(b)).join(F.broadcast(c)).withColumn("match_rate", rate)
+def matched_value(results: DataFrame, tx: DataFrame) -> DataFrame:
+    """Sum of the native amounts of the transfers whose id is matched."""
+    ids = results.where("status = 'matched'").select("transaction_id")
+    return tx.join(ids, "transaction_id", "left_semi").agg(F.round(F.coalesce(F.sum("amount"), F.lit(0.0)), 2).alias("total_reconciled_value"))
+
+
+def tallies(value: Column) -> list[Column]:
+    n = lambda s: F.count_if(F.col("status") == s)
+    rate = F.when(F.count("*") > 0, F.round(n("matched") / F.count("*") * 100, 2)).otherwise(0.0)
+    return [
+        F.count("*").alias("total_transactions"), n("matched").alias("matched"), n("partial").alias("partial"), n("unmatched").alias("unmatched"), rate.alias("match_rate"),
+        (n("partial") + n("unmatched")).alias("mismatched"), F.round(F.coalesce(F.sum(F.when(F.col("status") == "matched", value)), F.lit(0.0)), 2).alias("total_reconciled_value"),
+    ]
+
+
+def dashboard(results: DataFrame) -> DataFrame:
+    """The summary of a fresh run in one pass, all of its anomalies being open."""
+    open_ = F.count("previous_id") + F.count_if(F.col("status") != "matched")
+    return results.agg(*tallies(F.col("amount")), open_.alias("open_anomalies"))
+
+
+def dashboard_of(results: DataFrame, found: DataFrame, tx: DataFrame) -> DataFrame:
+    """The summary of stored tables: anomalies count while open; without results, all transfers are the total."""
+    a = results.agg(*tallies(F.lit(0.0))).drop("total_reconciled_value")
+    b = found.where("status = 'OPEN'").agg(F.count("*").alias("open_anomalies"))
+    all_ = tx.agg(F.count("*").alias("_all"))
+    out = a.join(F.broadcast(b)).join(F.broadcast(matched_value(results, tx))).join(F.broadcast(all_))
+    return out.withColumn("total_transactions", F.when(F.col("total_transactions") > 0, F.col("total_transactions")).otherwise(F.col("_all"))).drop("_all")
+
+
+def run_summary(results: DataFrame) -> DataFrame:
+    """Counts of a fresh run, and its message."""
+    matched = F.count_if(F.col("status") == "matched")
+    text = F.concat(F.lit("AI Reconciliation complete. "), matched.cast("string"), F.lit("/"), F.count("*").cast("string"), F.lit(" matched successfully."))
+    return results.agg(F.count("*").alias("total_reconciled"), matched.alias("matched_count"), (F.count("previous_id") + F.count_if(F.col("status") != "matched")).alias("anomalies_detected"), text.alias("message"))
 
 
 def where_status(results: DataFrame, status: str | None = None, tier: str | None = None) -> DataFrame:
@@ -79,6 +251,14 @@ def where_status(results: DataFrame, status: str | None = None, tier: str | None
 
 
 def queue(results: DataFrame, text: str, matched: bool) -> DataFrame:
-    """Rows of the tab whose ids contain the text, whatever its case."""
-    hit: Column = F.lower("transaction_id").contains(text.lower()) | F.lower(F.coalesce("ledger_id", F.lit(""))).contains(text.lower())
+    """Rows of the tab whose ids or remarks contain the text, whatever its case."""
+    hit = F.lit(False)
+    for c in ("transaction_id", "remarks", "ledger_id"):
+        hit = hit | F.lower(F.coalesce(c, F.lit(""))).contains(text.lower())
     return results.where(((F.col("status") == "matched") == F.lit(matched)) & hit)
+
+
+def listing(rows: DataFrame, kind: str) -> DataFrame:
+    """Transfers, newest first; results and forecasts, oldest first."""
+    order = {"transactions": F.desc("seq"), "results": F.asc("seq"), "forecast": F.asc("forecast_date")}
+    return rows.orderBy(order[kind])

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 
 def manual_match(results: DataFrame, matches: DataFrame) -> DataFrame:
-    """Results with the manual matches (transaction_id, ledger_id) set, added where there was no row.
-    The amount difference stays, 0 for an added row."""
-    m = matches.select("transaction_id", F.col("ledger_id").alias("_ledger"))
-    hit = F.col("_ledger").isNotNull()
-    set_to = {"ledger_id": F.col("_ledger"), "status": F.lit("matched"), "match_confidence": F.lit(100.0), "confidence_tier": F.lit("high")}
+    """Results with the manual matches (transaction_id, ledger_id, and ledger_type, remarks, seq where given) set, added
+    where there was no row. The amount difference stays, 0 for an added row. Of several matches of one transfer the one
+    of the highest seq counts, or of the greatest ledger id. A type that is not given is BANK."""
+    given = lambda c, default: F.coalesce(F.col(c), default) if c in matches.columns else default
+    last = F.struct(F.col("seq") if "seq" in matches.columns else F.lit(0), "ledger_id")
+    m = matches.groupBy("transaction_id").agg(F.max_by(F.struct("ledger_id", given("ledger_type", F.lit("BANK")).alias("ledger_type"), given("remarks", F.lit("")).alias("remarks")), last).alias("_m"))
+    hit = F.col("_m").isNotNull()
+    set_to = {"ledger_id": F.col("_m.ledger_id"), "ledger_type": F.col("_m.ledger_type"), "status": F.lit("matched"), "match_confidence": F.lit(100.0), "confidence_tier": F.lit("high"), "remarks": F.col("_m.remarks")}
     out = results.join(m, "transaction_id", "full_outer")
     columns = [F.when(hit, set_to[c]).otherwise(F.col(c)).alias(c) if c in set_to else F.coalesce(c, F.lit(0.0)).alias(c) if c == "amount_difference" else F.col(c) for c in results.columns]
     return out.select(*columns)
@@ -48,20 +51,22 @@ def add_rates(rates: DataFrame, per_usd: dict[str, float]) -> DataFrame:
     return rates.select(*new.columns).unionByName(new.join(rates, ["from_currency", "to_currency"], "left_anti").select(*new.columns))
 
 
+def status_kind(status: Column) -> Column:
+    """matched, partial or unmatched."""
+    return F.when(status == "matched", "matched").when(status.isin("partial", "pending_settlement", "amount_mismatch"), "partial").otherwise("unmatched")
+
+
 def status_label(status: Column) -> Column:
-    """Normalised status: lower case, blanks and dashes as underscores; unknown ones are unmatched."""
-    s = F.regexp_replace(F.lower(F.trim(F.coalesce(status, F.lit("")))), r"[\s-]+", "_")
-    return F.when(s.isin("matched", "partial", "unmatched"), s).otherwise("unmatched")
+    """What a status is called; an unknown one by its own words."""
+    return (
+        F.when(status == "matched", "Matched").when(status.isin("partial", "amount_mismatch"), "Partial / Fee discrepancy").when(status == "pending_settlement", "Pending settlement")
+        .when(status.isin("unmatched", "missing_in_erp"), "Unmatched").otherwise(F.translate(F.coalesce(status, F.lit("")), "_", " "))
+    )
 
 
 def confidence_band(score: Column) -> Column:
     return F.when(score >= 80, "high").when(score >= 50, "mid").otherwise("low")
 
 
-def run_summary(results: DataFrame, found: DataFrame) -> DataFrame:
-    a = results.agg(F.count("*").alias("total_reconciled"), F.count_if(F.col("status") == "matched").alias("matched_count"))
-    return a.join(F.broadcast(found.agg(F.count("*").alias("anomalies_detected"))))
-
-
 def forecast_totals(rows: DataFrame) -> DataFrame:
     return rows.agg(*(F.round(F.sum(c), 2).alias(c) for c in ("inflow", "outflow", "predicted_amount")))

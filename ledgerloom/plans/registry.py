@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.money import to_usd
+from ..functions.money import PER_USD, formatted, to_usd
 from ..operators import forecast as fc
 from ..operators import messages as ms
 from ..operators import rail as rl
 from ..operators import logs as lg
 from ..operators import reconcile as rc
 from ..operators import updates as up
-from ..functions.money import formatted
 from ..sources import ingest as ig
 from ..sources import sinks
 from ..sources.payments import REQUESTS, payments, reports, with_tables
@@ -29,17 +28,18 @@ def tables(*names):
 
 
 LEDGERS = ("transactions", "bank_transactions", "erp_records")
-found = lambda t, b, e: rc.anomalies(rc.reconcile_by_reference(t, b, e), rc.duplicate_charges(t))
+found = lambda t, b, e: rc.anomalies(rc.reconcile(t, b, e))
+results = lambda t, b, e: rc.reconcile(t, b, e).select(*rc.RESULT)
 
 QUERIES = {
     "p4_fx": tables("transactions")(lambda t: t.select("seq", F.round(to_usd(F.col("amount"), F.col("currency")), 6).alias("usd"))),
     "w1_duplicates": tables("transactions")(lambda t: rc.duplicate_charges(t).select("seq", "transaction_id", "previous_id")),
-    "j6_reconcile": tables(*LEDGERS)(rc.reconcile_by_reference),
+    "j6_reconcile": tables(*LEDGERS)(results),
     "o3_anomalies": tables(*LEDGERS)(found),
     "o1_anomaly_queue": tables(*LEDGERS)(lambda t, b, e: rc.anomaly_queue(found(t, b, e))),
-    "a1_dashboard": tables(*LEDGERS)(lambda t, b, e: rc.dashboard(rc.reconcile_by_reference(t, b, e), found(t, b, e), t)),
-    "p12_result_filter": tables(*LEDGERS)(lambda t, b, e: rc.where_status(rc.reconcile_by_reference(t, b, e), "partial", "medium")),
-    "p13_queue": tables(*LEDGERS)(lambda t, b, e: rc.queue(rc.reconcile_by_reference(t, b, e), "bs-1", True)),
+    "a1_dashboard": tables(*LEDGERS)(lambda t, b, e: rc.dashboard(rc.reconcile(t, b, e))),
+    "p12_result_filter": tables(*LEDGERS)(lambda t, b, e: rc.where_status(results(t, b, e), "partial", "medium")),
+    "p13_queue": tables(*LEDGERS)(lambda t, b, e: rc.queue(results(t, b, e), "bs-1", True)),
     "a3_daily_flow": tables("transactions")(lambda t: fc.daily_flow(t, AS_OF).select("idx", "day", F.round("amount", 2).alias("amount"))),
     "a5_forecast": tables("transactions")(lambda t: fc.forecast(fc.daily_flow(t, AS_OF), AS_OF)),
     "m1_classification": tables("messages")(lambda m: ms.classify(m, RULES).select("seq", "event")),
@@ -78,6 +78,22 @@ def erp_file(e):
     return ig.ingest(raw, "erp")[0]
 
 
+def quotes(m):
+    """Quote requests as JSON, each fifth without payee and each third with an amount type."""
+    party = lambda name, who: f'"{name}":{{"fspId":"{who}"}},'
+    body = F.concat(
+        F.lit('{"quoteId":"Q'), "seq", F.lit('","transactionId":"'), "transaction_id", F.lit('",' + party("payer", "hub")), F.when(F.col("seq") % 5 == 0, "").otherwise(party("payee", "x")),
+        F.when(F.col("seq") % 3 == 0, '"amountType":"RECEIVE",').otherwise(""), F.lit('"amount":{"currency":"USD","amount":"'), (F.col("seq") % 100).cast("string"), F.lit('"},"transactionType":{"scenario":"TRANSFER"}}'),
+    )
+    return m.where("method = 'post'").select("seq", body.alias("body"))
+
+
+def rivals(t, b, e):
+    """Few references for many rows: tens of transfers, bank rows and invoices share one and compete for the same ledger rows."""
+    few = lambda df, ref: df.where("seq < 1000000000 and seq % 4 <> 1").withColumn(ref, F.when(F.col("seq") % 50 == 49, F.lit(None)).otherwise(F.concat(F.lit("R"), F.floor(F.col("seq") / 48).cast("string"))))
+    return rc.reconcile(few(t, "reference_id"), few(b, "reference_number"), few(e, "invoice_number")).select(*rc.RESULT)
+
+
 def service_hits(m):
     trace = F.struct(F.col("payee_fsp").alias("service"), F.col("ts").alias("startTimestamp"), F.struct(F.col("method").alias("source"), F.col("path").alias("destination")).alias("tags"))
     event = F.struct(F.when(F.col("seq") % 4 == 0, "trace").otherwise("log").alias("type"), F.struct(F.when(F.col("seq") % 3 == 0, "failed").otherwise("success").alias("status")).alias("state"))
@@ -86,13 +102,19 @@ def service_hits(m):
 
 ROUTES = [{"conditions": {"all": [{"fact": "path", "operator": "includesString", "value": w}]}, "event": {"type": "FORWARD", "params": {"dfspId": d}}} for w, d in (("fx", "fxp1"), ("quotes", "fsp1"), ("transfers", "fsp2"))]
 LIMITED = [{"conditions": {"all": [{"fact": "amount", "operator": "numericGreaterThan", "value": "{$environment.limit}"}]}, "event": {"type": "OVER_LIMIT"}}]
+OPERATORS = [
+    {"conditions": {"all": [{"fact": "body", "path": "CdtTrfTxInf.IntrBkSttlmAmt.ActiveCurrencyAndAmount", "operator": "numberStringGreaterThanInclusive", "value": 500}, {"fact": "method", "operator": "notIn", "value": ["get", "put"]}]}, "event": {"type": "LARGE_ISO", "params": {"delay": 5}}},
+    {"conditions": {"all": [{"fact": "body", "path": "commitRequestId", "operator": "includesString", "value": "7"}, {"fact": "amount", "operator": "lessThanInclusive", "value": 40}]}, "event": {"type": "COMMIT_7"}},
+    {"conditions": {"any": [{"fact": "headers", "path": "accept", "operator": "includesString", "value": "iso20022"}, {"fact": "body", "path": "transferId", "operator": "equal", "value": "T5"}]}, "event": {"type": "ISO_OR_T5"}},
+    {"conditions": {"all": [{"fact": "amount", "operator": "numericNotEqual", "value": "12"}, {"fact": "path", "operator": "excludesString", "value": "fx"}, {"fact": "amount", "operator": "greaterThan", "value": 60}]}, "event": {"type": "OTHER"}},
+]
 ENDPOINTS = [{"method": "put", "path": "/quotes/{ID}/error", "endpoint": "http://errors"}, {"method": "get", "path": "/transfers/{ID}", "endpoint": "http://transfers"}]
 BY_FSP = {"fsp3": {"endpoints": [{"method": "post", "path": "/any", "endpoint": "http://fsp3/post"}], "default": "http://fsp3"}}
 RANGE = ("2024-01-05 00:00:00", "2024-01-07 12:00:00")
 REPORTED = ("1996-01-01 00:00:00", "2001-07-01 00:00:00")
 judged = lambda s, d: lg.verdict(lg.rollup(reports(s, d))).drop("test_cases")
 listeners = lambda m: m.where("method = 'post' and path = '/quotes'").select(F.col("seq").alias("listener"), F.lit("put").alias("method"), F.concat(F.lit("/quotes/"), F.substring("transaction_id", 2, 20), F.lit("/error")).alias("path"), "ts")
-manual = lambda r: r.where("seq % 10 = 3").select("transaction_id", F.lit("BS-MANUAL").alias("ledger_id"))
+manual = lambda r: r.where("seq % 10 = 3").select("transaction_id", F.lit("BS-MANUAL").alias("ledger_id"), F.lit("ERP").alias("ledger_type"), F.lit("By hand").alias("remarks"))
 updates = lambda t: t.where("seq % 17 = 0").select(F.when(F.col("seq") % 2 == 0, F.col("transaction_id")).otherwise(F.concat("transaction_id", F.lit("-X"))).alias("transaction_id"), F.lit("FAILED").alias("status"), F.lit("ABORTED").alias("transfer_state"), F.col("created_at").alias("ts"), "seq")
 iso = lambda m: m.select("seq", rl.iso_transfer(F.col("body")).alias("x")).where("x.transaction_id is not null").select("seq", "x.*")
 headers = lambda: F.create_map(F.lit("Content-Type"), F.col("content_type"), F.lit("accept"), F.col("content_type"), F.lit("date"), F.lit("x"))
@@ -103,16 +125,27 @@ QUERIES |= {
     "s2_bank_file": tables("bank_transactions")(lambda b: bank_file(b, "csv")),
     "s4_bank_sheet": tables("bank_transactions")(lambda b: bank_file(b, "sheet")),
     "s3_erp_file": tables("erp_records")(erp_file),
-    "k1_report": tables(*LEDGERS)(lambda t, b, e: sinks.report_rows(rc.reconcile_by_reference(t, b, e), "partial")),
+    "k1_report": tables(*LEDGERS)(lambda t, b, e: sinks.report_rows(results(t, b, e), "partial")),
+    "j7_matched_value": tables(*LEDGERS)(lambda t, b, e: rc.matched_value(results(t, b, e), t)),
+    "j3_low_candidates": tables(*LEDGERS)(lambda t, b, e: results(t, b, e).where("match_confidence <= 80").drop("remarks")),
+    "o2_listing": tables("transactions")(lambda t: rc.listing(t, "transactions").select("seq", "transaction_id")),
+    "j9_resolved": tables(*LEDGERS)(lambda t, b, e: (lambda r: up.resolve_anomalies(rc.anomalies(r), manual(r)).select("seq", "anomaly_type", "status"))(rc.reconcile(t, b, e))),
+    "j6_rivals": tables(*LEDGERS)(lambda t, b, e: rivals(t, b, e).drop("remarks")),
+    "s4_erp_sheet": tables("erp_records")(lambda e: ig.ingest(e.select(F.col("erp_id").alias("ERP ID"), F.col("invoice_number").alias("Invoice Number"), F.col("expected_amount").cast("string").alias("Amount"), F.col("currency").alias("Currency")), "erp", "sheet")[0]),
+    "s8_requests": tables("messages")(lambda m: ig.checked_requests(quotes(m))[0].select("seq", "quoteId", F.col("payer")["fspId"].alias("payer_fsp"), F.col("amount")["amount"].alias("amount"), "amountType")),
+    "s8_rejected": tables("messages")(lambda m: ig.checked_requests(quotes(m))[1].select("seq", "reason")),
+    "m2_operators": tables("rail")(lambda m: ms.classify(m.withColumn("headers", headers()), OPERATORS).select("seq", "event", "event_params")),
+    "p5_rates": tables("transactions")(lambda t: up.add_rates(t.groupBy(F.col("currency").alias("from_currency")).agg(F.lit("USD").alias("to_currency"), F.lit(1.0).alias("rate")).where("from_currency <> 'INR' and from_currency <> 'EUR'"), PER_USD)),
+    "l9_assertions": lambda s, d: lg.assertion_counters(reports(s, d)),
     "a7_export_counts": tables(*LEDGERS)(lambda t, b, e: sinks.counts({"transactions": t, "bank_transactions": b, "erp_records": e})),
-    "a2_run_summary": tables(*LEDGERS)(lambda t, b, e: up.run_summary(rc.reconcile_by_reference(t, b, e), found(t, b, e))),
+    "a2_run_summary": tables(*LEDGERS)(lambda t, b, e: rc.run_summary(rc.reconcile(t, b, e))),
     "a6_forecast_totals": tables("transactions")(lambda t: up.forecast_totals(fc.forecast(fc.daily_flow(t, AS_OF), AS_OF))),
-    "p14_bands": tables(*LEDGERS)(lambda t, b, e: rc.reconcile_by_reference(t, b, e).select("seq", up.status_label(F.col("status")).alias("label"), up.confidence_band(F.col("match_confidence")).alias("band"))),
+    "p14_bands": tables(*LEDGERS)(lambda t, b, e: results(t, b, e).select("seq", up.status_kind(F.col("status")).alias("kind"), up.status_label(F.col("status")).alias("label"), up.confidence_band(F.col("match_confidence")).alias("band"))),
     "p15_lookup": tables("transactions")(lambda t: up.lookup(t, "TX-D-1").select("seq", "transaction_id").unionByName(up.lookup(t, "20").select("seq", "transaction_id"))),
     "p16_delete": tables("transactions")(lambda t: up.without(t, t.where("seq % 3 = 0"), "transaction_id").select("seq", "transaction_id")),
     "p17_formatted": tables("transactions")(lambda t: t.select("seq", formatted(F.col("amount"), F.col("currency")).alias("shown"))),
     "p18_dates": tables("transactions")(lambda t: t.select("seq", F.date_format("created_at", "yyyy-MM-dd").alias("day"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("moment"))),
-    "j9_manual_match": tables(*LEDGERS)(lambda t, b, e: (lambda r: up.manual_match(r, manual(r)))(rc.reconcile_by_reference(t, b, e))),
+    "j9_manual_match": tables(*LEDGERS)(lambda t, b, e: (lambda r: up.manual_match(r, manual(r)))(results(t, b, e))),
     "j10_state_update": tables("transactions")(lambda t: up.update_states(t, updates(t))[0].select("seq", "status", "transfer_state")),
     "j10_not_found": tables("transactions")(lambda t: up.update_states(t, updates(t))[1]),
     "m3_bound_rules": tables("messages")(lambda m: ms.classify(m, rl.bind(LIMITED, {"limit": 25})).select("seq", "event")),
@@ -136,6 +169,60 @@ QUERIES |= {
     "l9_counters": lambda s, d: lg.counters(judged(s, d)),
 }
 
+_USD = lambda c: f"{c} / {_RATE}"
+_CAP = lambda x: f"case when round({x}, 2) > 100 then 100 else round({x}, 2) end"
+_PLACES = "list_sum(list_transform(range(1, greatest(length(a.w), 1) + 1), lambda i: case when substr(a.w, cast(i as integer), 1) = c then cast(1 as bigint) << cast(i - 1 as integer) else 0 end))"
+_COMMON = f"60 - bit_count(list_reduce(list_transform(list_filter(string_split(b.w, ''), lambda c: c <> ''), lambda c: cast({_PLACES} as bigint)), lambda s, m: ((s + (s & m)) | (s - (s & m))) & 1152921504606846975, cast(1152921504606846975 as bigint)))"
+_SORTED = "array_to_string(list_sort(string_split(lower(n), ' ')), ' ')"
+#: The ledgers and name scores.
+_LEDGERS = f"""t as (select seq, transaction_id, payer, payee, amount, currency, {_USD("amount")} as usd, case when reference_id <> '' then trim(reference_id) end as key, case when row_number() over w > 1 then first(transaction_id) over w end as previous_id from transactions window w as (partition by payer, amount, currency order by seq)),
+l as (select 'BANK' as side, seq as l_seq, bank_statement_id as ledger_id, counterparty as name, {_USD("amount")} as l_usd, case when reference_number <> '' then trim(reference_number) end as key from bank_transactions
+ union all select 'ERP', seq, erp_id, customer_vendor_name, {_USD("expected_amount")}, case when invoice_number <> '' then trim(invoice_number) end from erp_records),
+wt as (select n, {_SORTED} as w from (select payer as n from t union select payee from t)),
+wl as (select n, {_SORTED} as w from (select distinct name as n from l)),
+sims as (select a.n as n, b.n as name, case when a.w = b.w then 100.0::double else (1 - (length(a.w) + length(b.w) - 2 * ({_COMMON})) / cast(length(a.w) + length(b.w) as double)) * 100 end as score from wt a, wl b)"""
+_RAW = "(case when side = 'BANK' then greatest(x.score, y.score) else y.score end) * 0.4::double + greatest(0.0::double, 100 - abs(usd - l_usd) / (usd + 1e-5) * 100) * 0.4::double"
+_SIMS = "join sims x on x.n = payer and x.name = l.name join sims y on y.n = payee and y.name = l.name"
+
+
+def _pick(source: str) -> str:
+    """The best bank row and invoice per transfer of pairs, and which of them is the result."""
+    best = f"select seq, side, arg_max({{'ledger_id': ledger_id, 'raw': raw, 'gap': gap}}, {{'s': {_CAP('raw')}, 'a': raw > {_CAP('raw')}, 'n': case when raw > {_CAP('raw')} then l_seq else -l_seq end}}) as x from {source} group by seq, side"
+    both = f"select seq, any_value(x) filter (where side = 'BANK') as b, any_value(x) filter (where side = 'ERP') as e from ({best}) group by seq"
+    held = f"coalesce({_CAP('b.raw')}, 0)"
+    named = f"select *, case when {held} < 85 and coalesce(e.raw > {held}, false) then 'ERP' when b.raw > 0 then 'BANK' end as ledger_type from ({both})"
+    of = lambda c: f"case ledger_type when 'ERP' then e.{c} when 'BANK' then b.{c} end as {c}"
+    return f"select seq, ledger_type, {of('ledger_id')}, {of('raw')}, {of('gap')} from ({named})"
+
+
+#: The results over unique references: what they decide, and all pairs of the rest.
+_RESULTS = f"""{_LEDGERS},
+near as (select seq, side, l_seq, ledger_id, {_RAW} + 40 as raw, abs(usd - l_usd) as gap from t join l using (key) {_SIMS}),
+decided as materialized (select * from ({_pick("near")}) where raw > 80),
+open_rows as (select l.*, d.seq as taken_at from l left join decided d on d.ledger_type = l.side and d.ledger_id = l.ledger_id and {_CAP("d.raw")} >= 90),
+far as (select t.seq, side, l_seq, ledger_id, {_RAW} as raw, abs(usd - l_usd) as gap from (select * from t where seq not in (select seq from decided)) t join open_rows l on l.taken_at is null or l.taken_at >= t.seq {_SIMS}),
+own as (select near.* from near join open_rows l using (side, ledger_id) where near.seq not in (select seq from decided) and (l.taken_at is null or l.taken_at >= near.seq)),
+pairs as (select * from far union all select * from own),
+picked as (select * from decided union all select * from ({_pick("pairs")})),
+scored as (select t.*, coalesce(p.ledger_type, 'BANK') as ledger_type, p.ledger_id, coalesce({_CAP("p.raw")}, 0) as match_confidence, coalesce(round(p.gap, 2), 0) as amount_difference from t left join picked p using (seq)),
+graded as materialized (select *, case when match_confidence >= 90 then 'matched' when match_confidence >= 70 then 'partial' else 'unmatched' end as status, case when match_confidence >= 90 then 'high' when match_confidence >= 70 then 'medium' else 'low' end as confidence_tier from scored),
+results as (select seq, transaction_id, ledger_id, ledger_type, status, amount_difference, match_confidence, confidence_tier, case status when 'matched' then concat('Automated AI High-Confidence Match against ', ledger_type, ' ledger record ''', ledger_id, '''.')
+ when 'partial' then concat('Partial Match against ', ledger_type, ' ledger record ''', ledger_id, '''. Slight amount difference of ', amount_difference, ' USD or name variance.') else 'No matching bank statement or ERP invoice record found within acceptable confidence threshold.' end as remarks from graded),
+found as (select seq, transaction_id, 'duplicate_charge' as anomaly_type, 'high' as severity, 0.92::double as risk_score, concat('Potential duplicate charge detected. Identical amount ', currency, ' ', amount, ' and payer ''', payer, ''' matches previous transaction ''', previous_id, '''.') as explanation, 'OPEN' as status from graded where previous_id is not null
+ union all select seq, transaction_id, 'amount_mismatch', 'medium', 0.55::double, concat('Amount difference of $', amount_difference, ' USD between Mojaloop transaction (', currency, ' ', amount, ') and ledger record ''', ledger_id, '''.'), 'OPEN' from graded where status = 'partial'
+ union all select seq, transaction_id, 'missing_settlement', 'high', 0.88::double, concat('Mojaloop transfer of ', currency, ' ', amount, ' has no matching settlement record in central bank or ERP ledgers.'), 'OPEN' from graded where status = 'unmatched')"""
+
+
+def _of_results(select: str) -> str:
+    return with_tables(f"{_RESULTS} {select}", "transactions", "bank_transactions", "erp_records")
+
+
+_FORECAST = f"""flow as (select cast(i as integer) as idx, coalesce((select sum(amount) from transactions where cast(created_at as date) = date '{AS_OF}' - 30 + cast(i as integer)), 0) as amount from range(30) r(i)),
+line as (select regr_sxy(amount, idx) / (regr_sxx(amount, idx) + 1) as slope, avg(amount) as my, avg(idx) as mx from flow), fit as (select slope, my - slope * mx as intercept from line),
+dev as (select stddev_pop(amount - slope * idx - intercept) as std from flow, fit),
+days as (select cast(date '{AS_OF}' + 1 + cast(k as integer) as date) as forecast_date, slope * (30 + k) + intercept as x, std from range(7) r(k), fit, dev),
+pred as (select forecast_date, std, round(greatest(1000, case when isodow(forecast_date) >= 6 then x * 0.65::double else x end), 2) as p from days),
+forecast as (select forecast_date, p as predicted_amount, round(greatest(0, p - 1.96::double * std), 2) as lower_bound, round(p + 1.96::double * std, 2) as upper_bound, round(p * 1.25::double, 2) as inflow, round(p * 0.25::double, 2) as outflow from pred)"""
 _POPPED = "select {cols} from (select *, lag(seq) over w as last_seq, lag(ts) over w as last_ts, lag(is_push) over w as last_push from (select seq, ts, transaction_id, ({push}) as is_push from messages where ({push}) or ({pop})) window w as (partition by transaction_id order by ts, seq)) where not is_push"
 _FRESH = "case when last_push and ts <= last_ts + interval 24 hours then last_seq end"
 _REPORT = lambda select: f"with {REQUESTS} {select}"
@@ -172,3 +259,28 @@ ORACLES |= {
     "l8_verdict": _REPORT("select report_id, passed_assertions = total_assertions as is_passed, epoch_ms(completed) - epoch_ms(started) as duration_ms from rolled"),
     "l9_counters": _REPORT("select template, count(case when passed_assertions = total_assertions then 1 end) as passed, count(case when passed_assertions <> total_assertions then 1 end) as failed, cast(sum(passed_assertions) as bigint) as assertions_passed, cast(sum(failed_assertions) as bigint) as assertions_failed from rolled group by template"),
 }
+
+_HAND = "seq % 10 = 3"
+ORACLES |= {
+    "j6_reconcile": _of_results("select * from results"),
+    "j3_low_candidates": _of_results("select * exclude (remarks) from results where match_confidence <= 80"),
+    "j7_matched_value": _of_results("select round(sum(amount), 2) as total_reconciled_value from transactions where transaction_id in (select transaction_id from results where status = 'matched')"),
+    "o3_anomalies": _of_results("select * from found"),
+    "o1_anomaly_queue": _of_results("select * from found"),
+    "a1_dashboard": _of_results("select count(*) as total_transactions, count(*) filter (where status = 'matched') as matched, count(*) filter (where status = 'partial') as partial, count(*) filter (where status = 'unmatched') as unmatched, round(count(*) filter (where status = 'matched') / cast(count(*) as double) * 100, 2) as match_rate, count(*) filter (where status <> 'matched') as mismatched, round(sum(amount) filter (where status = 'matched'), 2) as total_reconciled_value, (select count(*) from found) as open_anomalies from graded"),
+    "a2_run_summary": _of_results("select count(*) as total_reconciled, count(*) filter (where status = 'matched') as matched_count, (select count(*) from found) as anomalies_detected, concat('AI Reconciliation complete. ', count(*) filter (where status = 'matched'), '/', count(*), ' matched successfully.') as message from results"),
+    "p12_result_filter": _of_results("select * from results where status = 'partial' and confidence_tier = 'medium'"),
+    "p13_queue": _of_results("select * from results where status = 'matched' and (contains(lower(transaction_id), 'bs-1') or contains(lower(remarks), 'bs-1') or contains(lower(coalesce(ledger_id, '')), 'bs-1'))"),
+    "p14_bands": _of_results("select seq, status as kind, case status when 'matched' then 'Matched' when 'partial' then 'Partial / Fee discrepancy' else 'Unmatched' end as label, case when match_confidence >= 80 then 'high' when match_confidence >= 50 then 'mid' else 'low' end as band from results"),
+    "k1_report": _of_results("select seq, transaction_id, coalesce(ledger_id, '') as ledger_id, ledger_type, status, cast(amount_difference as varchar) as amount_difference, cast(match_confidence as varchar) as match_confidence, confidence_tier, remarks from results where status = 'partial'"),
+    "j9_manual_match": _of_results(f"select seq, transaction_id, case when {_HAND} then 'BS-MANUAL' else ledger_id end as ledger_id, case when {_HAND} then 'ERP' else ledger_type end as ledger_type, case when {_HAND} then 'matched' else status end as status, amount_difference, case when {_HAND} then 100 else match_confidence end as match_confidence, case when {_HAND} then 'high' else confidence_tier end as confidence_tier, case when {_HAND} then 'By hand' else remarks end as remarks from results"),
+    "j9_resolved": _of_results(f"select seq, anomaly_type, case when {_HAND} then 'RESOLVED' else 'OPEN' end as status from found"),
+    "o2_listing": with_tables("select seq, transaction_id from transactions order by seq desc"),
+    "a5_forecast": with_tables(f"{_FORECAST} select * from forecast", "transactions"),
+    "a6_forecast_totals": with_tables(f"{_FORECAST} select round(sum(inflow), 2) as inflow, round(sum(outflow), 2) as outflow, round(sum(predicted_amount), 2) as predicted_amount from forecast", "transactions"),
+    "s4_erp_sheet": with_tables("select erp_id, invoice_number, 'Vendor Inc' as customer_vendor_name, expected_amount, currency, '1100-RECEIVABLES' as ledger_account from erp_records"),
+    "s8_requests": with_tables("select seq, concat('Q', seq) as quoteId, 'hub' as payer_fsp, cast(seq % 100 as varchar) as amount, case when seq % 3 = 0 then 'RECEIVE' else 'SEND' end as amountType from messages where method = 'post' and seq % 5 <> 0"),
+    "s8_rejected": with_tables("select seq, 'missing: payee' as reason from messages where method = 'post' and seq % 5 = 0"),
+    "m2_operators": with_tables("select seq, event, case event when 'LARGE_ISO' then '{\"delay\": 5}' end as event_params from (select seq, case when seq % 3 = 2 and seq % 1000 >= 500 and method not in ('get', 'put') then 'LARGE_ISO' when seq % 3 = 1 and contains(cast(seq as varchar), '7') and amount <= 40 then 'COMMIT_7' when seq % 5 = 0 or (seq % 3 = 0 and transaction_id = 'T5') then 'ISO_OR_T5' when coalesce(amount <> 12, true) and not contains(path, 'fx') and amount > 60 then 'OTHER' end as event from rail)"),
+    "p5_rates": with_tables("select currency as from_currency, 'USD' as to_currency, 1.0::double as rate from transactions where currency not in ('INR', 'EUR') group by currency union all select c, 'USD', 1 / r from (values ('INR', 83.5::double), ('EUR', 0.92::double), ('GBP', 0.78::double), ('TZS', 2680.0::double), ('UGX', 3720.0::double)) v(c, r)"),
+}

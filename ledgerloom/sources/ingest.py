@@ -60,12 +60,12 @@ def surrogate(prefix: str, place: Column) -> Column:
 def normalise(raw: DataFrame, source: str, profile: str = "csv", batch: str = "") -> DataFrame:
     """Columns of the table, with ``_pos``, the row's place; ``batch`` tells uploads apart in generated ids."""
     amount = "expected_amount" if source == "erp" else "amount"
-    rows = raw.withColumn("_pos", F.monotonically_increasing_id())
+    rows = raw.withColumn("_pos", F.col("_place") if "_place" in raw.columns else F.struct(F.monotonically_increasing_id().alias("row")))
     out = []
     for target, (aliases, default) in PROFILES[source, profile].items():
         there = [F.col(f"`{a}`").cast("string") for a in aliases if a in raw.columns]
         if default and default.endswith("*"):
-            value = first_filled(there, surrogate(default[:-1], F.concat_ws(":", F.lit(batch), "_pos")))
+            value = first_filled(there, surrogate(default[:-1], F.concat_ws(":", F.lit(batch), F.to_json("_pos"))))
         elif profile == "csv" and target in CELLS[source] and there:
             value = F.coalesce(there[0], F.lit(""))
         else:
@@ -92,17 +92,34 @@ def ingest(raw: DataFrame, source: str, profile: str = "csv", existing: DataFram
     return good, marked.where("reason is not null").select(key, F.col("_text").alias("amount_text"), "reason")
 
 
+def place(*split: Column) -> Column:
+    """(file, start of the split, place in the split) as one column that sorts in file order. The number that Spark gives rows has
+    the partition in its high bits, which depends on the packing of splits; its low bits count on within a split."""
+    return F.struct(*split, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A ledger file with header, all columns as strings."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
-
-
-def checked_quotes(bodies: DataFrame, column: str = "body") -> DataFrame:
-    """Quote requests from JSON: their fields, and whether all required ones are there."""
-    q = F.from_json(column, "quoteId string, transactionId string, payee string, payer string, amount string, amountType string, transactionType string")
-    rows = bodies.withColumn("_q", q)
-    needed = ("quoteId", "transactionId", "payee", "payer", "amount", "transactionType")
-    valid = F.lit(True)
-    for c in needed:
-        valid = valid & F.col(f"_q.{c}").isNotNull()
-    return rows.select("*", "_q.quoteId", "_q.transactionId", F.coalesce("_q.amountType", F.lit("SEND")).alias("amountType"), F.coalesce(valid, F.lit(False)).alias("valid")).drop("_q")
+    """Ledger files with header, all columns as strings, and ``_place``: rows in order of file name and position."""
+    rows = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+    return rows.select("*", place(*at).alias("_place"))
+
+
+PARTY = "map<string, string>"
+#: Required fields of quote and transaction requests; those of a party, an amount or a type are objects.
+REQUESTS = {
+    "quote": {"quoteId": "string", "transactionId": "string", "payee": PARTY, "payer": PARTY, "amount": PARTY, "transactionType": PARTY},
+    "transaction": {"transactionRequestId": "string", "payee": PARTY, "payer": PARTY, "amount": PARTY, "transactionType": PARTY},
+}
+
+
+def checked_requests(bodies: DataFrame, kind: str = "quote", column: str = "body") -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected) quote or transaction requests from JSON: the fields, objects as maps, and for a quote the amount type,
+    SEND if none is given; rejected ones keep their columns, with the missing fields named in ``reason``."""
+    fields = REQUESTS[kind] | ({"amountType": "string"} if kind == "quote" else {})
+    rows = bodies.withColumn("_q", F.from_json(column, ", ".join(f"{f} {t}" for f, t in fields.items())))
+    missing = F.array_compact(F.array(*(F.when(F.col(f"_q.{f}").isNull(), F.lit(f)) for f in REQUESTS[kind])))
+    rows = rows.withColumn("_missing", missing)
+    own = [F.coalesce("_q.amountType", F.lit("SEND")).alias(f) if f == "amountType" else F.col(f"_q.{f}").alias(f) for f in fields]
+    valid = rows.where(F.size("_missing") == 0).select(*bodies.columns, *own)
+    return valid, rows.where(F.size("_missing") > 0).select(*bodies.columns, F.concat(F.lit("missing: "), F.array_join("_missing", ", ")).alias("reason"))

@@ -47,16 +47,16 @@ def payments(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE if re.search(rf"\b{t}\b", TABLES[name])}
     if name in FROM:
         frames[FROM[name]] = payments(spark, sf_dir, FROM[name])
-    for t, df in frames.items():
-        df.createOrReplaceTempView(t)
-    return spark.sql(TABLES[name])
+    named = re.sub(rf"\b({'|'.join(frames)})\b(?=\s|$)", r"{\1}", TABLES[name].replace("{", "{{").replace("}", "}}"))
+    return spark.sql(named, **frames)
 
 
-def with_tables(select: str) -> str:
-    """DuckDB SQL: the select over the derived tables that it names."""
-    need = {n for n in TABLES if re.search(rf"\b{n}\b", select)}
+def with_tables(select: str, *names: str) -> str:
+    """DuckDB SQL: the select over the derived tables that it names, or over those given, after which it may go on to define
+    tables of its own."""
+    need = set(names) or {n for n in TABLES if re.search(rf"\b{n}\b", select)}
     need |= {FROM[n] for n in need if n in FROM}
-    return "with " + ",\n".join(f"{n} as ({sql.replace('as string', 'as varchar')})" for n, sql in TABLES.items() if n in need) + "\n" + select
+    return "with " + ",\n".join(f"{n} as ({sql.replace('as string', 'as varchar')})" for n, sql in TABLES.items() if n in need) + (",\n" if names else "\n") + select
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:

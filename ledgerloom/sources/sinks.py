@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The report's columns.
 REPORT = ("transaction_id", "ledger_id", "ledger_type", "status", "amount_difference", "match_confidence", "confidence_tier", "remarks")
 
 
