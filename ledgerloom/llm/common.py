@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..steps import materialize, release, shared_dir, written  # noqa: F401
+
 #: Key that stands for a null document id: it sorts first and equals itself in joins.
 NULL_KEY = -(2**63)
 
@@ -17,54 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hadoop_path(spark: SparkSession, path: str):
-    """(Hadoop path, its file system); a path without scheme belongs to the cluster's default file system."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or else below the folder given to ``setCheckpointDir``. Where neither
-    is set, a session on this machine alone gets a temporary folder; on a cluster that is an error, as its
-    machines would not see each other's files."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.sparkContext.setCheckpointDir(base)
-    path, fs = hadoop_path(spark, f"{base.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}")
-    return fs.makeQualified(path).toString()
-
-
-#: Folders written by ``materialize``, with the session that wrote them.
-_steps: dict[str, SparkSession] = {}
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors. ``release`` removes what was written."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    _steps[path] = df.sparkSession
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(steps: list[str] | None = None) -> None:
-    """Remove the given steps, or all of this process. For all: when the results that read them are written, or at the end."""
-    for path in list(_steps) if steps is None else steps:
-        spark = _steps.pop(path, None)
-        if spark is not None and spark.sparkContext._jsc is not None:
-            at, fs = hadoop_path(spark, path)
-            fs.delete(at, True)
-
-
-def steps_so_far() -> list[str]:
-    return list(_steps)
-
-
-atexit.register(release)
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, steps_so_far
+from .common import materialize, release, written
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break
-        seen, old = state, set(steps_so_far())
+        seen, old = state, set(written())
         e = star(star(e, True), False)
-        release([x for x in steps_so_far() if x not in old][:-1])
+        release([x for x in written() if x not in old][:-1])
     return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -43,8 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_KEY, doc_key, materialize, shuffle_parts
 from .components import components
-from .hashing import shingle_sets, slices
-from .token_index import mix
+from .hashing import mix, shingle_sets, slices
 
 ID_BITS = 48
 #: Ranges of shingles per partition, handled one after the other.

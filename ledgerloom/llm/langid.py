@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
-from .hashing import slices
-from .token_index import mix
+from .hashing import mix, slices
 
 GRAM, HASHES = 4, 3
 _letters: list[np.ndarray] = []

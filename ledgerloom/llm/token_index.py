@@ -15,6 +15,7 @@ An empty table gives an empty store. Other columns of the input are not read.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Files, doc_key, shared_dir, shuffle_parts
+from .hashing import mix, slices
 
 MAGIC = b"LLID"
 INDEX_MAGIC = b"LLIX"
@@ -37,19 +39,32 @@ class WordEncoder:
 
     No token of such a tokenizer spans a space, nor the place between a letter and other signs
     than an apostrophe, and capitals don't matter to it. So the ids of a text are those of its
-    pieces between such places; each distinct piece of a batch is encoded once, and kept if it
-    recurs there, up to ``keep`` pieces. Texts with the opening of a special token go to the tokenizer whole.
+    pieces between such places; each distinct piece of a batch is encoded once, and kept in two generations of
+    ``keep`` pieces: what is met again moves to the young one, which takes the old one's place once it is full.
+    Texts with the opening of a special token go to the tokenizer whole.
     """
 
     SPECIAL, LETTER_THEN_SIGNS = "<|", r"([a-zß-öø-ÿ])([.,!?;:#$%&*)(\-]+)"
+    #: Pieces that normalising only lowers and that stay whole: these go to the merges at once, as bytes.
+    LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+    PROBES = ("the", "Zebra", "naïveté", "Ünder", "ß", "ÿÿ")
 
-    def __init__(self, path: str, dtype, keep: int = 100_000):
+    def __init__(self, path: str, dtype, keep: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.dtype, self.keep, self.seen = np.dtype(dtype), keep, {}
+        self.dtype, self.keep, self.young, self.old = np.dtype(dtype), keep, {}, {}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in byte-level pieces
+        other = iter(range(256, 512))
+        sign = {b: chr(b) if b in shown else chr(next(other)) for b in range(256)}
+        self.bytes_of = {i: "".join(sign[b] for b in chr(i).encode()) for i in range(0x80, 0x100)}
+        self.direct = all(self.of_letters(w) == self.tok.encode(w, add_special_tokens=False).ids for w in self.PROBES)
+
+    def of_letters(self, word: str) -> list[int]:
+        word = word.lower()
+        return [t.id for t in self.tok.model.tokenize(word if word.isascii() else word.translate(self.bytes_of))]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts back to back, and the number of ids of each."""
@@ -68,16 +83,27 @@ class WordEncoder:
         split = pc.split_pattern(pc.replace_substring_regex(texts, self.LETTER_THEN_SIGNS, r"\1 \2"), " ")
         coded = split.flatten().dictionary_encode()
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        if len(self.seen) > self.keep:
-            self.seen = {}
-        now, new = {}, [w for w in words if w not in self.seen]
-        for i in range(0, len(new), 4_000):
-            part = new[i : i + 4_000]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                now[w] = np.array(e.ids, self.dtype).tobytes()
-        pieces = [now[w] if w in now else self.seen[w] for w in words]
-        often = np.bincount(codes, minlength=len(words)) > 1
-        self.seen.update((w, now[w]) for w, o in zip(words, often.tolist(), strict=True) if o and w in now)
+        pieces = list(map(self.young.get, words))
+        new = [i for i, x in enumerate(pieces) if x is None]
+        ask = []
+        for i in new:
+            if (x := self.old.get(words[i])) is None:
+                ask.append(i)
+            else:
+                pieces[i] = x
+        rest = []
+        for i in ask:
+            if self.direct and self.LETTERS.fullmatch(words[i]):
+                pieces[i] = np.array(self.of_letters(words[i]), self.dtype).tobytes()
+            else:
+                rest.append(i)
+        for lo in range(0, len(rest), 4_000):
+            part = rest[lo : lo + 4_000]
+            for i, e in zip(part, self.tok.encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
+                pieces[i] = np.array(e.ids, self.dtype).tobytes()
+        if len(self.young) + len(new) > self.keep:
+            self.young, self.old = {}, self.young
+        self.young.update((words[i], pieces[i]) for i in new)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.dtype.itemsize
         flat = np.frombuffer(b"".join(pieces), self.dtype)
         start = np.cumsum(size) - size
@@ -99,14 +125,6 @@ def encoder(path: str, dtype: str) -> WordEncoder:
     return _encoders[path, dtype]
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """The 64-bit finaliser of splitmix: a bijection."""
-    x = np.asarray(x, np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def key_hash(doc: np.ndarray, occ: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix(mix(doc.astype(np.int64).view(np.uint64)) + occ.astype(np.uint64))
@@ -219,8 +237,8 @@ def write_token_store(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
             nonlocal at, last
             batch = first
             while batch is not None:
-                for lo in range(0, batch.num_rows, 250):
-                    part = batch.slice(lo, 250)
+                for lo, hi in slices(batch.column(1), 3_000_000):
+                    part = batch.slice(lo, hi - lo)
                     ids, count = enc.encode(part.column(1))
                     ends = np.cumsum(count)
                     yield np.insert(ids, ends, end_id).tobytes()
