@@ -17,6 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(columns: list[str]) -> list[Column]:
+    """Columns by name, whatever signs the names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in columns]
+
+
+def free_of(df: DataFrame, *own: str) -> DataFrame:
+    """Without the columns that are named like those that an operator adds, in any case: these give way."""
+    taken = {c.lower() for c in own}
+    return df.select(*named([c for c in df.columns if c.lower() not in taken]))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
