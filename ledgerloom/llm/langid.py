@@ -11,7 +11,8 @@ positives; the highest share decides, ties by the language's number of training
 Cases. A null text, or one without letters, is ``und`` with score 0. A text with letters but no known gram gets
 the language with the most training grams and score 0. With nothing to learn from, all are ``und``. Rows with null
 language don't train. Repeated rows count each; they get equal results. An empty table gives no rows.
-Other columns go through ``predict`` unchanged; its own begin with ``_lang_``.
+Very long texts are read to their end. Other columns go through ``predict`` unchanged; those named like its own, ``_lang_pred`` and
+``_lang_score``, give way to them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import free_of, materialize
 from .hashing import mix, slices
 
 GRAM, HASHES = 4, 3
@@ -143,6 +144,7 @@ def train(docs: DataFrame, min_share: float = 1e-5, ratio: float = 0.25) -> Lang
 
 def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataFrame:
     """Add ``_lang_pred`` and ``_lang_score``."""
+    docs = free_of(docs, "_lang_pred", "_lang_score")
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 

@@ -14,8 +14,9 @@ their documents are not kept. Without a topic column, ``topic`` (any Column) sor
 
 Cases. Null source, language and topic are values of their own. A null or empty text has one token
 (no cell has weight 0). Repeated rows count each; rows with equal ids are kept or dropped
-together. An empty table gives no rows. Other columns go through unchanged, also
-those named like this module's own, which all start with ``_mix_``.
+together. Ties in a draw do not occur: a document is kept if its number is below its cell's probability. Very long texts are counted
+to their end. An empty table gives no rows. ``sample`` gives other columns back unchanged, whatever their names; ``mix`` adds columns
+(OWN), and those of the table named like them give way.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, named
 
 MARGINS = ("_mix_source", "_mix_lang", "_mix_topic")
+OWN = (*MARGINS, "_mix_tokens", "_mix_weight", "_mix_probability", "_mix_kept")
 
 
 class Fit(NamedTuple):
@@ -48,14 +50,21 @@ def form_topic(text: Column, tokens: Column) -> Column:
     return F.when(symbols > 0.3 * tokens, "symbols").when(tokens < 100, "note").when(tokens < 1000, "article").otherwise("treatise")
 
 
+def coded(value: Column) -> Column:
+    """A margin's value as text that differs from null's, whatever it is."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
+
+
+def plain(code: Column) -> Column:
+    return F.when(code != "", F.substring(code, F.lit(2), F.length(code)))
+
+
 def with_cells(docs: DataFrame, topic: Column | None = None) -> DataFrame:
+    """The documents' columns as ``_mix_row``, so that no name clashes, and id, tokens and cell."""
     text = F.col("text").cast("string")
-    out = docs.withColumn("_mix_tokens", n_tokens(text))
-    return out.withColumns({
-        "_mix_source": F.coalesce(F.col("source").cast("string"), F.lit("\0")),
-        "_mix_lang": F.coalesce(F.col("lang").cast("string"), F.lit("\0")),
-        "_mix_topic": F.coalesce(topic if topic is not None else form_topic(text, F.col("_mix_tokens")), F.lit("\0")),
-    })
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")) if "doc_id" in docs.columns else F.lit("\0")
+    form = topic if topic is not None else form_topic(text, n_tokens(text))
+    return docs.select(F.struct(*named(docs.columns)).alias("_mix_row"), key.alias("_mix_id"), n_tokens(text).alias("_mix_tokens"), coded(F.col("source")).alias("_mix_source"), coded(F.col("lang")).alias("_mix_lang"), coded(form).alias("_mix_topic"))
 
 
 def tempered(cells: DataFrame, margin: str, temper: float) -> DataFrame:
@@ -71,7 +80,7 @@ def shares(cells: DataFrame, targets: dict[str, DataFrame], **sums: Column) -> D
     for margin in MARGINS:
         now = cells.groupBy(margin).agg(*(F.sum(c).alias(name) for name, c in sums.items()))
         now = now.join(targets[margin].withColumnRenamed("share", "target"), margin, "full")
-        now = now.select(F.lit(margin.removeprefix("_mix_")).alias("margin"), F.col(margin).alias("value"), F.coalesce("target", F.lit(0.0)).alias("target"), *(F.coalesce(name, F.lit(0.0)).alias(name) for name in sums))
+        now = now.select(F.lit(margin.removeprefix("_mix_")).alias("margin"), plain(F.col(margin)).alias("value"), F.coalesce("target", F.lit(0.0)).alias("target"), *(F.coalesce(name, F.lit(0.0)).alias(name) for name in sums))
         out = now if out is None else out.unionByName(now)
     return out
 
@@ -115,7 +124,7 @@ def fit(rows: DataFrame, targets: dict[str, DataFrame] | None = None, temper: fl
     goals = {}
     for margin in MARGINS:
         given = (targets or {}).get(margin.removeprefix("_mix_"))
-        goal = given.select(F.coalesce(given.columns[0], F.lit("\0")).alias(margin), F.col(given.columns[1]).alias("share")) if given is not None else tempered(cells, margin, temper)
+        goal = given.select(coded(F.col(given.columns[0])).alias(margin), F.col(given.columns[1]).alias("share")) if given is not None else tempered(cells, margin, temper)
         goals[margin] = materialize(goal)
     raked, error = rake(cells, goals, rounds, tolerance)
     rate = rate_of(raked, volume)
@@ -129,12 +138,18 @@ def fit(rows: DataFrame, targets: dict[str, DataFrame] | None = None, temper: fl
 def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, temper: float = 0.8, seed: int = 0, rounds: int = 100, volume: float = 0.5, tolerance: float = 1e-4) -> DataFrame:
     """Every document with ``_mix_weight`` (raked over counted tokens), ``_mix_probability`` and
     ``_mix_kept``, besides its cell and tokens. ``targets``: by margin name (source, lang, topic)."""
+    rows = drawn(docs, topic, targets, temper, seed, rounds, volume, tolerance)
+    keep = [c for c in docs.columns if c.lower() not in OWN]
+    return rows.select(*(F.col("_mix_row").getField(c).alias(c) for c in keep), *(plain(F.col(m)).alias(m) for m in MARGINS), *(c for c in OWN if c not in MARGINS))
+
+
+def drawn(docs: DataFrame, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, temper: float = 0.8, seed: int = 0, rounds: int = 100, volume: float = 0.5, tolerance: float = 1e-4) -> DataFrame:
     rows = with_cells(docs, topic)
     raked = fit(rows, targets, temper, rounds, volume, tolerance).cells.select(*MARGINS, "_mix_weight", "_mix_probability")
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    draw = F.pmod(F.xxhash64("_mix_id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return rows.join(raked, list(MARGINS), "left").withColumn("_mix_kept", draw < F.col("_mix_probability"))
 
 
 def sample(docs: DataFrame, **how) -> DataFrame:
-    """The kept documents with their own columns alone."""
-    return mix(docs, **how).where("_mix_kept").select(*docs.columns)
+    """The kept documents with their own columns alone, whatever their names."""
+    return drawn(docs, **how).where("_mix_kept").select("_mix_row.*")

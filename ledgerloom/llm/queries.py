@@ -73,12 +73,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell, tokens, raked weight, probability and draw of every document."""
     rows = mixing.mix(table(spark, sf_dir, "documents"))
-    null = lambda c: F.when(F.col(c) != "\0", F.col(c))
     return rows.select(
         "doc_id",
-        null("_mix_source").alias("source"),
-        null("_mix_lang").alias("lang"),
-        null("_mix_topic").alias("topic"),
+        F.col("_mix_source").alias("source"),
+        F.col("_mix_lang").alias("lang"),
+        F.col("_mix_topic").alias("topic"),
         F.col("_mix_tokens").cast("long").alias("n_tokens"),
         F.col("_mix_weight").alias("weight"),
         F.col("_mix_probability").alias("probability"),

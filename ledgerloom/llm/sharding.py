@@ -11,7 +11,7 @@ documents are aggregations and joins with these few items.
 Cases. A null text counts as an empty one: no bytes, crc 0, and one group with empty texts. Ties in size are
 broken by group key. Repeated rows are rows of one group, each with its own slot. A group that is larger
 than the capacity fills a bin alone or, when the number of shards is fixed, exceeds it. Null ids sort first. An
-empty table gives no rows. Only doc_id and text are read.
+empty table gives no rows. Very long texts are hashed whole. Only doc_id and text are read, whatever other columns are named.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ a constant number of probes. ``shards`` is a Parquet table with one row per shar
 
 Cases. Null and empty texts hold the end id alone. A null document id sorts first. A repeated
 document id keeps all its rows: the index has one entry per (id, occurrence in sorted order).
-An empty table gives an empty store. Other columns of the input are not read.
+A very long text is encoded alone. An empty table gives an empty store. Other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ sign, or a line end, texts are cut there; the best sequence is that of the parts
 distinct part is encoded once per worker.
 
 Cases. Null and empty texts have no pieces and decode to empty text. Repeated rows get equal results. An empty
-table gives no rows. ``encode`` passes other columns through; its own begin with ``_sp_``.
+table gives no rows. A long text without a place to cut goes character by character in memory of a few numbers each. Of equal sums the
+first found stays. ``encode`` passes other columns through; those named ``_sp_ids`` or ``_sp_text`` give way to its own.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import free_of
 from .hashing import slices
 
 MARK, LITERAL = 0xFE, 0xFF  # bytes that no UTF-8 text has: a space marker, and a literal U+2581
@@ -245,6 +247,7 @@ class Encoder:
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """Add ``_sp_ids`` (array of int) and, where ``decoded``, ``_sp_text`` decoded from them."""
+    docs = free_of(docs, "_sp_ids", "_sp_text")
     held = docs.sparkSession.sparkContext.broadcast(Pieces(model_path))
     at = docs.columns.index(text)
 

@@ -15,7 +15,8 @@ Likeness is the Jaccard similarity of the distinct hashes.
 Cases. A null text is an empty one; texts without tokens have an empty fingerprint, and likeness 1 to each
 other, 0 to others. Fewer tokens than k make one gram. Equal texts have equal fingerprints. A null
 document id sorts first. Rows with one id share their next document, the next distinct id's least
-text by its beginning; every row gets a row. Other columns are not read.
+text by its beginning; every row gets a row. Very long texts are fingerprinted whole, and short ones with smaller windows, as said. Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
