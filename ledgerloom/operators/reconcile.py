@@ -34,8 +34,8 @@ from ..functions.text import plain_number
 from ..steps import materialize
 
 RESULT = ("seq", "transaction_id", "ledger_id", "ledger_type", "status", "amount_difference", "match_confidence", "confidence_tier", "remarks")
-#: Relative width of the amount buckets that give a first reachable score.
-NEAR = 0.002
+#: Relative widths of the amount buckets that give a first reachable score.
+NEAR = (0.002, 0.1, 3.0)
 #: First, last and relative width of the buckets of the search; amounts beyond count for the first or last.
 COARSE = (-200, 2000, 0.02)
 #: Scores closer than this can be stored as the same number.
@@ -144,12 +144,18 @@ def by_search(rest: DataFrame, ledger: DataFrame, pairs: DataFrame) -> DataFrame
     who = rest.select("payer", "payee").distinct()
     both = materialize(name_scores(materialize(who.crossJoin(ledger.select("side", "name").distinct()))))
     raw = scoring.confidence(F.col("score"), scoring.amount_score(F.col("usd"), F.col("l_usd")), F.lit(0.0))
-    bucket = lambda c: F.floor(F.ln(F.greatest(F.col(c), F.lit(0.01))) / NEAR)
     own = pairs.join(rest.select("seq"), "seq", "left_semi").join(ledger.select("side", "ledger_id", "taken_at"), ["side", "ledger_id"]).where(open_).drop("taken_at")
-    near = rest.withColumn("b", F.explode(F.array(bucket("usd") - 1, bucket("usd"), bucket("usd") + 1)))
-    near = near.join(ledger.withColumn("b", bucket("l_usd")), "b").where(open_).join(both, ["payer", "payee", "side", "name"])
-    reach = near.select("seq", "side", raw.alias("raw")).unionByName(own.select("seq", "side", "raw")).groupBy("seq", "side").agg(F.max("raw").alias("reach"))
-    sides = rest.withColumn("side", F.explode(F.array(F.lit("BANK"), F.lit("ERP")))).join(reach, ["seq", "side"], "left").withColumn("reach", F.coalesce("reach", F.lit(0.0)))
+    sides = rest.withColumn("side", F.explode(F.array(F.lit("BANK"), F.lit("ERP"))))
+    reach, need = own.groupBy("seq", "side").agg(F.max("raw").alias("reach")), sides
+    for width in NEAR:  # wider for those that have no row so near
+        bucket = lambda c, w=width: F.floor(F.ln(F.greatest(F.col(c), F.lit(0.01))) / w)
+        near = need.withColumn("b", F.explode(F.array(bucket("usd") - 1, bucket("usd"), bucket("usd") + 1))).join(ledger.withColumn("b", bucket("l_usd")), ["side", "b"])
+        got = materialize(near.where(open_).join(both, ["payer", "payee", "side", "name"]).groupBy("seq", "side").agg(F.max(raw).alias("reach")))
+        reach, need = reach.unionByName(got), materialize(need.join(got, ["seq", "side"], "left_anti"))
+        if not need.take(1):
+            break
+    reach = reach.groupBy("seq", "side").agg(F.max("reach").alias("reach"))
+    sides = sides.join(reach, ["seq", "side"], "left").withColumn("reach", F.coalesce("reach", F.lit(0.0)))
     able = sides.join(both, ["payer", "payee", "side"]).where(F.col("score") * 0.4 + 40 >= F.col("reach") - STEP)
     # the amounts that could still reach it, as a range of coarse buckets; all of them where the name alone could
     least = (F.col("reach") - STEP - F.col("score") * 0.4) / 40
