@@ -1,7 +1,8 @@
 """Streams of transfers and rail messages.
 
-The batch function can run again on the same batch after a failure, as it skips keys that are stored. A group of
-stateful operators is what one provider or id has in one micro-batch, which the source's options bound.
+Batch functions can run again on the same batch after a failure: the transfer feed skips keys that are stored, and a
+versioned table writes the version of its batch anew. A group of stateful operators is what one provider or id has in one
+micro-batch, which the source's options bound.
 """
 
 from __future__ import annotations
@@ -9,12 +10,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..operators.updates import update_states
+from ..steps import hadoop_path
+
 #: Fields of a transfer message, and the columns they become.
 FIELDS = {"transactionId": "transaction_id", "referenceId": "reference_id", "payer": "payer", "payee": "payee", "payerFsp": "payer_fsp", "payeeFsp": "payee_fsp", "amount": "amount", "currency": "currency", "transferState": "transfer_state"}
+#: Parts of the transfer feed's table, by hash of the key: a batch reads those that its keys are in.
+PARTS = 256
 
 
 def transfers(messages: DataFrame, column: str = "value") -> DataFrame:
@@ -25,23 +31,73 @@ def transfers(messages: DataFrame, column: str = "value") -> DataFrame:
     return rows.withColumns({"reference_id": F.coalesce("reference_id", made), "currency": F.coalesce("currency", F.lit("USD")), "transfer_state": F.coalesce("transfer_state", F.lit("COMMITTED")), "status": F.lit("SUCCESS")})
 
 
-def append_new(path: str, key: str = "transaction_id", after: Callable[[DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: of each key that isn't stored yet one row is appended; a repeat changes nothing.
+def append_new(path: str, key: str = "transaction_id", after: Callable[[DataFrame], None] | None = None, parts: int = PARTS) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: of each key that isn't stored yet one row is appended; a repeat changes nothing. The table is
+    kept in folders by hash of the key (column ``_part``), of which a batch reads those that it has keys of.
     ``after`` gets the whole table once per batch, to reconcile again."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         first = batch.withColumn("_at", F.monotonically_increasing_id())
         first = first.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_at"))).where("_n = 1").drop("_n", "_at")
-        spark.createDataFrame([], first.schema).write.mode("append").parquet(path)
+        first = first.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        spark.createDataFrame([], first.schema).write.mode("append").partitionBy("_part").parquet(path)
         stored = spark.read.schema(first.schema).parquet(path)
-        first.join(stored.select(key), key, "left_anti").select(*first.columns).write.mode("append").parquet(path)
+        touched = [r["_part"] for r in first.select("_part").distinct().collect()]  # at most ``parts`` numbers
+        new = first.join(stored.where(F.col("_part").isin(touched)).select(key, "_part"), [key, "_part"], "left_anti")
+        new.select(*first.columns).write.mode("append").partitionBy("_part").parquet(path)
         if after is not None:
-            after(spark.read.schema(first.schema).parquet(path))
+            after(spark.read.schema(first.schema).parquet(path).drop("_part"))
+
+    return write
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Finished versions of a table, ascending."""
+    at, fs = hadoop_path(spark, path)
+    found = fs.listStatus(at) if fs.exists(at) else []
+    names = [x.getPath().getName() for x in found]
+    done = [int(n[2:]) for n in names if n.startswith("v=") and fs.exists(hadoop_path(spark, f"{path}/{n}/_SUCCESS")[0])]
+    return sorted(done)
+
+
+def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest version of a table (below ``before``), or null."""
+    known = [v for v in versions(spark, path) if before is None or v < before]
+    return spark.read.parquet(f"{path}/v={known[-1]}") if known else None
+
+
+def next_version(path: str, change: Callable[[DataFrame | None, DataFrame], DataFrame], keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: the table's version of this batch is ``change(version before, batch)``. A batch that runs again
+    reads the same version before and overwrites its own. Of old versions ``keep`` stay, for readers."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        change(latest(spark, path, batch_id + 1), batch).write.mode("overwrite").parquet(f"{path}/v={batch_id + 1}")
+        for old in versions(spark, path)[:-keep]:
+            at, fs = hadoop_path(spark, f"{path}/v={old}")
+            fs.delete(at, True)
 
     return write
 
 
+def state_updates(path: str, start: DataFrame) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for messages (transaction_id, status, transfer_state, ts, seq): the last of a batch sets the state of a
+    stored transfer; unknown ones change nothing. ``start``: the transfers before the first batch."""
+    return next_version(path, lambda before, batch: update_states(start if before is None else before, batch)[0])
+
+
+def retained(path: str, minutes: int = 10) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: the history (ts, ...) of the last minutes before the newest message so far."""
+
+    def change(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+        rows = batch if before is None else before.unionByName(batch)
+        newest = rows.agg(F.max("ts").alias("_newest"))
+        return rows.join(F.broadcast(newest)).where(F.col("ts") >= F.col("_newest") - F.expr(f"interval {minutes} minutes")).drop("_newest")
+
+    return next_version(path, change)
+
+
 def start(rows: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Everything that is there now, in batches that the source's options bound."""
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -49,6 +49,38 @@ def test_feed_keeps_the_first_of_each_id(spark, tmp_path):
     assert (got["a"].amount, got["a"].currency, got["b"].currency, len(got)) == (1.5, "USD", "KES", 2)
 
 
+def test_state_updates_and_history(spark, tmp_path):
+    tx = spark.createDataFrame([("a", "NEW", "R"), ("b", "NEW", "R")], "transaction_id string, status string, transfer_state string")
+    shape = "transaction_id string, status string, transfer_state string, ts timestamp, seq long"
+    for n, rows in enumerate([[("a", "1", "x", 10, 0), ("a", "2", "x", 20, 1), ("z", "9", "z", 5, 2)], [("b", "3", "y", 700, 3), ("a", "4", "y", 690, 4)]]):
+        df = spark.createDataFrame(rows, "transaction_id string, status string, transfer_state string, s long, seq long").selectExpr("transaction_id", "status", "transfer_state", "timestamp_seconds(s) as ts", "seq")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for name, batch in (("states", feeds.state_updates(str(tmp_path / "states"), tx)), ("history", feeds.retained(str(tmp_path / "history")))):
+            feeds.start(spark.readStream.schema(shape).parquet(str(tmp_path / "in")), batch, str(tmp_path / f"{name}-c")).awaitTermination()
+            got = feeds.latest(spark, str(tmp_path / name)).collect()
+            if name == "states":
+                assert {r.transaction_id: r.status for r in got} == [{"a": "2", "b": "NEW"}, {"a": "4", "b": "3"}][n]
+            else:
+                assert {r.seq for r in got} == [{0, 1, 2}, {3, 4}][n]
+    again = feeds.state_updates(str(tmp_path / "states"), tx)
+    again(spark.read.parquet(str(tmp_path / "in")).where("seq > 2"), 1)  # a batch that runs once more
+    assert {r.transaction_id: r.status for r in feeds.latest(spark, str(tmp_path / "states")).collect()} == {"a": "4", "b": "3"}
+
+
+def test_reconcile_after_each_batch(spark, tmp_path):
+    """The feed hands the whole table to the batch job once per micro-batch."""
+    from ledgerloom.operators import reconcile as rc
+
+    (tmp_path / "feed").mkdir()
+    (tmp_path / "feed/1.txt").write_text(json.dumps({"transactionId": "t", "referenceId": "R", "payer": "Ann", "payee": "Bob", "amount": 5.0}))
+    bank = spark.createDataFrame([(1, "B", "R", "Ann", 5.0, "USD")], "seq long, bank_statement_id string, reference_number string, counterparty string, amount double, currency string")
+    erp = spark.createDataFrame([], "seq long, erp_id string, invoice_number string, customer_vendor_name string, expected_amount double, currency string")
+    seen = []
+    after = lambda t: seen.append(rc.reconcile(t.selectExpr("cast(1 as long) as seq", "*"), bank, erp).first().status)
+    feeds.start(feeds.transfers(spark.readStream.text(str(tmp_path / "feed"))), feeds.append_new(str(tmp_path / "t"), after=after), str(tmp_path / "c")).awaitTermination()
+    assert seen == ["matched"]
+
+
 def test_upload(spark, tmp_path):
     (tmp_path / "f.csv").write_text("transaction_id,Payer Name,amount\nA,Ann,1\n,Bob,2\n,,\nA,Cid,3\nB,Dan,x\n")
     good, bad = ingest.ingest(ingest.read_csv(spark, str(tmp_path / "f.csv")), *ingest.route("HUB", "f.csv"))
