@@ -39,9 +39,9 @@ def test_every_operator_on_odd_rows(spark, odd):
         assert got.count() == size and got.where("size(_sp_ids) > 30000").count() == min(1, size)
         got = langid.predict(df, langid.train(df))
         assert got.count() == size and got.where("_lang_pred = 'und'").count() == (4 if size else 0) and got.where("_lang_pred = 'und' and _lang_score <> 0").count() == 0
-        got = mixing.mix(df)
+        got = mixing.mix(df, rounds=3)
         assert got.count() == size and got.where("_mix_tokens = 77").count() == 0
-        kept = mixing.sample(df, volume=1.0)
+        kept = mixing.sample(df, volume=1.0, rounds=3)
         assert kept.columns == df.columns and kept.where("_mix_tokens <> 77 or _mix_kept <> 'kept'").count() == 0
         assert urls.judge(df.withColumnRenamed("text", "url").withColumn("_url_host", F.lit(1)), URL_RULES).count() == size
         assert jaccard_join.keep_one(df).columns == df.columns
