@@ -148,3 +148,35 @@ def associate(messages: DataFrame, minutes: int = 10) -> DataFrame:
 
     late = rail.withWatermark("ts", f"{minutes} minutes").groupBy("transaction_id")
     return late.applyInPandasWithState(pop, "seq long, quote_seq long, error string", "seq long, us long", "append", "EventTimeTimeout")
+
+
+def await_callbacks(listeners: DataFrame, inbound: DataFrame, seconds: int = 15, late: str = "1 minute") -> DataFrame:
+    """listeners (listener, method, path, ts) with the first inbound message (seq, method, path, ts) of the same method and path
+    from then on, within the time, as soon as it comes, else null, when the watermark (``late`` behind the newest) has passed
+    the time. State: the open listeners of a method and path. Rows of one batch count by time, those of different ones as they come."""
+    both = listeners.select("method", "path", "ts", F.col("listener").alias("id"), F.lit(0).alias("heard"))
+    both = both.unionByName(inbound.where("method is not null and path is not null").select("method", "path", "ts", F.col("seq").alias("id"), F.lit(1).alias("heard")))
+    both = both.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    wait = seconds * 1_000_000
+
+    def answer(key: tuple, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        waiting = list(zip(*state.get, strict=True)) if state.exists else []
+        out: list[tuple] = []
+        if not state.hasTimedOut:
+            for r in pd.concat(list(chunks)).sort_values(["us", "heard", "id"]).itertuples():
+                if r.heard:
+                    out += [(who, int(r.id) if r.us <= since + wait else None) for who, since in waiting if since <= r.us]
+                    waiting = [x for x in waiting if x[1] > r.us]
+                else:
+                    waiting.append((int(r.id), int(r.us)))
+        now = state.getCurrentWatermarkMs()
+        out += [(who, None) for who, since in waiting if (since + wait) // 1000 < now]
+        waiting = [x for x in waiting if (x[1] + wait) // 1000 >= now]
+        if waiting:
+            state.update(([x[0] for x in waiting], [x[1] for x in waiting]))
+            state.setTimeoutTimestamp(max((min(x[1] for x in waiting) + wait) // 1000, now) + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"listener": pd.Series([x[0] for x in out], dtype="int64"), "callback_seq": pd.Series([x[1] for x in out], dtype="Int64")})
+
+    return both.groupBy("method", "path").applyInPandasWithState(answer, "listener long, callback_seq long", "listeners array<long>, since array<long>", "append", "EventTimeTimeout")

@@ -31,6 +31,24 @@ def test_association_as_in_batch(spark, tmp_path):
     assert got == sorted(map(tuple, rail.associate_quotes(m, 24 * 60).collect()), key=str)
 
 
+def test_callbacks_as_in_batch(spark, tmp_path):
+    """Listeners wait over batches; those without a callback in time are told so once the watermark has passed."""
+    at = lambda df: df.selectExpr("id", "method", "path", "timestamp_seconds(s) as ts")
+    shape = "id long, method string, path string, s long"
+    listening = [(1, "put", "/a", 100), (2, "put", "/a", 104), (3, "put", "/b", 100), (4, "post", "/a", 100), (5, "put", "/a", 130), (6, "put", None, 100)]
+    said = [[(10, "put", "/a", 99), (11, "put", "/a", 104), (12, "put", "/a", 104)], [(13, "put", "/b", 116), (14, "put", "/a", 145), (15, "put", None, 101)], [(16, "get", "/z", 9000)]]
+    listeners, inbound = at(spark.createDataFrame(listening, shape)), at(spark.createDataFrame(sum(said, []), shape))
+    listeners.write.parquet(str(tmp_path / "listeners"))
+    (tmp_path / "inbound").mkdir()
+    calls = feeds.await_callbacks(spark.readStream.schema(listeners.schema).parquet(str(tmp_path / "listeners")).withColumnRenamed("id", "listener"), spark.readStream.schema(inbound.schema).parquet(str(tmp_path / "inbound")).withColumnRenamed("id", "seq"))
+    for rows in said:
+        at(spark.createDataFrame(rows, shape)).coalesce(1).write.mode("append").parquet(str(tmp_path / "inbound"))
+        calls.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    want = rail.await_callbacks(listeners.withColumnRenamed("id", "listener"), inbound.withColumnRenamed("id", "seq"))
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == sorted(map(tuple, want.collect())) == [(1, 11), (2, 11), (3, None), (4, None), (5, 14), (6, None)]
+
+
 def test_feed_keeps_the_first_of_each_id(spark, tmp_path):
     def send(n, *rows):
         folder = tmp_path / "feed"
