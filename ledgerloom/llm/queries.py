@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard_join, langid, mixing, sharding, token_index, topk, unigram, urls, winnowing
+from . import chat, jaccard_join, langid, mixing, sharding, token_index, topk, toxicity, unigram, urls, winnowing
 from .common import table
 
 
@@ -91,7 +91,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_index, op2_url_templates, op3_winnowing, op4_chat, op5_topk, op6_sentencepiece, op7_langid, op8_jaccard_join, op9_mixing, op10_sharding)}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's toxicity, learnt from the labels that aren't held out, and its sentences to blame."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~toxicity.is_held_out()))
+    out = toxicity.predict(docs.withColumn("held_out", toxicity.is_held_out()), model)
+    return out.select("doc_id", "held_out", F.col("_tox_score").alias("score"), (F.col("_tox_score") >= 0.5).cast("int").alias("predicted"), F.col("_tox_spans").alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_index, op2_url_templates, op3_winnowing, op4_chat, op5_topk, op6_sentencepiece, op7_langid, op8_jaccard_join, op9_mixing, op10_sharding, op11_toxicity)}
 ORACLES = {
     "op5_topk": """
 with v as (
