@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard_join, langid, mixing, sharding, token_index, topk, toxicity, unigram, urls, winnowing
+from . import chat, edits, jaccard_join, langid, mixing, sharding, token_index, topk, toxicity, unigram, urls, winnowing
 from .common import table
 
 
@@ -99,7 +99,38 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("_tox_score").alias("score"), (F.col("_tox_score") >= 0.5).cast("int").alias("predicted"), F.col("_tox_spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_index, op2_url_templates, op3_winnowing, op4_chat, op5_topk, op6_sentencepiece, op7_langid, op8_jaccard_join, op9_mixing, op10_sharding, op11_toxicity)}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and its cheapest repair."""
+    out = edits.repair(edits.damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    return out.select(edits.plain_conversation(), *edits.RESULT, "audit", "repaired_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_index, op2_url_templates, op3_winnowing, op4_chat, op5_topk, op6_sentencepiece, op7_langid, op8_jaccard_join, op9_mixing, op10_sharding, op11_toxicity, op12_conversation_repair)}
+#: CRC-32 of short texts, bit by bit: a step for each bit, which takes in a byte before the first of eight.
+_CRC = "xor(list_reduce(list_transform(range(0, 8 * strlen({0})), lambda i: case when i % 8 = 0 then cast(('0x' || substr(hex({0}::blob), cast(i // 4 + 1 as integer), 2)) as bigint) else 0 end), lambda c, x: xor(xor(c, x) >> 1, case when xor(c, x) & 1 = 1 then 3988292384 else 0 end), 4294967295), 4294967295)"
+_INSERT = lambda x, role: f"case when {x} is not null then {{'c': {x}.c + 2, 'a': {x}.a || 'I', 'r': {x}.r || chr(10) || '{role}:'}} end"
+_KEEP = lambda x: f"case when {x} is not null then {{'c': {x}.c + t, 'a': {x}.a || 'K', 'r': {x}.r || chr(10) || role || ':' || text}} end"
+_REROLE = lambda x, role: f"case when {x} is not null then {{'c': {x}.c + t + 2, 'a': {x}.a || 'R', 'r': {x}.r || chr(10) || '{role}:' || text}} end"
+_DELETE = lambda x: f"case when {x} is not null then {{'c': {x}.c + 3, 'a': {x}.a || 'D', 'r': {x}.r}} end"
+#: With turns put in: z, s, u, a are the cheapest (cost, audit, text) of each state.
+_PUT_IN = lambda source: f"select * replace (least(a, {_INSERT('u', 'assistant')}) as a) from (select * replace (least(u, {_INSERT('z', 'user')}, {_INSERT('s', 'user')}, {_INSERT('a', 'user')}) as u) from ({source}))"
+_OF_KIND = lambda x, *more: f"case when kind in ('b', 'd') then {_DELETE(x)} else least({', '.join([_DELETE(x), *more])}) end"
+_IF = lambda i, x: f"case when left(role, 1) = '{i}' then {_KEEP(x)} end"
+_REPAIR = f"""
+with recursive d as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, concat(coalesce(cast(conv_id as varchar), ' '), ':', coalesce(cast(turn as varchar), ' ')) as k from conversations),
+x as (select conv_id, turn, case when luck = 4 then 'user' else role end as role, case luck when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+ from (select *, {_CRC.format("k")} % 20 as luck from d), range(2) copy(i) where luck <> 0 and (i = 0 or luck = 3)),
+f as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as n, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as kept from x),
+g as (select *, case when kept = '' then 'b' when row_number() over (partition by conv_id, role, text order by n) > 1 then 'd' when right(kept, 1) not in ('.', '!', '?') then 't' else '' end as kind from f),
+rows_ as (select *, case when kind = 't' then 1 else 0 end as t, lag(role) over (partition by conv_id order by n) as before from g),
+dp as (select distinct conv_id, cast(0 as bigint) as n, {{'c': cast(0 as bigint), 'a': '', 'r': ''}} as z, cast(null as struct(c bigint, a varchar, r varchar)) as s, cast(null as struct(c bigint, a varchar, r varchar)) as u, cast(null as struct(c bigint, a varchar, r varchar)) as a from conversations
+ union all select conv_id, n, {_OF_KIND("z")}, {_OF_KIND("s", _IF("s", "z"))}, {_OF_KIND("u", _REROLE("z", "user"), _REROLE("s", "user"), _REROLE("a", "user"), _IF("u", "z"), _IF("u", "s"), _IF("u", "a"))}, {_OF_KIND("a", _REROLE("u", "assistant"), _IF("a", "u"))}
+ from ({_PUT_IN("select r.conv_id, r.n, r.kind, r.role, r.text, cast(r.t as bigint) as t, dp.z, dp.s, dp.u, dp.a from dp join rows_ r on r.conv_id is not distinct from dp.conv_id and r.n = dp.n + 1")})),
+ended as (select conv_id, least(z, a) as best from ({_PUT_IN("select * from dp qualify row_number() over (partition by conv_id order by n desc) = 1")})),
+told as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(case when kind = 'b' then 1 end) as blank, count(case when kind = 'd' then 1 end) as duplicate, count(case when kind = 't' then 1 end) as truncated,
+ count(case when n > 1 and left(before, 1) || left(role, 1) not in ('su', 'ua', 'au') then 1 end) as illegal from rows_ group by conv_id)
+select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, best.c as cost, best.a as audit, sha256(substr(best.r, 2)) as repaired_sha256
+from ended e left join told t on t.conv_id is not distinct from e.conv_id"""
 ORACLES = {
     "op5_topk": """
 with v as (
@@ -110,4 +141,5 @@ p as (
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
 r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from p)
 select query_id, rank, vec_id, score from r where rank <= 5""",
+    "op12_conversation_repair": _REPAIR,
 }
