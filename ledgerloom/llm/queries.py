@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, edits, jaccard_join, langid, mixing, sharding, token_index, topk, toxicity, unigram, urls, winnowing
+from . import chat, edits, jaccard_join, langid, mixing, negatives, sharding, token_index, topk, toxicity, unigram, urls, winnowing
 from .common import table
 
 
@@ -105,7 +105,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(edits.plain_conversation(), *edits.RESULT, "audit", "repaired_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_index, op2_url_templates, op3_winnowing, op4_chat, op5_topk, op6_sentencepiece, op7_langid, op8_jaccard_join, op9_mixing, op10_sharding, op11_toxicity, op12_conversation_repair)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the positives of each vector whose id is divisible by 100; a seventh of the labels are moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return negatives.hard_negatives(rows, lambda i: i % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_index, op2_url_templates, op3_winnowing, op4_chat, op5_topk, op6_sentencepiece, op7_langid, op8_jaccard_join, op9_mixing, op10_sharding, op11_toxicity, op12_conversation_repair, op13_hard_negatives)}
 #: CRC-32 of short texts, bit by bit: a step for each bit, which takes in a byte before the first of eight.
 _CRC = "xor(list_reduce(list_transform(range(0, 8 * strlen({0})), lambda i: case when i % 8 = 0 then cast(('0x' || substr(hex({0}::blob), cast(i // 4 + 1 as integer), 2)) as bigint) else 0 end), lambda c, x: xor(xor(c, x) >> 1, case when xor(c, x) & 1 = 1 then 3988292384 else 0 end), 4294967295), 4294967295)"
 _INSERT = lambda x, role: f"case when {x} is not null then {{'c': {x}.c + 2, 'a': {x}.a || 'I', 'r': {x}.r || chr(10) || '{role}:'}} end"
@@ -142,4 +149,16 @@ p as (
 r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from p)
 select query_id, rank, vec_id, score from r where rank <= 5""",
     "op12_conversation_repair": _REPAIR,
+    "op13_hard_negatives": """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+s as (
+  select a.vec_id as anchor_id, c.vec_id as other, a.label = c.label as same, cast(list_sum(list_transform(list_zip(a.e, c.e), lambda z: z[1] * z[2])) as bigint) as score
+  from v a join v c on a.vec_id <> c.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, other as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5),
+n as (
+  select p.*, other as negative_id, score as negative_score, cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, other) as integer) as rank
+  from p join s on s.anchor_id = p.anchor_id and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 10""",
 }

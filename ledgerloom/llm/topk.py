@@ -47,12 +47,12 @@ def finite(e: Column) -> Column:
     return e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))
 
 
-def integers(vectors: DataFrame, scale: int, vec_id: str, embedding: str) -> DataFrame:
-    """(id, v, norm2) of those that take part."""
+def integers(vectors: DataFrame, scale: int, vec_id: str, embedding: str, *more: str) -> DataFrame:
+    """(id, v, norm2) of those that take part, and the columns ``more``."""
     values = F.col(embedding).cast("array<double>")
     x = F.transform(values, lambda e: F.least(F.lit(2.0**62), F.greatest(F.lit(-(2.0**62)), F.when(F.abs(e) < 2.0**54, F.floor(F.when(F.abs(e) < 2.0**54, e * F.lit(scale)).otherwise(0.0)).cast("double")).otherwise(e * F.lit(scale)))))
     fine = F.col(embedding).isNotNull() & (F.size(embedding) > 0) & F.forall(values, finite)
-    rows = vectors.where(fine & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), x.alias("v"))
+    rows = vectors.where(fine & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), x.alias("v"), *more)
     return rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e))
 
 
