@@ -1,10 +1,19 @@
-"""Token-sort similarity of names, 0 to 100, in built-in functions."""
+"""Token-sort similarity of names, 0 to 100, in built-in functions, and a join of names by it.
+
+The join (``similar``) compares few pairs. A longest common subsequence is no longer than what two names have in common as bags of
+characters. A bag is a set of (character, how often it came before), in one order for all names, rare ones first. For a
+similarity of t, the names' lengths x and y (y least) and their common part c have c >= t (x + y) / 200 and y >= x t / (200 - t), so both
+have one of their first x - x t / (200 - t) + 1 marks in common (the prefix of each). An inverted index has the prefixes; pairs it finds are
+compared if their lengths and then their whole bags allow it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..steps import materialize
+
 #: Characters of the first name in one number of the state.
 WORD = 60
 ONES = (1 << WORD) - 1
@@ -79,3 +88,57 @@ def likeness(x: Column, y: Column) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     return let(F.struct(profile(a).alias("x"), profile(b).alias("y")), lambda p: likeness(p["x"], p["y"]))
+
+
+#: Least similarities that the index is made for: a probe takes the next below what it needs.
+BANDS = (98, 95, 90, 85, 80, 75, 70, 60, 50, 35)
+
+
+def band(least: Column) -> Column:
+    """The greatest of BANDS up to the similarity that is needed, at least the last."""
+    out = F.lit(BANDS[-1])
+    for b in reversed(BANDS[:-1]):
+        out = F.when(least >= b, b).otherwise(out)
+    return out
+
+
+def marks(chars: Column) -> Column:
+    """Each character with how often it came before; of an empty name one empty mark."""
+    own = F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i), lambda x: x == c)).cast("string")))
+    return F.when(F.size(chars) > 0, own).otherwise(F.array(F.lit("")))
+
+
+def similar(probes: DataFrame, words: DataFrame) -> DataFrame:
+    """probes (side, a, least) and words (side, name), distinct and with sorted tokens, to (side, a, name, s): all pairs of a
+    similarity s of at least ``band(least)``."""
+    return compared(candidates(probes, words))
+
+
+def candidates(probes: DataFrame, words: DataFrame) -> DataFrame:
+    """Pairs (side, a, name, band) that the index and the filters leave."""
+    probes = probes.withColumn("band", band(F.col("least"))).drop("least")
+    every = probes.select(F.col("a").alias("w")).unionByName(words.select(F.col("name").alias("w"))).distinct()
+    every = materialize(every.withColumn("mark", F.explode(F.transform(marks(F.filter(F.split("w", ""), lambda c: c != "")), lambda m: F.xxhash64(m)))))
+    often = every.groupBy("mark").agg(F.count("*").alias("n"))
+    bags = every.join(often, "mark").groupBy("w").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "mark"))), lambda x: x["mark"]).alias("bag"))
+    bags = materialize(bags.withColumn("n", F.length("w")))
+    least = lambda n: F.ceil(n * F.col("band") / (200 - F.col("band")) - 1e-9).cast("int")
+    prefix = lambda c: F.slice(f"{c}.bag", F.lit(1), F.greatest(F.lit(1), F.col(f"{c}.n") - least(F.col(f"{c}.n")) + 1))
+    of = lambda df, c, z: df.join(bags.select(F.col("w").alias(c), F.struct("n", "bag").alias(z)), c)
+    asked = of(probes, "a", "x").withColumn("first_x", prefix("x"))
+    bands = probes.select("side", "band").distinct()  # at most as many as BANDS of each side
+    held = of(words, "name", "y").join(F.broadcast(bands), "side").withColumn("first_y", prefix("y"))
+    both = F.col("band") * (F.col("x.n") + F.col("y.n"))
+    pairs = asked.withColumn("mark", F.explode("first_x")).join(held.withColumn("mark", F.explode("first_y")), ["side", "band", "mark"])
+    pairs = pairs.where((200 * F.least("x.n", "y.n") >= both) & (F.get(F.array_intersect("first_x", "first_y"), F.lit(0)) == F.col("mark")))
+    return pairs.where(200 * F.size(F.array_intersect("x.bag", "y.bag")) >= both).select("side", "a", "name", "band")
+
+
+def compared(pairs: DataFrame) -> DataFrame:
+    """Those that are similar enough, with the similarity; each pair of names is compared once."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = materialize(pairs)
+    one = pairs.select("a", "name").distinct().repartition(parts)
+    of = lambda c: pairs.select(c).distinct().withColumn(f"{c}_p", profile(F.col(c)))
+    one = one.join(of("a"), "a").join(of("name"), "name").select("a", "name", likeness(F.col("a_p"), F.col("name_p")).alias("s"))
+    return pairs.join(one, ["a", "name"]).where("s >= band").select("side", "a", "name", "s")

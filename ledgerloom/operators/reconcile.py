@@ -10,11 +10,12 @@ As a parallel job:
    last candidate whose raw score is above G, or, if there is none, the first that is stored as G. So it is one
    ``max_by``, without order or state (``place``).
 2. Without an equal reference a score is at most 80. So only rows of equal reference are ever matched and taken, and each
-   reference is a world of its own: where it has one transfer, ``max_by`` decides; where it has several, they are folded in order
-   (``fold``: one reference's rows in one task, as each choice depends on those before). What ends above 80 there is decided.
-3. The rest see all rows not taken before them. Rows of nearly equal amount give each of them a score that can be reached;
-   then only names whose similarity could beat it are joined, and only rows in the amounts that could. That
-   search is exact, and compares distinct names, not rows, with each other.
+   reference is a world of its own: where it has one transfer, ``max_by`` decides; where it has several, they are taken in order
+   (``rivals.sweep``: one reference's rows in one task, as each choice depends on those before). What ends above 80 there is decided.
+3. The rest see all rows not taken before them. A few rows of nearly equal amount, or of a word in common, give each of them a score that
+   can be reached, and the nearest amount bounds what an amount can give. That leaves a least similarity that a name needs:
+   ``names.similar`` finds those, by an index, and only rows in the amounts that could beat the score are joined. A name below the index's least
+   similarity can only win by its amount: such rows are found by amount alone. The search is exact.
 
 Amounts are dollars. Null names are empty ones. A transfer without amount, or with a negative one, has no candidates. A
 reference counts if it is not empty, though it may be blank. Ledger rows have unique ids.
@@ -22,9 +23,6 @@ reference counts if it is not empty, though it may be blank. Ledger rows have un
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,12 +30,15 @@ from ..functions import names, scoring
 from ..functions.money import to_usd
 from ..functions.text import plain_number
 from ..steps import materialize
+from .rivals import sweep
 
 RESULT = ("seq", "transaction_id", "ledger_id", "ledger_type", "status", "amount_difference", "match_confidence", "confidence_tier", "remarks")
 #: Relative widths of the amount buckets that give a first reachable score.
-NEAR = (0.002, 0.1, 3.0)
-#: First, last and relative width of the buckets of the search; amounts beyond count for the first or last.
+NEAR = (0.002, 0.02, 0.2, 3.0)
+#: First, last and relative width of the buckets that bound amounts; those beyond count for the first or last.
 COARSE = (-200, 2000, 0.02)
+#: Relative width of the narrowest buckets of the search.
+NARROW = 0.001
 #: Scores closer than this can be stored as the same number.
 STEP = 0.011
 
@@ -61,7 +62,7 @@ def ledger_rows(bank: DataFrame, erp: DataFrame) -> DataFrame:
     """(side, l_seq, ledger_id, name, l_usd, key) of both ledgers."""
 
     def side(df: DataFrame, kind: str, ident: str, name: str, amount: str, ref: str) -> DataFrame:
-        return df.select(F.lit(kind).alias("side"), F.col("seq").alias("l_seq"), F.col(ident).alias("ledger_id"), F.coalesce(name, F.lit("")).alias("name"), to_usd(F.col(amount), F.col("currency")).alias("l_usd"), reference_key(F.col(ref)).alias("key"))
+        return df.select(F.lit(kind).alias("side"), F.col("seq").alias("l_seq"), F.col(ident).alias("ledger_id"), names.sorted_tokens(F.col(name)).alias("name"), to_usd(F.col(amount), F.col("currency")).alias("l_usd"), reference_key(F.col(ref)).alias("key"))
 
     rows = side(bank, "BANK", "bank_statement_id", "counterparty", "amount", "reference_number")
     return rows.unionByName(side(erp, "ERP", "erp_id", "customer_vendor_name", "expected_amount", "invoice_number")).where("l_usd is not null")
@@ -74,7 +75,7 @@ def name_scores(pairs: DataFrame) -> DataFrame:
     one = pairs.where("side = 'BANK'").select(F.col("payer").alias("a"), "name").unionByName(pairs.select(F.col("payee").alias("a"), "name")).distinct()
     names_of = lambda c: one.select(F.col(c).alias("n")).distinct().select(F.col("n").alias(c), names.profile(F.col("n")).alias(f"{c}_profile"))
     one = materialize(one)
-    both = one.repartition(parts).join(materialize(names_of("a")), "a").join(materialize(names_of("name")), "name")
+    both = one.repartition(parts).join(names_of("a"), "a").join(names_of("name"), "name")
     one = materialize(both.select("a", "name", names.likeness(F.col("a_profile"), F.col("name_profile")).alias("s")))
     out = pairs.join(one.toDF("payee", "name", "s2"), ["payee", "name"]).join(one.toDF("payer", "name", "s1"), ["payer", "name"], "left")
     return out.withColumn("score", F.when(F.col("side") == "BANK", F.greatest("s1", "s2")).otherwise(F.col("s2"))).drop("s1", "s2")
@@ -107,63 +108,116 @@ def chosen(rows: DataFrame) -> DataFrame:
     return out.select("*", "x.*").drop("x", "bank", "erp")
 
 
-def fold(key: tuple, chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Transfers of one reference in order, each taking its matched ledger row from the later ones."""
-    pairs = pd.concat(list(chunks)).sort_values(["seq", "l_seq"])
-    taken, out = set(), []
-    for seq, rows in pairs.groupby("seq", sort=True):
-        held, pick = 0.0, None
-        for side in ("BANK", "ERP"):
-            if side == "ERP" and held >= 85:
-                break
-            for r in rows[rows.side == side].itertuples():
-                if (side, r.ledger_id) not in taken and r.raw > held:
-                    held, pick = r.stored, (side, r.ledger_id, r.raw, r.gap)
-        if pick and held >= 90:
-            taken.add(pick[:2])
-        out.append((seq, *(pick or (None, None, None, None))))
-    yield pd.DataFrame(out, columns=["seq", "ledger_type", "ledger_id", "raw", "gap"])
-
-
 def by_reference(tx: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(decided transfers: seq, ledger_type, ledger_id, raw, gap; pairs of equal reference)."""
-    t = tx.where("key is not null and usd >= 0").withColumn("rivals", F.count("*").over(Window.partitionBy("key")))
-    pairs = materialize(t.join(ledger.where("key is not null"), "key").select("key", "rivals", "seq", "payer", "payee", "usd", "side", "l_seq", "ledger_id", "name", "l_usd"))
+    """(decided transfers: seq, ledger_type, ledger_id, raw, gap; of the others the best bank row and invoice of equal reference: seq, side, l_seq,
+    ledger_id, raw, gap)."""
+    parts = int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = tx.where("key is not null and usd >= 0")
+    shared = t.groupBy("key").agg((F.count("*") > 1).alias("shared"))
+    t, held = materialize(t.join(shared, "key")), ledger.where("key is not null")
+    pairs = t.where("not shared").join(held, "key").select("seq", "payer", "payee", "usd", "side", "l_seq", "ledger_id", "name", "l_usd")
     raw = scoring.confidence(F.col("score"), scoring.amount_score(F.col("usd"), F.col("l_usd")), F.lit(40.0))
-    pairs = materialize(name_scores(pairs).select("key", "rivals", "seq", "side", "l_seq", "ledger_id", raw.alias("raw"), difference().alias("gap")))
-    alone = chosen(best(pairs.where("rivals = 1"), ["seq"]))
-    rivals = pairs.where("rivals > 1").withColumn("stored", scoring.stored(F.col("raw")))
-    folded = rivals.groupBy("key").applyInPandas(fold, "seq long, ledger_type string, ledger_id string, raw double, gap double")
-    return materialize(alone.unionByName(folded).where("raw > 80")), pairs.drop("rivals", "key")
-
-
-def by_search(rest: DataFrame, ledger: DataFrame, pairs: DataFrame) -> DataFrame:
+    pairs = name_scores(materialize(pairs)).select("seq", "side", "l_seq", "ledger_id", raw.alias("raw"), difference().alias("gap"))
+    top = F.max_by(F.struct("l_seq", "ledger_id", "raw", "gap"), place(F.col("raw")))
+    alone = pairs.groupBy("seq", "side").agg(top.alias("x")).select("seq", "side", "x.*")
+    none = F.lit(None).cast("string")
+    rows = t.where("shared").select("key", F.lit(1).alias("kind"), "seq", none.alias("side"), none.alias("ledger_id"), "payer", "payee", "usd")
+    rows = rows.unionByName(held.join(shared.where("shared"), "key", "left_semi").select("key", F.lit(0).alias("kind"), F.col("l_seq").alias("seq"), "side", "ledger_id", none.alias("payer"), F.col("name").alias("payee"), F.col("l_usd").alias("usd")))
+    bests = materialize(alone.unionByName(sweep(rows, parts)))
+    decided = materialize(chosen(best(bests, ["seq"])).where("raw > 80"))
+    return decided, bests.join(decided.select("seq"), "seq", "left_anti")
+
+
+def coarse(c: Column) -> Column:
+    """The bucket of an amount."""
+    return F.least(F.lit(COARSE[1]), F.greatest(F.lit(COARSE[0]), F.floor(F.ln(F.greatest(c, F.lit(0.01))) / COARSE[2]).cast("int")))
+
+
+def span(needs: Column) -> tuple[Column, Column]:
+    """Logarithms of the least and greatest amount whose score for a transfer of ``usd`` can be as high as needed."""
+    wide = F.when(needs > 0, (F.col("usd") + 1e-5) * (1 - needs / 100) * 1.000001).otherwise(F.lit(1e300))
+    log = lambda x: F.ln(F.greatest(x, F.lit(0.01)))
+    return log(F.col("usd") - wide), log(F.col("usd") + wide)
+
+
+def level(needs: Column) -> Column:
+    """The narrowest buckets, of widths NARROW * 4 ** level, of which the amounts take two at most."""
+    low, high = span(needs)
+    return F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest((high - low) / NARROW, F.lit(1.0)))).cast("int"))
+
+
+def at_level(amount: Column, level: Column) -> Column:
+    return F.floor(F.ln(F.greatest(amount, F.lit(0.01))) / (NARROW * F.pow(F.lit(4.0), level))).cast("long")
+
+
+def buckets(needs: Column) -> Column:
+    low, high = span(needs)
+    width = NARROW * F.pow(F.lit(4.0), F.col("level"))
+    return F.explode(F.sequence(F.floor(low / width).cast("long"), F.floor(high / width).cast("long")))
+
+
+def amount_bound(sides: DataFrame, ledger: DataFrame) -> DataFrame:
+    """sides (side, usd, ...) with ``most``: no row of the ledger has a higher amount score. From the least and greatest amount of each
+    coarse bucket, of which there are few; sides without ledger rows go."""
+    n = F.explode(F.sequence(F.lit(COARSE[0]), F.lit(COARSE[1])))
+    every = ledger.sparkSession.range(1).select(n.alias("at"), F.array(F.lit("BANK"), F.lit("ERP")).alias("s")).select("at", F.explode("s").alias("side"))
+    spans = every.join(ledger.groupBy("side", coarse(F.col("l_usd")).alias("at")).agg(F.min("l_usd").alias("least"), F.max("l_usd").alias("greatest")), ["side", "at"], "left")
+    w = Window.partitionBy("side").orderBy("at")
+    spans = spans.withColumn("below", F.last("greatest", True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("above", F.first("least", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    on = sides.withColumn("at", coarse(F.col("usd"))).join(F.broadcast(spans), ["side", "at"])  # some thousand rows, whatever the ledger
+    inside = F.when(F.col("usd").between(F.col("least"), F.col("greatest")), 0.0).otherwise(F.least(F.abs(F.col("usd") - F.col("least")), F.abs(F.col("usd") - F.col("greatest"))))
+    gap = F.least(inside, F.col("usd") - F.col("below"), F.col("above") - F.col("usd"))
+    out = on.where(F.coalesce("least", "below", "above").isNotNull()).withColumn("most", F.greatest(F.lit(0.0), 100 - gap / (F.col("usd") + 1e-5) * 100))
+    return out.drop("at", "least", "greatest", "below", "above")
+
+
+def some_near(sides: DataFrame, ledger: DataFrame) -> DataFrame:
+    """sides with some rows (side, name, l_usd) that none has taken: three of each amount bucket, of each word and bucket, and of each name
+    and bucket. They serve
+    to find a score that can be reached."""
+    bucket = lambda c, w: F.concat(F.lit(f"{w} "), F.floor(F.ln(F.greatest(F.col(c), F.lit(0.01))) / w).cast("string"))
+    words = lambda *cs: F.array_distinct(F.flatten(F.array(*(F.split(c, " ") for c in cs))))
+    tagged = lambda xs, usd, ws: F.flatten(F.transform(xs, lambda x: F.array(*(F.concat(bucket(usd, w), F.lit(" "), x) for w in ws))))
+    keys = lambda usd, *cs: F.concat(F.array(*(bucket(usd, w) for w in NEAR)), tagged(words(*cs), usd, NEAR[:1]), tagged(F.array_distinct(F.array(*(F.concat(F.lit("="), c) for c in cs))), usd, NEAR[:3]))
+    row = F.struct("name", "l_usd")
+    free = ledger.where("taken_at is null").select("side", F.explode(keys("l_usd", F.col("name"))).alias("k"), row.alias("row"), "l_seq", F.xxhash64("ledger_id").alias("h"))
+    few = free.groupBy("side", "k").agg(F.array_distinct(F.array(F.min_by("row", "l_seq"), F.max_by("row", "l_seq"), F.min_by("row", "h"))).alias("rows"))
+    asked = sides.withColumn("k", F.explode(keys("usd", F.col("payee"), F.col("payer"))))
+    return asked.join(few, ["side", "k"]).withColumn("row", F.explode("rows")).drop("k", "rows").select("*", "row.*").drop("row")
+
+
+def by_search(rest: DataFrame, ledger: DataFrame, own: DataFrame) -> DataFrame:
     """Best bank row and invoice over all open rows of each of the ``rest`` transfers: (seq, ledger_type, ledger_id, raw, gap).
-    ledger with ``taken_at``; pairs: of equal reference, which have their bonus."""
+    ledger with ``taken_at``; own: the best of equal reference, which have their bonus."""
     open_ = F.col("taken_at").isNull() | (F.col("taken_at") >= F.col("seq"))
-    who = rest.select("payer", "payee").distinct()
-    both = materialize(name_scores(materialize(who.crossJoin(ledger.select("side", "name").distinct()))))
     raw = scoring.confidence(F.col("score"), scoring.amount_score(F.col("usd"), F.col("l_usd")), F.lit(0.0))
-    own = pairs.join(rest.select("seq"), "seq", "left_semi").join(ledger.select("side", "ledger_id", "taken_at"), ["side", "ledger_id"]).where(open_).drop("taken_at")
-    sides = rest.withColumn("side", F.explode(F.array(F.lit("BANK"), F.lit("ERP"))))
-    reach, need = own.groupBy("seq", "side").agg(F.max("raw").alias("reach")), sides
-    for width in NEAR:  # wider for those that have no row so near
-        bucket = lambda c, w=width: F.floor(F.ln(F.greatest(F.col(c), F.lit(0.01))) / w)
-        near = need.withColumn("b", F.explode(F.array(bucket("usd") - 1, bucket("usd"), bucket("usd") + 1))).join(ledger.withColumn("b", bucket("l_usd")), ["side", "b"])
-        got = materialize(near.where(open_).join(both, ["payer", "payee", "side", "name"]).groupBy("seq", "side").agg(F.max(raw).alias("reach")))
-        reach, need = reach.unionByName(got), materialize(need.join(got, ["seq", "side"], "left_anti"))
-        if not need.take(1):
-            break
-    reach = reach.groupBy("seq", "side").agg(F.max("reach").alias("reach"))
-    sides = sides.join(reach, ["seq", "side"], "left").withColumn("reach", F.coalesce("reach", F.lit(0.0)))
-    able = sides.join(both, ["payer", "payee", "side"]).where(F.col("score") * 0.4 + 40 >= F.col("reach") - STEP)
-    # the amounts that could still reach it, as a range of coarse buckets; all of them where the name alone could
-    least = (F.col("reach") - STEP - F.col("score") * 0.4) / 40
-    most = F.when(least > 0, (F.col("usd") + 1e-5) * (1 - least) * 1.000001).otherwise(F.lit(1e300))
-    coarse = lambda c: F.least(F.lit(COARSE[1]), F.greatest(F.lit(COARSE[0]), F.floor(F.ln(F.greatest(c, F.lit(0.01))) / COARSE[2]).cast("int")))
-    able = able.withColumn("at", F.explode(F.sequence(coarse(F.col("usd") - most), coarse(F.col("usd") + most))))
-    found = able.join(ledger.withColumn("at", coarse(F.col("l_usd"))), ["side", "name", "at"]).where(open_).select("seq", "side", "l_seq", "ledger_id", "reach", raw.alias("raw"), difference().alias("gap"))
-    found = found.where(F.col("raw") >= F.col("reach") - STEP).drop("reach")
+    sides = amount_bound(rest.withColumn("side", F.explode(F.array(F.lit("BANK"), F.lit("ERP")))), ledger)
+    near = name_scores(materialize(some_near(sides, ledger))).select("seq", "side", raw.alias("raw"))
+    reach = near.unionByName(own.select("seq", "side", "raw")).groupBy("seq", "side").agg(F.max("raw").alias("reach"))
+    sides = sides.join(reach, ["seq", "side"], "left").withColumn("reach", F.coalesce("reach", F.lit(0.0)) - STEP)
+    sides = materialize(sides.withColumn("least", F.col("reach") / 0.4 - F.col("most")))
+    # names that are similar enough to one of the two
+    who = sides.groupBy("side", "payer", "payee").agg(F.min("least").alias("least"))
+    probes = who.select("side", F.col("payee").alias("a"), "least").unionByName(who.where("side = 'BANK'").select("side", F.col("payer").alias("a"), "least"))
+    alike = materialize(names.similar(probes.groupBy("side", "a").agg(F.min("least").alias("least")), ledger.select("side", "name").distinct()))
+    by_payee = who.join(alike.withColumnRenamed("a", "payee"), ["side", "payee"])
+    both = by_payee.unionByName(who.where("side = 'BANK'").join(alike.withColumnRenamed("a", "payer"), ["side", "payer"]))
+    both = both.where("s >= least - 0.001").groupBy("side", "payer", "payee", "name").agg(F.max("s").alias("score"))
+    able = sides.join(both, ["side", "payer", "payee"]).where(F.col("score") >= F.col("least") - 0.001)
+    # the amounts that could still reach it, as one or two buckets of their own width; all amounts where the name alone could
+    needs = F.col("reach") / 0.4 - F.col("score")
+    able = materialize(able.withColumn("level", level(needs)))
+    at = ledger.join(F.broadcast(able.select("level").distinct())).withColumn("at", at_level(F.col("l_usd"), F.col("level")))  # a few levels
+    named = able.withColumn("at", buckets(needs)).join(at, ["side", "name", "level", "at"]).where(open_)
+    named = named.select("seq", "side", "l_seq", "ledger_id", "reach", raw.alias("raw"), difference().alias("gap"))
+    # rows whose names are less alike than the index tells: by amount
+    needs = F.col("reach") / 0.4 - names.BANDS[-1]
+    low = materialize(sides.where(F.col("least") < names.BANDS[-1]).withColumn("level", level(needs)).withColumn("at", buckets(needs)))
+    at = ledger.join(F.broadcast(low.select("level").distinct())).withColumn("at", at_level(F.col("l_usd"), F.col("level")))
+    low = low.join(at, ["side", "level", "at"]).where(open_).where(needs <= scoring.amount_score(F.col("usd"), F.col("l_usd")) + 0.001)
+    low = materialize(low.select("seq", "side", "payer", "payee", "usd", "name", "l_seq", "ledger_id", "l_usd", "reach"))
+    low = name_scores(low).select("seq", "side", "l_seq", "ledger_id", "reach", raw.alias("raw"), difference().alias("gap"))
+    found = named.unionByName(low).where(F.col("raw") >= F.col("reach")).drop("reach")
     return chosen(best(found.unionByName(own.select(*found.columns)), ["seq"]))
 
 
@@ -171,14 +225,14 @@ def reconcile(tx: DataFrame, bank: DataFrame, erp: DataFrame) -> DataFrame:
     """One row per transfer: RESULT, and payer, amount, currency and previous_id (of a duplicate charge)."""
     t = with_previous(tx).select("seq", "transaction_id", "payer", "amount", "currency", "previous_id", F.coalesce("payee", F.lit("")).alias("_payee"), to_usd(F.col("amount"), F.col("currency")).alias("_usd"), reference_key(F.col("reference_id")).alias("_key"))
     t = materialize(t)
-    facts = t.select("seq", F.coalesce("payer", F.lit("")).alias("payer"), F.col("_payee").alias("payee"), F.col("_usd").alias("usd"), F.col("_key").alias("key"))
+    facts = t.select("seq", names.sorted_tokens(F.col("payer")).alias("payer"), names.sorted_tokens(F.col("_payee")).alias("payee"), F.col("_usd").alias("usd"), F.col("_key").alias("key"))
     ledger = materialize(ledger_rows(bank, erp))
-    decided, pairs = by_reference(facts, ledger)
+    decided, own = by_reference(facts, ledger)
     taken = decided.where(scoring.stored(F.col("raw")) >= 90).select(F.col("ledger_type").alias("side"), "ledger_id", F.col("seq").alias("taken_at"))
     # few rows that meet many: dealt over all tasks, whatever their bytes
     parts = int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = materialize(facts.where("usd >= 0").join(decided.select("seq"), "seq", "left_anti").drop("key").repartition(parts, "seq"))
-    searched = by_search(rest, materialize(ledger.join(taken, ["side", "ledger_id"], "left").drop("key").repartition(parts, "ledger_id")), pairs)
+    searched = by_search(rest, materialize(ledger.join(taken, ["side", "ledger_id"], "left").drop("key").repartition(parts, "ledger_id")), own)
     out = t.join(decided.unionByName(searched), "seq", "left")
     score = F.coalesce(scoring.stored(F.col("raw")), F.lit(0.0))
     out = out.withColumns({"match_confidence": score, "amount_difference": F.coalesce(F.round("gap", 2), F.lit(0.0)), "status": scoring.status(score), "confidence_tier": scoring.tier(score)})
