@@ -90,7 +90,7 @@ def quotes(m):
 
 def rivals(t, b, e):
     """Few references for many rows: tens of transfers, bank rows and invoices share one and compete for the same ledger rows."""
-    few = lambda df, ref: df.where("seq < 1000000000 and seq % 4 <> 1").withColumn(ref, F.when(F.col("seq") % 50 == 49, F.lit(None)).otherwise(F.concat(F.lit("R"), F.floor(F.col("seq") / 48).cast("string"))))
+    few = lambda df, ref: df.withColumn(ref, F.when(F.col("seq") % 50 == 49, F.lit(None)).otherwise(F.concat(F.lit("R"), F.floor(F.col("seq") / 48).cast("string"))))
     return rc.reconcile(few(t, "reference_id"), few(b, "reference_number"), few(e, "invoice_number")).select(*rc.RESULT)
 
 
@@ -260,9 +260,32 @@ ORACLES |= {
     "l9_counters": _REPORT("select template, count(case when passed_assertions = total_assertions then 1 end) as passed, count(case when passed_assertions <> total_assertions then 1 end) as failed, cast(sum(passed_assertions) as bigint) as assertions_passed, cast(sum(failed_assertions) as bigint) as assertions_failed from rolled group by template"),
 }
 
+_TAKES = f"case when {_CAP('raw')} >= 90 then list_append(taken, concat(ledger_type, ledger_id)) else taken end"
+_HELD = f"coalesce({_CAP('b.raw')}, 0)"
+_BEST = f"arg_max({{'ledger_id': ledger_id, 'raw': raw, 'gap': gap}}, {{'s': {_CAP('raw')}, 'a': raw > {_CAP('raw')}, 'n': case when raw > {_CAP('raw')} then l_seq else -l_seq end}})"
+#: One transfer of each reference a step, in order, with the list of ledger rows that those before have taken.
+_TURNS = f"""ordered as (select seq, key, row_number() over (partition by key order by seq) as n from t where key is not null),
+turns as (select distinct key, cast(0 as bigint) as n, cast([] as varchar[]) as taken, cast(null as bigint) as seq, cast(null as varchar) as ledger_type, cast(null as varchar) as ledger_id, cast(null as double) as raw, cast(null as double) as gap from ordered
+ union all select key, n, {_TAKES}, seq, ledger_type, ledger_id, raw, gap from (select key, n, taken, seq, ledger_type, case ledger_type when 'ERP' then e.ledger_id when 'BANK' then b.ledger_id end as ledger_id, case ledger_type when 'ERP' then e.raw when 'BANK' then b.raw end as raw, case ledger_type when 'ERP' then e.gap when 'BANK' then b.gap end as gap
+ from (select *, case when {_HELD} < 85 and coalesce(e.raw > {_HELD}, false) then 'ERP' when b.raw > 0 then 'BANK' end as ledger_type
+ from (select key, n, taken, seq, any_value(x) filter (where side = 'BANK') as b, any_value(x) filter (where side = 'ERP') as e
+ from (select o.key, o.n, taken, o.seq, near.side, {_BEST.replace("ledger_id", "near.ledger_id").replace("'near.ledger_id'", "'ledger_id'").replace("raw", "near.raw").replace("'near.raw'", "'raw'").replace("gap", "near.gap").replace("'near.gap'", "'gap'")} as x
+ from turns join ordered o on o.key = turns.key and o.n = turns.n + 1 left join near on near.seq = o.seq and not list_contains(taken, concat(near.side, near.ledger_id)) group by all) group by all)))),"""
+
+
+def _of_rivals(select: str) -> str:
+    few = lambda ref: f"(case when seq % 50 <> 49 then concat('R', cast(floor(seq / 48) as bigint)) end)"
+    out = _RESULTS
+    for ref in ("reference_id", "reference_number", "invoice_number"):
+        out = out.replace(f"case when {ref} <> '' then trim({ref}) end", few(ref))
+    out = out.replace("decided as materialized", f"{_TURNS}\ndecided as materialized").replace(f"(select * from ({_pick('near')}) where raw > 80)", "(select seq, ledger_type, ledger_id, raw, gap from turns where raw > 80)")
+    return with_tables(f"{out} {select}", "transactions", "bank_transactions", "erp_records").replace("with ", "with recursive ", 1)
+
+
 _HAND = "seq % 10 = 3"
 ORACLES |= {
     "j6_reconcile": _of_results("select * from results"),
+    "j6_rivals": _of_rivals("select * exclude (remarks) from results"),
     "j3_low_candidates": _of_results("select * exclude (remarks) from results where match_confidence <= 80"),
     "j7_matched_value": _of_results("select round(sum(amount), 2) as total_reconciled_value from transactions where transaction_id in (select transaction_id from results where status = 'matched')"),
     "o3_anomalies": _of_results("select * from found"),

@@ -28,7 +28,7 @@ def test_same_rows_as_sql(spark, duck, name):
 def test_rivals_equal_the_direct_fold(spark):
     from test_reconcile import direct
 
-    take = lambda df, *cols: [tuple(r) for r in df.select("seq", *cols).where("seq < 1200 and seq % 4 <> 1").collect()]
+    take = lambda df, *cols: [tuple(r) for r in df.select("seq", *cols).where("seq < 1200").collect()]
     few = lambda rows, at: [tuple(None if i == at and r[0] % 50 == 49 else f"R{r[0] // 48}" if i == at else x for i, x in enumerate(r)) for r in rows]
     t, b, e = (registry.payments(spark, SF, n) for n in registry.LEDGERS)
     tx = few(take(t, "transaction_id", "reference_id", "payer", "payee", "amount", "currency"), 2)
