@@ -6,8 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def daily_flow(tx: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    """(idx, day, amount) of every day of the window before ``as_of``, 0 where nothing flowed."""
+def flow_stream(tx: DataFrame, late: str = "1 day") -> DataFrame:
+    """(day, amount) of a stream of transfers, a day as soon as the newest transfer is ``late`` behind its end. Later ones of that day
+    are dropped. State: a sum for each open day."""
+    rows = tx.select(F.col("created_at").cast("timestamp").alias("ts"), "amount").withWatermark("ts", late)
+    sums = rows.groupBy(F.window("ts", "1 day").alias("w")).agg(F.coalesce(F.sum("amount"), F.lit(0.0)).alias("amount"))
+    return sums.select(F.to_date("w.start").alias("day"), "amount")
+
+
+def daily_flow(tx: DataFrame, as_of: str, days: int = 30, baseline: DataFrame | None = None) -> DataFrame:
+    """(idx, day, amount) of every day of the window before ``as_of``, 0 where nothing flowed. baseline (idx, amount) is
+    added to the days' amounts."""
+    if baseline is not None:
+        flow = daily_flow(tx, as_of, days).join(baseline.groupBy("idx").agg(F.sum("amount").alias("_base")), "idx", "left")
+        return flow.select("idx", "day", (F.col("amount") + F.coalesce("_base", F.lit(0.0))).alias("amount"))
     end = F.to_date(F.lit(as_of))
     sums = tx.where((F.col("created_at") >= F.date_sub(end, days).cast("timestamp")) & (F.col("created_at") < end.cast("timestamp"))).groupBy(F.to_date("created_at").alias("day")).agg(F.sum("amount").alias("amount"))
     calendar = tx.sparkSession.range(days).select(F.col("id").cast("int").alias("idx"), F.date_add(F.date_sub(end, days), F.col("id").cast("int")).alias("day"))

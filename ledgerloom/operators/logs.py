@@ -6,15 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def log_range(logs: DataFrame, dfsp: str, gte: str, lt: str) -> DataFrame:
-    """A provider's log from ``gte`` until before ``lt``, ascending."""
-    t = F.col("log_time")
-    return logs.where((F.col("dfsp") == dfsp) & (t >= F.to_timestamp(F.lit(gte))) & (t < F.to_timestamp(F.lit(lt)))).orderBy("log_time", "seq")
+def between(t: Column, as_of: str, gte: str | None, lt: str | None, back: str) -> Column:
+    """From ``gte``, or so long before ``as_of``, until before ``lt``, or ``as_of``."""
+    now = F.to_timestamp(F.lit(as_of))
+    return (t >= (F.to_timestamp(F.lit(gte)) if gte else now - F.expr(f"interval {back}"))) & (t < (F.to_timestamp(F.lit(lt)) if lt else now))
 
 
-def report_range(reports: DataFrame, gte: str, lt: str) -> DataFrame:
-    t = F.col("completed")
-    return reports.where((t >= F.to_timestamp(F.lit(gte))) & (t < F.to_timestamp(F.lit(lt)))).orderBy(F.desc("completed"), "report_id")
+def write_log(logs: DataFrame, path: str) -> None:
+    """Append to a log table (dfsp, log_time, ...) in folders by provider and day."""
+    logs.withColumn("day", F.to_date("log_time")).write.mode("append").partitionBy("dfsp", "day").parquet(path)
+
+
+def log_range(logs: DataFrame, dfsp: str, as_of: str, gte: str | None = None, lt: str | None = None) -> DataFrame:
+    """A provider's log of the last hour, or from ``gte`` until before ``lt``, ascending. Of a table in folders only those of
+    the provider and the days are read."""
+    rows = logs.where((F.col("dfsp") == dfsp) & between(F.col("log_time"), as_of, gte, lt, "1 hour"))
+    if "day" in logs.columns:
+        now = F.to_date(F.lit(as_of))
+        rows = rows.where(F.col("day").between(F.to_date(F.lit(gte)) if gte else F.date_sub(now, 1), F.to_date(F.lit(lt)) if lt else now)).drop("day")
+    return rows.orderBy("log_time", "seq")
+
+
+def report_range(reports: DataFrame, as_of: str, gte: str | None = None, lt: str | None = None) -> DataFrame:
+    """Reports completed in the last 30 days, or from ``gte`` until before ``lt``, descending."""
+    return reports.where(between(F.col("completed"), as_of, gte, lt, "30 days")).orderBy(F.desc("completed"), "report_id")
 
 
 def report_listing(reports: DataFrame, first: str, last: str, passed: bool | None = None, skip: int = 0, limit: int = 20) -> DataFrame:
@@ -92,7 +107,7 @@ def counters(judged: DataFrame) -> DataFrame:
 
 
 def assertion_counters(reports: DataFrame) -> DataFrame:
-    """Passed and failed assertions by request (its place in the case) and test case (its place in the report)."""
-    rows = reports.select(F.posexplode("test_cases").alias("test", "c")).select("test", F.posexplode("c.requests").alias("request", "r"))
+    """Passed and failed assertions by the request's description and the test case's name."""
+    rows = reports.select(F.explode("test_cases").alias("c")).select(F.col("c.name").alias("test"), F.explode("c.requests").alias("r"))
     n, ok = asserted(F.col("r")), F.coalesce("r.tests.passedAssertionsCount", F.lit(0))
-    return rows.groupBy("request", "test").agg(F.sum(ok.cast("long")).alias("assert_success"), F.sum((n - ok).cast("long")).alias("assert_fail"))
+    return rows.groupBy(F.col("r.description").alias("request"), "test").agg(F.sum(ok.cast("long")).alias("assert_success"), F.sum((n - ok).cast("long")).alias("assert_fail"))

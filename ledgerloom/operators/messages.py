@@ -9,15 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StructType
 
 
-#: What JavaScript's Number() reads as a number, hexadecimal forms apart.
+#: What JavaScript's Number() reads as a number: decimal forms, and whole numbers of other bases.
 NUMBER = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|Infinity)$"
+BASED = r"^0([xX][0-9a-fA-F]+|[oO][0-7]+|[bB][01]+)$"
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 def as_number(fact: Column) -> Column:
     """Number(fact): 0 for empty text, 1 and 0 for booleans; null, which stands for NaN, for other text and absent facts."""
-    text = F.trim(fact.cast("string"))
-    return F.when(text == "", 0.0).when(text.isin("true", "false"), (text == "true").cast("double")).when(text.rlike(NUMBER), text.try_cast("double"))
+    text = F.regexp_replace(fact.cast("string"), r"^\s+|\s+$", "")
+    digits = F.transform(F.filter(F.split(F.upper(F.substring(text, 3, 1 << 30)), ""), lambda c: c != ""), lambda c: (F.call_function("instr", F.lit("0123456789ABCDEF"), c) - 1).cast("double"))
+    base = F.when(F.lower(F.substring(text, 2, 1)) == "x", 16.0).when(F.lower(F.substring(text, 2, 1)) == "o", 8.0).otherwise(2.0)
+    based = F.aggregate(digits, F.lit(0.0), lambda n, d: n * base + d)
+    return F.when(text == "", 0.0).when(text.rlike(BASED), based).when(text.isin("true", "false"), (text == "true").cast("double")).when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def fact_of(c: dict, schema: StructType | None) -> tuple[Column, Column]:
@@ -39,7 +43,7 @@ def fact_of(c: dict, schema: StructType | None) -> tuple[Column, Column]:
 
 def condition(c: dict, schema: StructType | None = None) -> Column:
     """A rule's condition {fact, operator, value, path} as a Column; all/any nest. A null is an absent fact: it differs from
-    every value, is in no list and holds no text. Equality is strict: text never equals a number."""
+    every value, is in no list and holds no text. Equality is strict: text never equals a number. A value may be a Column of text."""
     if "all" in c or "any" in c:
         parts = [condition(x, schema) for x in c.get("all", c.get("any"))]
         out = parts[0]
@@ -51,6 +55,8 @@ def condition(c: dict, schema: StructType | None = None) -> Column:
     number = as_number(fact)
 
     def same(v) -> Column:
+        if isinstance(v, Column):
+            return (kind == "string") & (fact.cast("string") == v)
         if v is None:
             return fact.isNull()
         if isinstance(v, bool):
@@ -74,7 +80,7 @@ def condition(c: dict, schema: StructType | None = None) -> Column:
     if op in ("includesString", "excludesString"):
         held = F.coalesce(fact.cast("string").contains(value), F.lit(False))
         return held if op == "includesString" else ~held
-    goal = as_number(F.lit(value))
+    goal = as_number(value if isinstance(value, Column) else F.lit(value))
     if op == "numericEqual":
         return F.coalesce(number == goal, F.lit(False))
     if op == "numericNotEqual":
@@ -94,17 +100,22 @@ def classify(messages: DataFrame, rules: list[dict]) -> DataFrame:
     return messages.withColumns({"event": event, "event_params": params})
 
 
+def spent() -> Column:
+    """What a message adds to its payee's exposure: a transfer's amount as an exact decimal, 0 for others and without amount."""
+    return F.when(F.col("path") == "/transfers", F.coalesce(F.col("amount").cast("decimal(28,9)"), F.lit(0))).otherwise(F.lit(0)).cast("decimal(28,9)")
+
+
 def exposure(messages: DataFrame, start: float = 1000.0, bucket: str = "hour") -> DataFrame:
-    """Quotes with the allowance that earlier transfers to the payee's provider have left. A provider may have a third of
+    """Quotes with the allowance that earlier transfers to the payee's provider have left, in exact decimals. A provider may have a third of
     all messages, so sums go by ``bucket`` of time first: the window over a provider's whole history has one row per bucket."""
     rail = messages.where("method = 'post' and path in ('/quotes', '/transfers')").select("seq", "ts", "path", "payee_fsp", "amount", F.date_trunc(bucket, "ts").alias("_at"))
-    cents = F.when(F.col("path") == "/transfers", F.round(F.col("amount") * 100).cast("long")).otherwise(F.lit(0).cast("long"))
+    used = spent()
     before = lambda *keys: Window.partitionBy("payee_fsp", *keys[:-1]).orderBy(*keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    sums = rail.groupBy("payee_fsp", "_at").agg(F.sum(cents).alias("_sum"))
+    sums = rail.groupBy("payee_fsp", "_at").agg(F.sum(used).alias("_sum"))
     sums = sums.select("payee_fsp", "_at", F.coalesce(F.sum("_sum").over(before(["_at"])), F.lit(0)).alias("_before"))
-    here = rail.withColumn("_here", F.coalesce(F.sum(cents).over(before("_at", ["ts", "seq"])), F.lit(0)))
+    here = rail.withColumn("_here", F.coalesce(F.sum(used).over(before("_at", ["ts", "seq"])), F.lit(0)))
     out = here.where("path = '/quotes'").join(sums, (here.payee_fsp.eqNullSafe(sums.payee_fsp)) & here["_at"].eqNullSafe(sums["_at"])).drop(sums.payee_fsp)
-    out = out.withColumn("allowed", F.lit(start) - (F.col("_before") + F.col("_here")) / 100)
+    out = out.withColumn("allowed", F.lit(start) - (F.col("_before") + F.col("_here")).cast("double"))
     return out.select("seq", "payee_fsp", "amount", "allowed", F.when(F.col("amount") > F.col("allowed"), "5100").alias("error"))
 
 

@@ -29,17 +29,38 @@ def bind(rule: dict, environment: dict) -> dict:
     return rule
 
 
-def first_rule(rules: list[dict], value) -> Column:
-    """``value(rule)`` of the first rule that holds, else null."""
+def first_rule(messages: DataFrame, rules: list[dict], value) -> Column:
+    """``value(rule)`` of the first rule that holds for a message, else null."""
     out = F.lit(None).cast("string")
     for r in reversed(rules):
-        out = F.when(condition(r["conditions"]), F.lit(value(r))).otherwise(out)
+        out = F.when(condition(r["conditions"], messages.schema), F.lit(value(r))).otherwise(out)
     return out
 
 
-def forward_to(rules: list[dict]) -> Column:
-    """The provider that the first matching rule of type FORWARD names."""
-    return first_rule([r for r in rules if r["event"]["type"] == "FORWARD"], lambda r: r["event"]["params"]["dfspId"])
+def forward_to(messages: DataFrame, rules: list[dict]) -> Column:
+    """The provider that the first matching rule of type FORWARD names. Facts may be maps, such as headers, with a path."""
+    return first_rule(messages, [r for r in rules if r["event"]["type"] == "FORWARD"], lambda r: r["event"]["params"]["dfspId"])
+
+
+def bound_by_table(rule, parameters: Column):
+    """A condition with ``{$environment.x}`` values as look-ups in a column of parameters, a map from names to texts."""
+    if isinstance(rule, list):
+        return [bound_by_table(x, parameters) for x in rule]
+    if isinstance(rule, dict):
+        return {k: bound_by_table(v, parameters) for k, v in rule.items()}
+    if isinstance(rule, str) and (m := re.fullmatch(r"\{\$environment\.(\w+)\}", rule)):
+        return F.try_element_at(parameters, F.lit(m[1]))
+    return rule
+
+
+def classify_bound(messages: DataFrame, rules: list[dict], parameters: DataFrame, environment: str) -> DataFrame:
+    """``event`` of the first rule that holds, with values of the message's own environment: parameters (environment, name, value). A
+    parameter that an environment lacks is absent, as a null fact is. Of several values of a name the greatest counts. The planner
+    broadcasts the table of parameters if it is small, and else shuffles both sides."""
+    own = parameters.groupBy(environment, "name").agg(F.max("value").alias("value"))
+    own = own.groupBy(environment).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("_parameters"))
+    rows = messages.join(own, environment, "left")
+    return rows.withColumn("event", first_rule(rows, [r | {"conditions": bound_by_table(r["conditions"], F.col("_parameters"))} for r in rules], lambda r: r["event"]["type"])).drop("_parameters")
 
 
 def endpoint(method: Column, path: Column, fsp: Column, default: str, endpoints: list[dict] = (), by_fsp: dict | None = None) -> Column:
@@ -107,14 +128,16 @@ def trace_id(traceparent: Column) -> Column:
 def one_shot(messages: DataFrame, key: str, push: Column, pop: Column, minutes: int = 10) -> DataFrame:
     """(seq, key, pushed_seq) of every pop: the last push of its key within the time, if no other pop took it.
 
-    A push replaces the stored one and a pop empties the store, so the event of the key right before a pop decides:
+    A row without key is a key of its own: it finds nothing. A push replaces the stored one and a pop empties the store, so the event of the key right before a pop decides:
     one sorted pass with a lag, whose memory doesn't grow with the key.
     """
     events = messages.where(push | pop).withColumn("_push", push)
+    lost = events.where(F.col(key).isNull() & ~F.col("_push")).select("seq", key, F.lit(None).cast(events.schema["seq"].dataType).alias("pushed_seq"))
+    events = events.where(F.col(key).isNotNull())
     w = Window.partitionBy(key).orderBy("ts", "seq")
     events = events.withColumn("_last", F.lag(F.struct("_push", "ts", "seq")).over(w))
     fresh = F.col("_last._push") & (F.col("ts") <= F.col("_last.ts") + F.expr(f"interval {minutes} minutes"))
-    return events.where(~F.col("_push")).select("seq", key, F.when(fresh, F.col("_last.seq")).alias("pushed_seq"))
+    return events.where(~F.col("_push")).select("seq", key, F.when(fresh, F.col("_last.seq")).alias("pushed_seq")).unionByName(lost)
 
 
 def associate_quotes(messages: DataFrame, minutes: int = 10) -> DataFrame:

@@ -55,7 +55,7 @@ ORACLES = {
     "a3_daily_flow": with_tables(f"select cast(i as integer) as idx, cast(date '{AS_OF}' - 30 + cast(i as integer) as date) as day, round(coalesce((select sum(amount) from transactions where cast(created_at as date) = date '{AS_OF}' - 30 + cast(i as integer)), 0), 2) as amount from range(30) r(i)"),
     "m1_classification": with_tables("select seq, case when method = 'post' and path = '/quotes' and amount > 100 then 'LARGE_QUOTE' when contains(path, '/error') or method in ('put', 'patch') then 'CALLBACK' when contains(path, 'ransfers') then 'TRANSFER' end as event from messages"),
     "m9_callbacks": with_tables("select base_path, seq, is_error from (select regexp_replace(path, '/error$', '') as base_path, seq, path like '%/error' as is_error, row_number() over (partition by regexp_replace(path, '/error$', '') order by ts desc, seq desc) as rn from messages where method = 'put') where rn = 1"),
-    "m6_exposure": with_tables("select seq, payee_fsp, amount, allowed, case when amount > allowed then '5100' end as error from (select *, 1000.0::double - coalesce(sum(case when path = '/transfers' then cast(round(amount * 100) as bigint) else 0 end) over (partition by payee_fsp order by ts, seq rows between unbounded preceding and 1 preceding), 0)::double / 100 as allowed from messages where method = 'post' and path in ('/quotes', '/transfers')) where path = '/quotes'"),
+    "m6_exposure": with_tables("select seq, payee_fsp, amount, allowed, case when amount > allowed then '5100' end as error from (select *, 1000.0::double - coalesce(sum(case when path = '/transfers' then coalesce(cast(amount as decimal(28,9)), 0) else 0 end) over (partition by payee_fsp order by ts, seq rows between unbounded preceding and 1 preceding), 0)::double as allowed from messages where method = 'post' and path in ('/quotes', '/transfers')) where path = '/quotes'"),
     "t5_retention": with_tables("select seq, path from messages where ts >= (select max(ts) from messages) - interval 10 minutes"),
 }
 
@@ -100,7 +100,19 @@ def service_hits(m):
     return m.select("seq", F.struct(trace.alias("trace"), event.alias("event")).alias("metadata"), F.col("transaction_id").alias("content"))
 
 
-ROUTES = [{"conditions": {"all": [{"fact": "path", "operator": "includesString", "value": w}]}, "event": {"type": "FORWARD", "params": {"dfspId": d}}} for w, d in (("fx", "fxp1"), ("quotes", "fsp1"), ("transfers", "fsp2"))]
+def forwarded(m):
+    """Messages with a header of their sender, routed by it, and by method and path."""
+    rows = m.withColumn("headers", F.create_map(F.lit("fspiop-source"), F.concat(F.lit("dfsp"), (F.col("seq") % 4).cast("string")), F.lit("date"), F.lit("x")))
+    return rows.select("seq", rl.forward_to(rows, ROUTES).alias("dfsp"))
+
+
+_SENT_BY = lambda who, *more: {"all": [{"fact": "headers", "operator": "equal", "value": who, "path": "fspiop-source"}, *more]}
+ROUTES = [
+    {"conditions": _SENT_BY("dfsp1", {"fact": "method", "operator": "equal", "value": "get"}), "event": {"type": "FORWARD", "params": {"to": "payee", "dfspId": "hub"}}},
+    {"conditions": _SENT_BY("dfsp1", {"fact": "path", "operator": "includesString", "value": "fx"}), "event": {"type": "FORWARD", "params": {"to": "payee", "dfspId": "fxp1"}}},
+    {"conditions": _SENT_BY("dfsp2"), "event": {"type": "MOCK", "params": {"dfspId": "none"}}},
+    {"conditions": {"any": [{"fact": "headers", "operator": "notEqual", "value": "dfsp3", "path": "fspiop-source"}, {"fact": "path", "operator": "equal", "value": "/transfers"}]}, "event": {"type": "FORWARD", "params": {"to": "payer", "dfspId": "fsp2"}}},
+]
 LIMITED = [{"conditions": {"all": [{"fact": "amount", "operator": "numericGreaterThan", "value": "{$environment.limit}"}]}, "event": {"type": "OVER_LIMIT"}}]
 OPERATORS = [
     {"conditions": {"all": [{"fact": "body", "path": "CdtTrfTxInf.IntrBkSttlmAmt.ActiveCurrencyAndAmount", "operator": "numberStringGreaterThanInclusive", "value": 500}, {"fact": "method", "operator": "notIn", "value": ["get", "put"]}]}, "event": {"type": "LARGE_ISO", "params": {"delay": 5}}},
@@ -149,7 +161,7 @@ QUERIES |= {
     "j10_state_update": tables("transactions")(lambda t: up.update_states(t, updates(t))[0].select("seq", "status", "transfer_state")),
     "j10_not_found": tables("transactions")(lambda t: up.update_states(t, updates(t))[1]),
     "m3_bound_rules": tables("messages")(lambda m: ms.classify(m, rl.bind(LIMITED, {"limit": 25})).select("seq", "event")),
-    "m4_forward": tables("messages")(lambda m: m.select("seq", rl.forward_to(ROUTES).alias("dfsp"))),
+    "m4_forward": tables("messages")(forwarded),
     "m5_endpoint": tables("messages")(lambda m: m.select("seq", rl.endpoint(F.col("method"), F.col("path"), F.col("payee_fsp"), "http://default", ENDPOINTS, BY_FSP).alias("endpoint"))),
     "m7_iso_transfer": tables("rail")(iso),
     "m8_iso_headers": tables("rail")(lambda m: m.select("seq", rl.rewritten(headers(), F.col("method"), F.col("path")).alias("h")).select("seq", F.col("h")["Content-Type"].alias("content_type"), F.col("h")["accept"].alias("accept"), F.col("h")["date"].alias("date_header"))),
@@ -158,8 +170,8 @@ QUERIES |= {
     "m12_quote_association": tables("messages")(lambda m: rl.associate_quotes(m, 24 * 60)),
     "m13_stored_transfer": tables("messages")(lambda m: rl.stored_transfers(m, 24 * 60)),
     "t7_await_callback": tables("messages")(lambda m: rl.await_callbacks(listeners(m), m, 24 * 3600)),
-    "l1_log_range": tables("messages")(lambda m: lg.log_range(m.select("seq", F.col("payee_fsp").alias("dfsp"), F.col("ts").alias("log_time"), "path"), "fsp2", *RANGE).select("seq", "path")),
-    "l2_report_range": lambda s, d: lg.report_range(judged(s, d), *REPORTED).select("report_id"),
+    "l1_log_range": tables("messages")(lambda m: lg.log_range(m.select("seq", F.col("payee_fsp").alias("dfsp"), F.col("ts").alias("log_time"), "path"), "fsp2", RANGE[1], *RANGE).select("seq", "path")),
+    "l2_report_range": lambda s, d: lg.report_range(judged(s, d), REPORTED[1], *REPORTED).select("report_id"),
     "l3_report_listing": lambda s, d: lg.report_listing(judged(s, d), *REPORTED, passed=False, skip=2, limit=5).select("report_id", "total"),
     "l4_key_search": tables("transactions")(lambda t: lg.search_key(t, "transaction_id", "^tx-d-.*1$").select("seq", "transaction_id")),
     "l5_service_logs": tables("messages")(lambda m: lg.service_logs(service_hits(m), {"metadata.trace.service": "fsp2", "metadata.event.state.status": "failed"}).drop("timestamp")),
@@ -240,7 +252,7 @@ ORACLES |= {
     "j10_state_update": with_tables("select seq, case when seq % 34 = 0 then 'FAILED' else status end as status, case when seq % 34 = 0 then 'ABORTED' else transfer_state end as transfer_state from transactions"),
     "j10_not_found": with_tables("select concat(transaction_id, '-X') as transaction_id, 'FAILED' as status, 'ABORTED' as transfer_state from transactions where seq % 34 = 17"),
     "m3_bound_rules": with_tables("select seq, case when amount > 25 then 'OVER_LIMIT' end as event from messages"),
-    "m4_forward": with_tables("select seq, case when contains(path, 'fx') then 'fxp1' when contains(path, 'quotes') then 'fsp1' when contains(path, 'transfers') then 'fsp2' end as dfsp from messages"),
+    "m4_forward": with_tables("select seq, case when seq % 4 = 1 and method = 'get' then 'hub' when seq % 4 = 1 and contains(path, 'fx') then 'fxp1' when seq % 4 <> 3 or path = '/transfers' then 'fsp2' end as dfsp from messages"),
     "m5_endpoint": with_tables("select seq, case when payee_fsp = 'fsp3' then case when method = 'post' then 'http://fsp3/post' else 'http://fsp3' end when method = 'put' and regexp_matches(path, '/quotes/.*/error') then 'http://errors' when method = 'get' and regexp_matches(path, '/transfers/.*') then 'http://transfers' else 'http://default' end as endpoint from messages"),
     "m7_iso_transfer": with_tables("select seq, transaction_id, concat('Q', seq) as quote_id, 'BUSINESS' as payee_id_type, cast(seq as varchar) as payee_identifier, payee_fsp, 'MSISDN' as payer_id_type, cast(seq % 97 as varchar) as payer_identifier, 'hub' as payer_fsp, 'USD' as currency, cast(seq % 1000 as varchar) as amount from messages where seq % 3 = 2"),
     "m8_iso_headers": with_tables("select seq, replace(content_type, 'interoperability.', 'interoperability.iso20022.') as content_type, replace(content_type, 'interoperability.', 'interoperability.iso20022.') as accept, 'x' as date_header from rail"),
@@ -257,6 +269,7 @@ ORACLES |= {
     "l6_rollup": _REPORT("select report_id, total_assertions, passed_assertions, failed_assertions, n_cases, failed_cases, n_requests, failed_requests from rolled"),
     "l7_pass_percentage": _REPORT("select report_id, case when n is null then 100 when n = 0 then null else cast(floor(p * 100.0 / n + 0.5) as bigint) end as percentage, count(*) as n from requests group by all"),
     "l8_verdict": _REPORT("select report_id, passed_assertions = total_assertions as is_passed, epoch_ms(completed) - epoch_ms(started) as duration_ms from rolled"),
+    "l9_assertions": _REPORT("select description as request, name as test, cast(sum(coalesce(p, 0)) as bigint) as assert_success, cast(sum(coalesce(n, 0) - coalesce(p, 0)) as bigint) as assert_fail from requests group by 1, 2"),
     "l9_counters": _REPORT("select template, count(case when passed_assertions = total_assertions then 1 end) as passed, count(case when passed_assertions <> total_assertions then 1 end) as failed, cast(sum(passed_assertions) as bigint) as assertions_passed, cast(sum(failed_assertions) as bigint) as assertions_failed from rolled group by template"),
 }
 
@@ -307,3 +320,8 @@ ORACLES |= {
     "m2_operators": with_tables("select seq, event, case event when 'LARGE_ISO' then '{\"delay\": 5}' end as event_params from (select seq, case when seq % 3 = 2 and seq % 1000 >= 500 and method not in ('get', 'put') then 'LARGE_ISO' when seq % 3 = 1 and contains(cast(seq as varchar), '7') and amount <= 40 then 'COMMIT_7' when seq % 5 = 0 or (seq % 3 = 0 and transaction_id = 'T5') then 'ISO_OR_T5' when coalesce(amount <> 12, true) and not contains(path, 'fx') and amount > 60 then 'OTHER' end as event from rail)"),
     "p5_rates": with_tables("select currency as from_currency, 'USD' as to_currency, 1.0::double as rate from transactions where currency not in ('INR', 'EUR') group by currency union all select c, 'USD', 1 / r from (values ('INR', 83.5::double), ('EUR', 0.92::double), ('GBP', 0.78::double), ('TZS', 2680.0::double), ('UGX', 3720.0::double)) v(c, r)"),
 }
+
+from . import feeds_and_files  # noqa: E402
+
+QUERIES |= feeds_and_files.QUERIES
+ORACLES |= feeds_and_files.oracles(ORACLES, _FRESH)

@@ -76,20 +76,28 @@ def normalise(raw: DataFrame, source: str, profile: str = "csv", batch: str = ""
     return out.withColumns({"_text": F.col(amount), amount: F.expr(f"try_cast({amount} as double)")})
 
 
-def ingest(raw: DataFrame, source: str, profile: str = "csv", existing: DataFrame | None = None, strict: bool = False, batch: str = "") -> tuple[DataFrame, DataFrame]:
+def ingest(raw: DataFrame, source: str, profile: str = "csv", existing: DataFrame | None = None, strict: bool = False, batch: str = "", by_file: bool = False) -> tuple[DataFrame, DataFrame]:
     """(new rows, rejects with a reason). Of rows with one key the first counts; keys of ``existing`` are skipped.
-    ``strict``: an amount that is no number fails the whole file when it is read."""
+    ``strict``: an amount that is no number fails the whole upload when it is read. ``by_file``: it rejects its file and no other
+    (rows have a place, as ``read_csv`` gives them)."""
     key, amount = KEYS[source], "expected_amount" if source == "erp" else "amount"
     rows = normalise(raw, source, profile, batch)
     if strict:
         rows = rows.withColumn(amount, F.coalesce(F.col(amount), F.raise_error(F.concat(F.lit("not an amount: "), "_text")).cast("double")))
+    if by_file:
+        rows = rows.withColumn("_file", F.coalesce("_pos.file", F.lit("")))
+        spoilt = rows.where(F.col(amount).isNull()).select("_file").distinct().withColumn("_spoilt", F.lit(True))
+        rows = rows.join(spoilt, "_file", "left").drop("_file")
+        bad = rows.where("_spoilt").select(key, F.col("_text").alias("amount_text"), F.when(F.col(amount).isNull(), "bad_amount").otherwise("bad_file").alias("reason"))
+        rows = rows.where("_spoilt is null").drop("_spoilt")
     turn = F.row_number().over(Window.partitionBy(key, F.col(amount).isNull()).orderBy("_pos"))
     reason = F.when(F.col(amount).isNull(), "bad_amount").when(F.col("_turn") > 1, "duplicate_in_file")
     marked = rows.withColumn("_turn", turn).withColumn("reason", reason)
     good = marked.where("reason is null").drop("_turn", "_pos", "_text", "reason")
     if existing is not None:
         good = good.join(existing.select(key), key, "left_anti")
-    return good, marked.where("reason is not null").select(key, F.col("_text").alias("amount_text"), "reason")
+    rejected = marked.where("reason is not null").select(key, F.col("_text").alias("amount_text"), "reason")
+    return good, rejected.unionByName(bad) if by_file else rejected
 
 
 def place(*split: Column) -> Column:

@@ -66,12 +66,12 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     assertions = F.transform(F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(1), n), lambda x: F.struct(x.alias("exec")))
     passed = F.least(n, (F.floor("l_quantity") % 4).cast("int"))
     tests = F.when(F.col("l_linenumber") % 7 != 0, F.struct(passed.alias("passedAssertionsCount"), assertions.alias("assertions")))
-    cases = lines.groupBy("o_custkey", "l_orderkey").agg(F.collect_list(F.struct(tests.alias("tests"))).alias("requests"), F.min("o_orderdate").alias("d"))
-    return cases.groupBy(F.col("o_custkey").alias("report_id")).agg(F.concat(F.lit("template-"), (F.first("o_custkey") % 5).cast("string")).alias("template"), F.min("d").alias("started"), F.max("d").alias("completed"), F.collect_list(F.struct("requests")).alias("test_cases"))
+    cases = lines.groupBy("o_custkey", "l_orderkey").agg(F.collect_list(F.struct(F.concat(F.lit("line-"), F.col("l_linenumber").cast("string")).alias("description"), tests.alias("tests"))).alias("requests"), F.min("o_orderdate").alias("d"))
+    return cases.groupBy(F.col("o_custkey").alias("report_id")).agg(F.concat(F.lit("template-"), (F.first("o_custkey") % 5).cast("string")).alias("template"), F.min("d").alias("started"), F.max("d").alias("completed"), F.collect_list(F.struct(F.concat(F.lit("case-"), (F.col("l_orderkey") % 10).cast("string")).alias("name"), "requests")).alias("test_cases"))
 
 
 #: DuckDB SQL of the same reports, flat: one row per request.
-REQUESTS = """requests as (select o_custkey as report_id, concat('template-', o_custkey % 5) as template, l_orderkey, o_orderdate, case when l_linenumber % 7 <> 0 then l_linenumber % 4 end as n,
+REQUESTS = """requests as (select o_custkey as report_id, concat('template-', o_custkey % 5) as template, l_orderkey, o_orderdate, concat('line-', l_linenumber) as description, concat('case-', l_orderkey % 10) as name, case when l_linenumber % 7 <> 0 then l_linenumber % 4 end as n,
  case when l_linenumber % 7 <> 0 then least(l_linenumber % 4, cast(floor(l_quantity) as bigint) % 4) end as p from lineitem join orders on l_orderkey = o_orderkey),
 rolled as (select report_id, any_value(template) as template, min(o_orderdate) as started, max(o_orderdate) as completed, cast(sum(coalesce(n, 0)) as bigint) as total_assertions, cast(sum(coalesce(p, 0)) as bigint) as passed_assertions,
  cast(sum(coalesce(n, 0)) - sum(coalesce(p, 0)) as bigint) as failed_assertions, count(distinct l_orderkey) as n_cases, count(distinct case when p <> n then l_orderkey end) as failed_cases, count(*) as n_requests, count(case when p <> n then 1 end) as failed_requests

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .versioned import publish
+
 #: The report's columns.
 REPORT = ("transaction_id", "ledger_id", "ledger_type", "status", "amount_difference", "match_confidence", "confidence_tier", "remarks")
 
@@ -37,5 +39,6 @@ def counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def refresh(results: DataFrame, path: str) -> None:
-    """Replace the stored results; a second run gives the same table."""
-    results.write.mode("overwrite").parquet(path)
+    """Replace the stored results by a new version; a second run gives the same table, and one that fails leaves the version
+    before. ``versioned.latest`` reads it."""
+    publish(results, path)

@@ -43,6 +43,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one, which ``release`` removes."""
+    path = shared_dir(spark)
+    _written[path] = spark
+    return path
+
+
 def written() -> list[str]:
     return list(_written)
 

@@ -8,14 +8,17 @@ micro-batch, which the source's options bound.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import Decimal
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..operators.messages import spent
 from ..operators.updates import update_states
-from ..steps import hadoop_path
+from ..sources.versioned import latest, newest_parts, part_of, publish, read_parts, rewrite_parts, versions, write_parts  # noqa: F401
 
 #: Fields of a transfer message, and the columns they become.
 FIELDS = {"transactionId": "transaction_id", "referenceId": "reference_id", "payer": "payer", "payee": "payee", "payerFsp": "payer_fsp", "payeeFsp": "payee_fsp", "amount": "amount", "currency": "currency", "transferState": "transfer_state"}
@@ -23,12 +26,43 @@ FIELDS = {"transactionId": "transaction_id", "referenceId": "reference_id", "pay
 PARTS = 256
 
 
-def transfers(messages: DataFrame, column: str = "value") -> DataFrame:
-    """Transfer rows of JSON messages. A missing reference is made from the transaction id, so that a replay gives the same."""
-    x = F.from_json(F.col(column).cast("string"), ", ".join(f"{f} {'double' if f == 'amount' else 'string'}" for f in FIELDS))
-    rows = messages.select(x.alias("x")).select(*(F.col(f"x.{f}").alias(c) for f, c in FIELDS.items())).where("transaction_id is not null")
+#: Fields that a transfer message must have.
+REQUIRED = ("transactionId", "payer", "payee", "payerFsp", "payeeFsp", "amount")
+
+
+def checked_transfers(messages: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(transfer rows, rejected messages with a reason) of JSON messages. Rejected are those that are no JSON object, lack a required field, or
+    whose amount is no number. A missing reference is made from the transaction id, so that a replay gives the same."""
+    shape = ", ".join(f"{f} string" for f in FIELDS) + ", _bad string"
+    x = F.from_json(F.col(column).cast("string"), shape, {"columnNameOfCorruptRecord": "_bad"})
+    rows = messages.withColumn("_x", x)
+    missing = F.array_compact(F.array(*(F.when(F.col(f"_x.{f}").isNull(), F.lit(f)) for f in REQUIRED)))
+    amount = F.col("_x.amount").try_cast("double")
+    reason = F.when(F.col("_x").isNull() | F.col("_x._bad").isNotNull() | ~F.trim(F.col(column).cast("string")).startswith("{"), "no JSON object")
+    reason = reason.when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", "))).when(amount.isNull(), "amount is no number")
+    rows = rows.withColumn("_reason", reason)
     made = F.concat(F.lit("REF-"), F.upper(F.substring(F.sha2("transaction_id", 256), 1, 16)))
-    return rows.withColumns({"reference_id": F.coalesce("reference_id", made), "currency": F.coalesce("currency", F.lit("USD")), "transfer_state": F.coalesce("transfer_state", F.lit("COMMITTED")), "status": F.lit("SUCCESS")})
+    good = rows.where("_reason is null").select(*(amount.alias(c) if f == "amount" else F.col(f"_x.{f}").alias(c) for f, c in FIELDS.items()))
+    good = good.withColumns({"reference_id": F.coalesce("reference_id", made), "currency": F.coalesce("currency", F.lit("USD")), "transfer_state": F.coalesce("transfer_state", F.lit("COMMITTED")), "status": F.lit("SUCCESS")})
+    return good, rows.where("_reason is not null").select(*messages.columns, F.col("_reason").alias("reason"))
+
+
+def transfers(messages: DataFrame, column: str = "value") -> DataFrame:
+    """Transfer rows of the valid messages."""
+    return checked_transfers(messages, column)[0]
+
+
+def checked_feed(path: str, dead: str, column: str = "value", parts: int = PARTS) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for JSON messages with two sinks: new transfers are appended to the table, rejected messages
+    go to a version of ``dead`` for their batch, with the reason."""
+    append = append_new(path, parts=parts)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        good, bad = checked_transfers(batch, column)
+        append(good, batch_id)
+        bad.write.mode("overwrite").parquet(f"{dead}/v={batch_id + 1}")
+
+    return write
 
 
 def append_new(path: str, key: str = "transaction_id", after: Callable[[DataFrame], None] | None = None, parts: int = PARTS) -> Callable[[DataFrame, int], None]:
@@ -52,39 +86,37 @@ def append_new(path: str, key: str = "transaction_id", after: Callable[[DataFram
     return write
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Finished versions of a table, ascending."""
-    at, fs = hadoop_path(spark, path)
-    found = fs.listStatus(at) if fs.exists(at) else []
-    names = [x.getPath().getName() for x in found]
-    done = [int(n[2:]) for n in names if n.startswith("v=") and fs.exists(hadoop_path(spark, f"{path}/{n}/_SUCCESS")[0])]
-    return sorted(done)
-
-
-def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of a table (below ``before``), or null."""
-    known = [v for v in versions(spark, path) if before is None or v < before]
-    return spark.read.parquet(f"{path}/v={known[-1]}") if known else None
-
-
 def next_version(path: str, change: Callable[[DataFrame | None, DataFrame], DataFrame], keep: int = 2) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: the table's version of this batch is ``change(version before, batch)``. A batch that runs again
     reads the same version before and overwrites its own. Of old versions ``keep`` stay, for readers."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        change(latest(spark, path, batch_id + 1), batch).write.mode("overwrite").parquet(f"{path}/v={batch_id + 1}")
-        for old in versions(spark, path)[:-keep]:
-            at, fs = hadoop_path(spark, f"{path}/v={old}")
-            fs.delete(at, True)
+        publish(change(latest(batch.sparkSession, path, batch_id + 1), batch), path, batch_id + 1, keep)
 
     return write
 
 
-def state_updates(path: str, start: DataFrame) -> Callable[[DataFrame, int], None]:
+def state_updates(path: str, start: DataFrame, unknown: str | None = None, parts: int = PARTS) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function for messages (transaction_id, status, transfer_state, ts, seq): the last of a batch sets the state of a
-    stored transfer; unknown ones change nothing. ``start``: the transfers before the first batch."""
-    return next_version(path, lambda before, batch: update_states(start if before is None else before, batch)[0])
+    stored transfer. Only parts of the table that have ids of the batch are read and written (``versioned.read_parts`` of
+    ``newest_parts`` is the table). Ids that aren't stored change nothing; a batch's go to ``unknown``, if given. ``start``: the transfers before the first batch."""
+    if not versions(start.sparkSession, path):
+        write_parts(start, path, "transaction_id", 0, parts)
+
+    def change(before: DataFrame, batch: DataFrame) -> DataFrame:
+        return update_states(before, batch)[0]
+
+    rewrite = rewrite_parts(path, start.schema, "transaction_id", change, parts)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if unknown is not None:
+            spark = batch.sparkSession
+            touched = {r["p"] for r in batch.select(part_of("transaction_id", parts).alias("p")).distinct().collect()}
+            there = [folder for p, (_, folder) in sorted(newest_parts(spark, path, batch_id + 1).items()) if p in touched]
+            update_states(read_parts(spark, start.schema, there), batch)[1].write.mode("overwrite").parquet(f"{unknown}/v={batch_id + 1}")
+        rewrite(batch, batch_id)
+
+    return write
 
 
 def retained(path: str, minutes: int = 10) -> Callable[[DataFrame, int], None]:
@@ -106,18 +138,17 @@ def start(rows: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint:
 def exposure(messages: DataFrame, start_at: float = 1000.0) -> DataFrame:
     """Quotes with the allowance left to their payee's provider, as of the messages that came before: one number
     of state per provider. Within a batch the messages of a provider count by (ts, seq)."""
-    rail = messages.where("method = 'post' and path in ('/quotes', '/transfers')").select("seq", "ts", "path", "payee_fsp", "amount")
+    rail = messages.where("method = 'post' and path in ('/quotes', '/transfers')").select("seq", "ts", "path", "payee_fsp", "amount", spent().alias("spent"))
 
     def count(key: tuple, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
+        used = state.get[0] if state.exists else Decimal(0)
         rows = pd.concat(list(chunks)).sort_values(["ts", "seq"])
-        cents = (rows.amount * 100).round().astype("int64").where(rows.path == "/transfers", 0)
-        before = used + cents.cumsum() - cents
-        state.update((used + int(cents.sum()),))
-        out = rows.assign(allowed=start_at - before / 100)[rows.path == "/quotes"]
-        yield out.assign(error=["5100" if a > b else None for a, b in zip(out.amount, out.allowed, strict=True)])[["seq", "payee_fsp", "amount", "allowed", "error"]]
+        before = list(accumulate(rows.spent, initial=used))
+        state.update((before.pop(),))
+        out = rows.assign(allowed=[start_at - float(x) for x in before])[rows.path == "/quotes"]
+        yield out.assign(error=["5100" if a is not None and a > b else None for a, b in zip(out.amount, out.allowed, strict=True)])[["seq", "payee_fsp", "amount", "allowed", "error"]]
 
-    return rail.groupBy("payee_fsp").applyInPandasWithState(count, "seq long, payee_fsp string, amount double, allowed double, error string", "used long", "append", "NoTimeout")
+    return rail.groupBy("payee_fsp").applyInPandasWithState(count, "seq long, payee_fsp string, amount double, allowed double, error string", "used decimal(28,9)", "append", "NoTimeout")
 
 
 def associate(messages: DataFrame, minutes: int = 10) -> DataFrame:
