@@ -69,11 +69,11 @@ def write_parts(rows: DataFrame, path: str, key: str, version: int = 0, parts: i
     rows.withColumn("_part", part_of(key, parts)).repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(f"{path}/v={version}")
 
 
-def drop_superseded(spark: SparkSession, path: str, keep: int = 2) -> None:
-    """Remove parts that a newer version has, but those of the last ``keep`` versions."""
+def drop_superseded(spark: SparkSession, path: str) -> None:
+    """Remove parts that neither the newest version reads nor the one before, which a batch that runs again starts from."""
     known = versions(spark, path)
-    used = {folder for _, folder in newest_parts(spark, path).values()}
-    for v in known[:-keep]:
+    used = {folder for before in (None, known[-1]) for _, folder in newest_parts(spark, path, before).values()}
+    for v in known[:-1]:
         at, fs = hadoop_path(spark, f"{path}/v={v}")
         for x in fs.listStatus(at):
             name = x.getPath().getName()

@@ -125,6 +125,31 @@ def test_equals_the_direct_fold(spark, seed):
     assert got == direct(tx, bank, erp)
 
 
+def test_one_reference_of_all(spark):
+    """Hundreds of transfers compete for the rows of one reference; names of over 63 characters, too."""
+    r = random.Random(9)
+    who = ["Ann Lee", "Lee Ann", "Bob", "Cid & Co", "Cid and Company", "x" * 70 + " long", "Dora"]
+    money = lambda: (r.choice([10.0, 10.1, 12.0, 99.99, 100.0, 101.0, 5000.0]), "USD")
+    tx = numbered([(f"T{i}", "R", r.choice(who), r.choice(who), *money()) for i in range(150)])
+    bank = numbered([(f"B{i}", "R", r.choice(who), *money()) for i in range(120)])
+    erp = numbered([(f"E{i}", "R", r.choice(who), *money()) for i in range(90)])
+    got = {x.seq: (x.ledger_id, x.ledger_type, x.amount_difference, x.match_confidence) for x in rc.reconcile(*tables(spark, tx, bank, erp)).collect()}
+    assert got == direct(tx, bank, erp)
+
+
+def test_similar_names_are_all_found(spark):
+    r = random.Random(12)
+    name = lambda: " ".join("".join(r.choice("aeiklmnost") for _ in range(r.randrange(0, 8))) for _ in range(r.randrange(1, 4)))
+    sort = lambda n: " ".join(sorted(n.split()))
+    base = [name() for _ in range(150)] + ["", "日本 x"]
+    words = {sort(x) for x in base} | {sort(x.replace("a", "e", 1)) for x in base} | {sort(x + " ltd") for x in base}
+    probes = [("S", a, r.choice([99.0, 91.0, 84.0, 76.0, 61.0, 40.0, -5.0])) for a in {sort(x) for x in base}]
+    got = {(x.a, x.name): x.s for x in names.similar(spark.createDataFrame(probes, "side string, a string, least double"), spark.createDataFrame([("S", w) for w in words], "side string, name string")).collect()}
+    for _, a, least in probes:
+        floor = max(b for b in names.BANDS if b <= least or b == names.BANDS[-1])
+        assert {w: alike(a, w) for w in words if alike(a, w) >= floor} == {w: s for (x, w), s in got.items() if x == a}
+
+
 def test_no_ledger_is_no_match(spark):
     x = rc.reconcile(*tables(spark, numbered(DEMO_TX[:1]), [], [])).first()
     assert (x.ledger_id, x.status, x.match_confidence, x.confidence_tier, x.ledger_type) == (None, "unmatched", 0.0, "low", "BANK")

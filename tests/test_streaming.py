@@ -53,7 +53,8 @@ def test_feed_keeps_the_first_of_each_id(spark, tmp_path):
     def send(n, *rows):
         folder = tmp_path / "feed"
         folder.mkdir(exist_ok=True)
-        (folder / f"{n}.txt").write_text("\n".join(map(json.dumps, rows)))
+        full = {"payer": "p", "payee": "q", "payerFsp": "a", "payeeFsp": "b"}
+        (folder / f"{n}.txt").write_text("\n".join(json.dumps(full | r) for r in rows))
 
     def run():
         rows = feeds.transfers(spark.readStream.text(str(tmp_path / "feed")))
@@ -70,19 +71,20 @@ def test_feed_keeps_the_first_of_each_id(spark, tmp_path):
 def test_state_updates_and_history(spark, tmp_path):
     tx = spark.createDataFrame([("a", "NEW", "R"), ("b", "NEW", "R")], "transaction_id string, status string, transfer_state string")
     shape = "transaction_id string, status string, transfer_state string, ts timestamp, seq long"
+    states = lambda: feeds.read_parts(spark, tx.schema, [f for _, f in feeds.newest_parts(spark, str(tmp_path / "states")).values()])
     for n, rows in enumerate([[("a", "1", "x", 10, 0), ("a", "2", "x", 20, 1), ("z", "9", "z", 5, 2)], [("b", "3", "y", 700, 3), ("a", "4", "y", 690, 4)]]):
         df = spark.createDataFrame(rows, "transaction_id string, status string, transfer_state string, s long, seq long").selectExpr("transaction_id", "status", "transfer_state", "timestamp_seconds(s) as ts", "seq")
         df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         for name, batch in (("states", feeds.state_updates(str(tmp_path / "states"), tx)), ("history", feeds.retained(str(tmp_path / "history")))):
             feeds.start(spark.readStream.schema(shape).parquet(str(tmp_path / "in")), batch, str(tmp_path / f"{name}-c")).awaitTermination()
-            got = feeds.latest(spark, str(tmp_path / name)).collect()
+            got = (states() if name == "states" else feeds.latest(spark, str(tmp_path / name))).collect()
             if name == "states":
                 assert {r.transaction_id: r.status for r in got} == [{"a": "2", "b": "NEW"}, {"a": "4", "b": "3"}][n]
             else:
                 assert {r.seq for r in got} == [{0, 1, 2}, {3, 4}][n]
     again = feeds.state_updates(str(tmp_path / "states"), tx)
     again(spark.read.parquet(str(tmp_path / "in")).where("seq > 2"), 1)  # a batch that runs once more
-    assert {r.transaction_id: r.status for r in feeds.latest(spark, str(tmp_path / "states")).collect()} == {"a": "4", "b": "3"}
+    assert {r.transaction_id: r.status for r in states().collect()} == {"a": "4", "b": "3"}
 
 
 def test_reconcile_after_each_batch(spark, tmp_path):
@@ -90,7 +92,7 @@ def test_reconcile_after_each_batch(spark, tmp_path):
     from ledgerloom.operators import reconcile as rc
 
     (tmp_path / "feed").mkdir()
-    (tmp_path / "feed/1.txt").write_text(json.dumps({"transactionId": "t", "referenceId": "R", "payer": "Ann", "payee": "Bob", "amount": 5.0}))
+    (tmp_path / "feed/1.txt").write_text(json.dumps({"transactionId": "t", "referenceId": "R", "payer": "Ann", "payee": "Bob", "payerFsp": "x", "payeeFsp": "y", "amount": 5.0}))
     bank = spark.createDataFrame([(1, "B", "R", "Ann", 5.0, "USD")], "seq long, bank_statement_id string, reference_number string, counterparty string, amount double, currency string")
     erp = spark.createDataFrame([], "seq long, erp_id string, invoice_number string, customer_vendor_name string, expected_amount double, currency string")
     seen = []
@@ -107,3 +109,112 @@ def test_upload(spark, tmp_path):
     assert rows["Bob"].transaction_id.startswith("TX-") and rows["Bob"].transaction_id != rows["Unknown Payer"].transaction_id
     assert sorted((r.transaction_id, r.reason) for r in bad.collect()) == [("A", "duplicate_in_file"), ("B", "bad_amount")]
     assert ingest.route(None, "x.XLSX") == ("ledger", "sheet")
+
+
+def test_messages_are_kept_or_rejected(spark):
+    ok = {"transactionId": "t", "payer": "p", "payee": "q", "payerFsp": "a", "payeeFsp": "b", "amount": 2.5}
+    texts = [json.dumps(ok), json.dumps(ok | {"amount": "3"}), "{bad", "", None, "[1]", "7", json.dumps({"payer": "p"}), json.dumps(ok | {"amount": "many"}), json.dumps(ok | {"amount": None})]
+    good, bad = feeds.checked_transfers(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, value string"))
+    assert sorted(r.amount for r in good.collect()) == [2.5, 3.0]
+    reasons = {r.n: r.reason for r in bad.collect()}
+    assert [reasons[i] for i in (2, 3, 4, 5, 6)] == ["no JSON object"] * 5
+    assert reasons[7] == "missing: transactionId, payee, payerFsp, payeeFsp, amount" and reasons[8] == "amount is no number" and reasons[9] == "missing: amount"
+
+
+def test_exposure_with_missing_amounts(spark, tmp_path):
+    """Nulls count as nothing, and thousandths are kept."""
+    rows = [(1, 1, "/transfers", "f", None), (2, 2, "/transfers", "f", 0.125), (3, 3, "/quotes", "f", 999.876), (4, 4, "/quotes", "f", 999.875), (5, 5, "/quotes", "f", None), (6, 6, "/quotes", None, 1001.0)]
+    m = spark.createDataFrame(rows, "seq long, s long, path string, payee_fsp string, amount double").selectExpr("seq", "timestamp_seconds(s) as ts", "'post' as method", "path", "payee_fsp", "amount")
+    want = {r.seq: (r.allowed, r.error) for r in ms.exposure(m).collect()}
+    assert want == {3: (999.875, "5100"), 4: (999.875, None), 5: (999.875, None), 6: (1000.0, "5100")}
+    got = collected(feeds.exposure(stream_of(spark, m, str(tmp_path / "in"))), spark, "missing", tmp_path)
+    assert {r[0]: (r[3], r[4]) for r in got} == want
+
+
+def test_daily_flow_of_a_stream(spark, tmp_path):
+    """A day comes once the watermark has passed it; later transfers of it are dropped."""
+    from ledgerloom.operators import forecast
+
+    def send(n, *rows):
+        spark.createDataFrame(rows, "at string, amount double").selectExpr("cast(at as timestamp) as created_at", "amount").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        flow = forecast.flow_stream(spark.readStream.schema("created_at timestamp, amount double").parquet(str(tmp_path / "in")), "6 hours")
+        flow.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        return {str(r.day): r.amount for r in spark.read.schema("day date, amount double").parquet(str(tmp_path / "out")).collect()}
+
+    assert send(1, ("2024-01-01 05:00:00", 1.0), ("2024-01-01 23:59:59", 2.0), ("2024-01-02 01:00:00", 4.0)) == {}
+    assert send(2, ("2024-01-01 20:00:00", 8.0), ("2024-01-02 07:00:00", None)) == {"2024-01-01": 11.0}
+    assert send(3, ("2024-01-01 21:00:00", 16.0), ("2024-01-03 06:00:01", 32.0)) == {"2024-01-01": 11.0, "2024-01-02": 4.0}
+
+
+def test_one_update_rewrites_one_part(spark, tmp_path):
+    from ledgerloom.sources import versioned
+
+    path = str(tmp_path / "t")
+    tx = spark.range(500).selectExpr("concat('T', id) as transaction_id", "'NEW' as status", "'R' as transfer_state")
+    batch = feeds.state_updates(path, tx, str(tmp_path / "unknown"), parts=16)
+    before = versioned.newest_parts(spark, path)
+    shape = "transaction_id string, status string, transfer_state string, ts int, seq int"
+    batch(spark.createDataFrame([("T7", "DONE", "C", 1, 1), ("none", "x", "y", 1, 1)], shape), 0)
+    after = versioned.newest_parts(spark, path)
+    moved = {p for p in after if after[p] != before.get(p)}
+    assert 1 <= len(moved) <= 2 and spark.read.parquet(str(tmp_path / "unknown/v=1")).first().transaction_id == "none"
+    table = lambda: versioned.read_parts(spark, tx.schema, [f for _, f in versioned.newest_parts(spark, path).values()])
+    assert table().count() == 500 and table().where("status = 'DONE'").count() == 1
+    # a batch that fails half-way leaves no finished version
+    (tmp_path / "t/v=2/_part=3").mkdir(parents=True)
+    assert versioned.newest_parts(spark, path) == after and table().count() == 500
+    batch(spark.createDataFrame([("T8", "DONE", "C", 1, 1)], shape), 1)
+    assert table().count() == 500 and table().where("status = 'DONE'").count() == 2
+
+
+def test_refresh_that_fails_leaves_the_table(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.sources import sinks, versioned
+
+    path = str(tmp_path / "t")
+    sinks.refresh(spark.range(5), path)
+    try:
+        sinks.refresh(spark.range(9).select(F.when(F.col("id") > 4, F.raise_error(F.lit("stop")).cast("long")).otherwise(F.col("id")).alias("id")), path)
+    except Exception as e:
+        assert "stop" in str(e)
+    else:
+        raise AssertionError("it went on")
+    assert versioned.latest(spark, path).count() == 5
+    sinks.refresh(spark.range(3), path)
+    assert versioned.latest(spark, path).count() == 3
+
+
+def test_a_bad_amount_rejects_its_file_alone(spark, tmp_path):
+    for name, text in (("a", "A,1\nB,2\n"), ("b", "C,3\nD,x\n"), ("c", "A,5\nE,6\n")):
+        (tmp_path / f"{name}.csv").write_text("transaction_id,amount\n" + text)
+    good, bad = ingest.ingest(ingest.read_csv(spark, str(tmp_path)), "ledger", by_file=True)
+    assert {r.transaction_id: r.amount for r in good.collect()} == {"A": 1.0, "B": 2.0, "E": 6.0}
+    assert sorted((r.transaction_id, r.reason) for r in bad.collect()) == [("A", "duplicate_in_file"), ("C", "bad_file"), ("D", "bad_amount")]
+
+
+def test_only_folders_of_the_range_are_read(spark, tmp_path):
+    from ledgerloom.operators import logs
+
+    rows = spark.range(200).selectExpr("id as seq", "concat('d', id % 3) as dfsp", "timestamp_seconds(id * 3600) as log_time", "'p' as path")
+    logs.write_log(rows, str(tmp_path))
+    got = logs.log_range(spark.read.parquet(str(tmp_path)), "d1", "1970-01-05 00:00:00", "1970-01-04 00:00:00")
+    assert [r.seq for r in got.collect()] == [i for i in range(72, 96) if i % 3 == 1]
+    scan = next(x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "PartitionFilters" in x)
+    kept = scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "dfsp" in kept and "day" in kept
+
+
+def test_numbers_as_in_rules(spark):
+    from pyspark.sql import functions as F
+
+    texts = {"0x10": 16.0, "0XfF": 255.0, "0b101": 5.0, "0o17": 15.0, "0x": None, "-0x1": None, "0xg": None, " \t7\n": 7.0, "1e3": 1000.0, "": 0.0, "true": 1.0}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ms.as_number(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in got} == texts
+
+
+def test_limits_of_each_environment(spark):
+    rules = [{"conditions": {"all": [{"fact": "amount", "operator": "numericGreaterThan", "value": "{$environment.limit}"}, {"fact": "kind", "operator": "equal", "value": "{$environment.kind}"}]}, "event": {"type": "OVER"}}]
+    m = spark.createDataFrame([(1, "a", 50.0, "x"), (2, "b", 50.0, "x"), (3, "c", 50.0, "x"), (4, "a", 50.0, "y"), (5, None, 50.0, "x")], "seq int, env string, amount double, kind string")
+    p = spark.createDataFrame([("a", "limit", "0x20"), ("a", "kind", "x"), ("b", "limit", "60"), ("b", "kind", "x"), ("c", "kind", "x")], "env string, name string, value string")
+    assert {r.seq: r.event for r in rail.classify_bound(m, rules, p, "env").collect()} == {1: "OVER", 2: None, 3: None, 4: None, 5: None}
