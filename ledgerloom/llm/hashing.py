@@ -19,6 +19,7 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+LONG = np.uint64(1 << 41)
 with np.errstate(over="ignore"):
     PLACE = mix(np.arange(1 << 16, dtype=np.uint64)) | np.uint64(1)
     STEP = mix(np.arange(64, dtype=np.uint64) + np.uint64(1 << 40)) | np.uint64(1)
@@ -55,7 +56,11 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     word = np.cumsum(first)[at] - 1
     place = at - starts[word]
     with np.errstate(over="ignore"):
-        part = (data[at].astype(np.uint64) + np.uint64(1)) * PLACE[place & 0xFFFF]
+        factor = PLACE[place & 0xFFFF]
+        long = np.flatnonzero(place > 0xFFFF)  # each 64 Ki of a long word have factors of their own
+        if len(long):
+            factor[long] = mix(place[long].astype(np.uint64) ^ LONG) | np.uint64(1)
+        part = (data[at].astype(np.uint64) + np.uint64(1)) * factor
         cuts = np.searchsorted(at, starts)
         sums = np.add.reduceat(part, cuts)
         length = np.diff(np.concatenate((cuts, [len(at)]))).astype(np.uint64)

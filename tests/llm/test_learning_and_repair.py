@@ -269,3 +269,19 @@ def test_spanning_tree_is_least():
             return len(set(group)) == 1
 
         assert math.isclose(far.sum(), min(sum(length[x] for x in t) for t in itertools.combinations(edges, 4) if joined(t)))
+
+
+# words of any length
+
+
+def test_long_words_differ(spark):
+    """Words of over 64 Ki bytes that only exchange bytes that far apart."""
+    from ledgerloom.llm import hashing, jaccard_join
+
+    half = 1 << 16
+    texts = ["a" * half + "b" * half, "b" * half + "a" * half, "a" * half + "b" * half + "a" * 5, "a" * 5 + "b" * half + "a" * half, "ab" * half, "ba" * half]
+    words, count = hashing.word_hashes([t.encode() for t in texts])
+    assert len(set(words.tolist())) == len(texts) and count.tolist() == [1] * len(texts)
+    rows = spark.createDataFrame([*enumerate(texts), (10, texts[0]), (11, texts[1].upper())], "doc_id long, text string")
+    got = {r["doc_id"]: r["component"] for r in jaccard_join.jaccard_components(rows, k=4, num=85, den=100).select(jaccard_join.plain_id("key").alias("doc_id"), "component").collect()}
+    assert got == {**{i: i for i in range(6)}, 10: 0, 11: 1}
