@@ -17,7 +17,8 @@ itself, 2 the empty one at the end. ``rendered`` of all pieces in order, joined,
 Cases. A null or unknown role is relabelled or merged; a null text is empty. A null turn number sorts first, turns with one
 number by role and text. Rows with a null conversation id are one conversation. Repeated rows are turns of their
 own. Very long texts stay within their turn; very long conversations are cut at partitions. An empty table gives no rows. Other columns
-are not read, whatever their names.
+are not read, whatever their names. Texts are rendered as they are: a text that holds a marker (``<|end|>`` and the like) renders as that marker
+would, so clean such texts before, or tokenize markers apart.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..steps import materialize, release, shared_dir, written  # noqa: F401
+from ..steps import materialize, release, scratch, shared_dir, written  # noqa: F401
 
 #: Key that stands for a null document id: it sorts first and equals itself in joins.
 NULL_KEY = -(2**63)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Files, doc_key, shared_dir, shuffle_parts
+from .common import Files, doc_key, scratch, shuffle_parts
 from .hashing import mix, slices
 
 MAGIC = b"LLID"
@@ -347,7 +347,7 @@ def read_ids(spark: SparkSession, out: str, at: DataFrame, digest: bool = False)
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
     """Write the store of these documents, look every document up again and digest its ids."""
     spark = docs.sparkSession
-    out = shared_dir(spark)
+    out = scratch(spark)
     write_token_store(docs, tokenizer_path, out, end_id)
     keys = docs.groupBy(doc_key().alias("key")).count().select("key", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("occ"))
     got = read_ids(spark, out, lookup(spark, out, keys), digest=True)

@@ -271,6 +271,76 @@ def test_spanning_tree_is_least():
         assert math.isclose(far.sum(), min(sum(length[x] for x in t) for t in itertools.combinations(edges, 4) if joined(t)))
 
 
+# chat formatting, by the costs that its docstring states
+
+
+def chat_costs(roles):
+    """Least cost of every way to keep, merge, relabel or put empty turns before turns, and to close the conversation."""
+    follows = {"start": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
+
+    def close(state, cost, depth=0):
+        if state == "assistant":
+            return cost
+        if depth == 3:
+            return math.inf
+        return min(close(x, cost + 3, depth + 1) for x in follows[state])
+
+    def go(state, rest):
+        if not rest:
+            return close(state, 0)
+        role, after = rest[0], rest[1:]
+        ways = [go(x, after) + (0 if x == role else 2) for x in follows[state]]
+        if state != "start":
+            ways.append(go(state, after) + (1 if role == state else 3))
+        ways += [go(role, after) + 3 for x in follows[state] if role in follows.get(x, ())]
+        return min(ways)
+
+    return go("start", tuple(roles))
+
+
+def rendered_cost(rows, roles):
+    """What a repair costs by its rows (turn, seq, role, action, rendered)."""
+    cost = 0
+    for i, (turn, seq, role, action, text) in enumerate(rows):
+        if seq == 1:
+            cost += {"keep": 0, "relabel": 2}.get(action, 1 if roles[turn] == role else 3)
+        else:
+            cost += 3 * (text.count("<|end|>\n<|") if seq == 2 else 1)
+    return cost
+
+
+def test_chat_repair_costs_what_the_docstring_says(spark):
+    from ledgerloom.llm import chat
+
+    rows, want = [], {}
+    for n in (1, 2, 3, 4):
+        for roles in itertools.product(("system", "user", "assistant", "tool"), repeat=n):
+            conv = len(want)
+            want[conv] = (roles, chat_costs(roles))
+            rows += [(conv, t, role, "x") for t, role in enumerate(roles)]
+    got = {}
+    for x in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
+        got.setdefault(x.conv_id, []).append((x.turn, x.seq, x.role, x.action, x.rendered))
+    for conv, (roles, cost) in want.items():
+        assert rendered_cost(sorted(got[conv]), roles) == cost, roles
+
+
+def test_chat_on_odd_rows(spark):
+    """Null and unknown roles, null texts, turns and conversations, repeated rows, a long text, a conversation over partitions, clashing names."""
+    from ledgerloom.llm import chat
+
+    rows = [(1, 0, None, None), (1, 0, None, None), (1, 1, "tool", ""), (None, None, "user", "a"), (None, 3, "user", "b"), (2, 0, "user", "x" * 300_000), *((3, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(400))]
+    df = spark.createDataFrame([(*r, 9, "own", 1) for r in rows], "conv_id long, turn long, role string, text string, part int, action string, seq int").repartition(5)
+    got = chat.format_chats(df).collect()
+    text = {}
+    for x in sorted(got, key=lambda x: (x.conv_id is not None, x.conv_id or 0, x.turn is not None, x.turn or 0, x.seq)):
+        text[x.conv_id] = text.get(x.conv_id, "") + x.rendered
+    assert sum(x.seq == 1 for x in got) == len(rows) and set(text) == {None, 1, 2, 3}
+    assert text[3] == "".join(f"<|{'user' if t % 2 == 0 else 'assistant'}|>\nt{t}<|end|>\n" for t in range(400))
+    assert len(text[2]) > 300_000 and all(t.endswith("<|end|>\n") for t in text.values())
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
 # words of any length
 
 
