@@ -78,6 +78,13 @@ def t1_feed(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(table).select("transaction_id", "amount", "currency")
 
 
+def t1_within(spark, sf_dir: str) -> DataFrame:
+    """Each transfer twice, an hour apart: one of them enters."""
+    t = payments(spark, sf_dir, "transactions").select("transaction_id", F.col("created_at").cast("timestamp").alias("created_at"), "amount")
+    sent = t.unionByName(t.withColumn("created_at", F.col("created_at") + F.expr("interval 1 hour")))
+    return drained(feeds.first_within(arriving(sent, "created_at"), "transaction_id", "created_at", "1 day")).select("transaction_id", "amount")
+
+
 def t2_states(spark, sf_dir: str) -> DataFrame:
     t = payments(spark, sf_dir, "transactions").select("seq", "transaction_id", "status", "transfer_state")
     table, change = scratch(spark), F.col("seq") % 17 == 0
@@ -93,9 +100,9 @@ def t4_associate(spark, sf_dir: str) -> DataFrame:
 
 
 def t5_history(spark, sf_dir: str) -> DataFrame:
-    table = scratch(spark)
-    run(arriving(payments(spark, sf_dir, "messages"), "ts", "seq"), feeds.retained(table))
-    return latest(spark, table).select("seq", "path")
+    table, m = scratch(spark), payments(spark, sf_dir, "messages")
+    run(arriving(m, "ts", "seq"), feeds.keep_recent(table))
+    return feeds.recent(spark, table, m.schema).select("seq", "path")
 
 
 def t6_exposure(spark, sf_dir: str) -> DataFrame:
@@ -195,7 +202,7 @@ def m3_by_table(spark, sf_dir: str) -> DataFrame:
 
 TABLE = lambda name, f: lambda s, d: f(payments(s, d, name))
 QUERIES = {
-    "s7_transfers": s7_transfers, "s7_rejected": s7_rejected, "t1_feed": t1_feed, "t2_states": t2_states, "t4_associate": t4_associate, "t5_history": t5_history, "t6_exposure": t6_exposure, "t7_await": t7_await, "a3_daily_stream": a3_daily_stream,
+    "s7_transfers": s7_transfers, "s7_rejected": s7_rejected, "t1_feed": t1_feed, "t1_within": t1_within, "t2_states": t2_states, "t4_associate": t4_associate, "t5_history": t5_history, "t6_exposure": t6_exposure, "t7_await": t7_await, "a3_daily_stream": a3_daily_stream,
     "k2_export": k2_export, "k3_refresh": k3_refresh, "p3_ids": p3_ids, "s5_router": s5_router, "m3_by_table": m3_by_table,
     "p2_whole_files": TABLE("transactions", lambda t: ig.ingest(uploaded(t), "ledger", by_file=True)[0].select("transaction_id", "payer", "amount")),
     "p2_rejected_files": TABLE("transactions", lambda t: ig.ingest(uploaded(t), "ledger", by_file=True)[1].select("transaction_id", "reason")),
@@ -211,6 +218,7 @@ def oracles(known: dict[str, str], fresh: str) -> dict[str, str]:
         "s7_transfers": with_tables(f"select transaction_id, payer, payee, amount, 'USD' as currency, 'COMMITTED' as transfer_state, 'SUCCESS' as status from ({sent}) where reason is null"),
         "s7_rejected": with_tables(f"select reason, count(*) as n from ({sent}) where reason is not null group by reason"),
         "t1_feed": with_tables("select transaction_id, case when seq % 3 = 0 then amount else 0.0 end as amount, currency from transactions"),
+        "t1_within": with_tables("select transaction_id, amount from transactions"),
         "t2_states": with_tables("select seq, transaction_id, case when seq % 34 = 0 then 'FAILED' else status end as status, case when seq % 34 = 0 then 'ABORTED' else transfer_state end as transfer_state from transactions"),
         "t4_associate": known["m12_quote_association"],
         "t5_history": known["t5_retention"],

@@ -70,6 +70,19 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.groupBy(F.col("o_custkey").alias("report_id")).agg(F.concat(F.lit("template-"), (F.first("o_custkey") % 5).cast("string")).alias("template"), F.min("d").alias("started"), F.max("d").alias("completed"), F.collect_list(F.struct(F.concat(F.lit("case-"), (F.col("l_orderkey") % 10).cast("string")).alias("name"), "requests")).alias("test_cases"))
 
 
+def from_database(spark: SparkSession, url: str, table: str, key: str, parts: int = 16, **options: str) -> DataFrame:
+    """A table over JDBC, read by ``parts`` connections in ranges of a key of whole numbers, or by one if it has no rows or no keys.
+    Columns and filters of later steps go to the database. Rows without key are in the first range."""
+    named = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    reader = spark.read.format("jdbc").option("url", url).options(**options)
+    ends = reader.option("query", f"select min({named}) as lo, max({named}) as hi from {table}").load().first()
+    reader = spark.read.format("jdbc").option("url", url).options(**options).option("dbtable", table)
+    if ends[0] is None:
+        return reader.load()
+    # the upper bound is exclusive in the strides alone: no row is left out
+    return reader.option("partitionColumn", key).option("lowerBound", str(ends[0])).option("upperBound", str(ends[1] + 1)).option("numPartitions", str(parts)).load()
+
+
 #: DuckDB SQL of the same reports, flat: one row per request.
 REQUESTS = """requests as (select o_custkey as report_id, concat('template-', o_custkey % 5) as template, l_orderkey, o_orderdate, concat('line-', l_linenumber) as description, concat('case-', l_orderkey % 10) as name, case when l_linenumber % 7 <> 0 then l_linenumber % 4 end as n,
  case when l_linenumber % 7 <> 0 then least(l_linenumber % 4, cast(floor(l_quantity) as bigint) % 4) end as p from lineitem join orders on l_orderkey = o_orderkey),

@@ -60,6 +60,30 @@ def newest_parts(spark: SparkSession, path: str, before: int | None = None) -> d
     return out
 
 
+def all_parts(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(part, folder) of all finished versions."""
+    out = []
+    for v in versions(spark, path):
+        at, fs = hadoop_path(spark, f"{path}/v={v}")
+        names = [x.getPath().getName() for x in fs.listStatus(at)]
+        out += [(int(n[6:]), f"{path}/v={v}/{n}") for n in names if n.startswith("_part=")]
+    return out
+
+
+def drop_parts(spark: SparkSession, path: str, span: int) -> None:
+    """Remove parts of a number more than ``span`` below the greatest, and versions, but for the last, that have none left."""
+    there = all_parts(spark, path)
+    least = max((p for p, _ in there), default=0) - span
+    for p, folder in there:
+        if p < least:
+            at, fs = hadoop_path(spark, folder)
+            fs.delete(at, True)
+    used = {folder.rsplit("/", 2)[1] for p, folder in there if p >= least}
+    for v in versions(spark, path)[:-1]:
+        if f"v={v}" not in used:
+            drop_version(spark, path, v)
+
+
 def read_parts(spark: SparkSession, schema, folders: list[str]) -> DataFrame:
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 

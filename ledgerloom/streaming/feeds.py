@@ -18,7 +18,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.messages import spent
 from ..operators.updates import update_states
-from ..sources.versioned import latest, newest_parts, part_of, publish, read_parts, rewrite_parts, versions, write_parts  # noqa: F401
+from ..sources.versioned import all_parts, drop_parts, latest, newest_parts, part_of, publish, read_parts, rewrite_parts, versions, write_parts  # noqa: F401
 
 #: Fields of a transfer message, and the columns they become.
 FIELDS = {"transactionId": "transaction_id", "referenceId": "reference_id", "payer": "payer", "payee": "payee", "payerFsp": "payer_fsp", "payeeFsp": "payee_fsp", "amount": "amount", "currency": "currency", "transferState": "transfer_state"}
@@ -130,6 +130,36 @@ def retained(path: str, minutes: int = 10) -> Callable[[DataFrame, int], None]:
     return next_version(path, change)
 
 
+def keep_recent(path: str, minutes: int = 10) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for a history that expires: a batch writes its own rows alone, in folders by minute of ``ts``, and removes
+    folders that are older than ``minutes`` before the newest message so far. Nothing of what is kept is read or written
+    again. A batch that runs again overwrites its own folders. ``recent`` reads the history; rows without a time don't enter."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        newest = batch.agg(F.max("ts").alias("_newest"))
+        rows = batch.join(F.broadcast(newest)).where(F.col("ts") >= F.col("_newest") - F.expr(f"interval {minutes} minutes")).drop("_newest")
+        rows = rows.withColumn("_part", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60))
+        rows.write.mode("overwrite").partitionBy("_part").parquet(f"{path}/v={batch_id + 1}")
+        drop_parts(batch.sparkSession, path, minutes)
+
+    return write
+
+
+def recent(spark: SparkSession, path: str, schema, minutes: int = 10) -> DataFrame:
+    """The rows that ``keep_recent`` keeps: those of the last minutes before the newest."""
+    there = all_parts(spark, path)
+    last = max((p for p, _ in there), default=0)
+    newest = read_parts(spark, schema, [folder for p, folder in there if p == last]).agg(F.max("ts").alias("_newest"))
+    rows = read_parts(spark, schema, [folder for p, folder in there if p >= last - minutes])
+    return rows.join(F.broadcast(newest)).where(F.col("ts") >= F.col("_newest") - F.expr(f"interval {minutes} minutes")).drop("_newest")
+
+
+def first_within(rows: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
+    """A stream's first row of each key, where repeats come within ``delay``: the state is the keys of that time, and no stored table is
+    read, however large it has grown. Rows that are later than the watermark are dropped. For repeats at any time see ``append_new``."""
+    return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+
+
 def start(rows: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Everything that is there now, in batches that the source's options bound."""
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -183,31 +213,19 @@ def associate(messages: DataFrame, minutes: int = 10) -> DataFrame:
 
 def await_callbacks(listeners: DataFrame, inbound: DataFrame, seconds: int = 15, late: str = "1 minute") -> DataFrame:
     """listeners (listener, method, path, ts) with the first inbound message (seq, method, path, ts) of the same method and path
-    from then on, within the time, as soon as it comes, else null, when the watermark (``late`` behind the newest) has passed
-    the time. State: the open listeners of a method and path. Rows of one batch count by time, those of different ones as they come."""
-    both = listeners.select("method", "path", "ts", F.col("listener").alias("id"), F.lit(0).alias("heard"))
-    both = both.unionByName(inbound.where("method is not null and path is not null").select("method", "path", "ts", F.col("seq").alias("id"), F.lit(1).alias("heard")))
-    both = both.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
-    wait = seconds * 1_000_000
-
-    def answer(key: tuple, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        waiting = list(zip(*state.get, strict=True)) if state.exists else []
-        out: list[tuple] = []
-        if not state.hasTimedOut:
-            for r in pd.concat(list(chunks)).sort_values(["us", "heard", "id"]).itertuples():
-                if r.heard:
-                    out += [(who, int(r.id) if r.us <= since + wait else None) for who, since in waiting if since <= r.us]
-                    waiting = [x for x in waiting if x[1] > r.us]
-                else:
-                    waiting.append((int(r.id), int(r.us)))
-        now = state.getCurrentWatermarkMs()
-        out += [(who, None) for who, since in waiting if (since + wait) // 1000 < now]
-        waiting = [x for x in waiting if (x[1] + wait) // 1000 >= now]
-        if waiting:
-            state.update(([x[0] for x in waiting], [x[1] for x in waiting]))
-            state.setTimeoutTimestamp(max((min(x[1] for x in waiting) + wait) // 1000, now) + 1)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame({"listener": pd.Series([x[0] for x in out], dtype="int64"), "callback_seq": pd.Series([x[1] for x in out], dtype="Int64")})
-
-    return both.groupBy("method", "path").applyInPandasWithState(answer, "listener long, callback_seq long", "listeners array<long>, since array<long>", "append", "EventTimeTimeout")
+    from then on, within the time, else null: a left outer join of two streams over an interval. A listener's row comes once the
+    watermark (``late`` behind the newest of either stream) has passed its time; so do the rows that both sides keep. A null
+    method or path has no callback. Rows later than the watermark are dropped."""
+    both = listeners.select("method", "path", F.col("ts").cast("timestamp").alias("ts"), F.col("listener").alias("id"), F.lit(0).alias("heard"))
+    both = both.unionByName(inbound.select("method", "path", F.col("ts").cast("timestamp").alias("ts"), F.col("seq").alias("id"), F.lit(1).alias("heard")))
+    both = both.withWatermark("ts", late)
+
+    def side(heard: int, **names: str) -> DataFrame:
+        # the condition reads ts, so it stays above the watermark, which hence advances with the rows of both streams
+        return both.where(F.when(F.col("ts").isNotNull(), F.col("heard")) == heard).select(*(F.col(c).alias(n) for c, n in names.items()))
+
+    asked = side(0, method="method", path="path", ts="since", id="listener")
+    heard = side(1, method="_method", path="_path", ts="at", id="seq")
+    fits = (F.col("method") == F.col("_method")) & (F.col("path") == F.col("_path")) & (F.col("at") >= F.col("since")) & (F.col("at") <= F.col("since") + F.expr(f"interval {seconds} seconds"))
+    first = F.min_by("seq", F.struct("at", "seq")).alias("callback_seq")
+    return asked.join(heard, fits, "left_outer").groupBy("listener", "since").agg(first).select("listener", "callback_seq")

@@ -218,3 +218,70 @@ def test_limits_of_each_environment(spark):
     m = spark.createDataFrame([(1, "a", 50.0, "x"), (2, "b", 50.0, "x"), (3, "c", 50.0, "x"), (4, "a", 50.0, "y"), (5, None, 50.0, "x")], "seq int, env string, amount double, kind string")
     p = spark.createDataFrame([("a", "limit", "0x20"), ("a", "kind", "x"), ("b", "limit", "60"), ("b", "kind", "x"), ("c", "kind", "x")], "env string, name string, value string")
     assert {r.seq: r.event for r in rail.classify_bound(m, rules, p, "env").collect()} == {1: "OVER", 2: None, 3: None, 4: None, 5: None}
+
+
+def test_history_that_expires(spark, tmp_path):
+    """A batch writes its own rows alone; minutes that are over are gone from the disk; equal to the batch form."""
+    rows = lambda *x: spark.createDataFrame(x, "seq long, s long").selectExpr("seq", "timestamp_seconds(s) as ts")
+    path, batch = str(tmp_path / "h"), feeds.keep_recent(str(tmp_path / "h"))
+    sent = [rows((1, 0), (2, 59), (3, 601), (4, None)), rows((5, 640), (6, 30)), rows((7, 1241)), rows((8, 1300), (9, 9000))]
+    so_far = None
+    for n, part in enumerate(sent):
+        batch(part, n)
+        so_far = part if so_far is None else so_far.unionByName(part)
+        want = sorted(r.seq for r in ms.retained(so_far).collect())
+        assert sorted(r.seq for r in feeds.recent(spark, path, part.schema).collect()) == want
+        batch(part, n)  # once more, as after a failure
+        assert sorted(r.seq for r in feeds.recent(spark, path, part.schema).collect()) == want
+    assert [p for p, _ in feeds.all_parts(spark, path)] == [150] and feeds.versions(spark, path) == [4]
+    empty = feeds.keep_recent(str(tmp_path / "e"))
+    empty(rows((1, 1)).limit(0), 0)
+    assert feeds.recent(spark, str(tmp_path / "e"), sent[0].schema).count() == 0
+
+
+def test_first_of_each_key_without_a_table(spark, tmp_path):
+    def send(n, *rows):
+        spark.createDataFrame(rows, "k string, s long, n int").selectExpr("k", "timestamp_seconds(s) as ts", "n").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        first = feeds.first_within(spark.readStream.schema("k string, ts timestamp, n int").parquet(str(tmp_path / "in")), "k", "ts", "1 minute")
+        first.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.k, r.n) for r in spark.read.schema("k string, ts timestamp, n int").parquet(str(tmp_path / "out")).collect())
+
+    assert send(1, ("a", 100, 1), ("b", 110, 2)) == [("a", 1), ("b", 2)]
+    assert send(2, ("a", 120, 3), ("c", 1000, 4)) == [("a", 1), ("b", 2), ("c", 4)]
+    # the state of a is gone, so a later row of it is new; one behind the watermark is dropped
+    assert send(3, ("a", 1001, 5), ("d", 130, 6)) == [("a", 1), ("a", 5), ("b", 2), ("c", 4)]
+
+
+def test_callbacks_keep_open_listeners_over_batches(spark, tmp_path):
+    """Many listeners of one path: each gets the first callback from its time on; state is freed once the watermark has passed."""
+    at = lambda rows: spark.createDataFrame(rows, "id long, s double").selectExpr("id", "'put' as method", "'/hot' as path", "cast(s as timestamp) as ts")
+    asked, heard = at([(i, 100 + i / 10) for i in range(300)]), at([(i, 100 + 3.0 * i) for i in range(12)] + [(99, 5000.0)])  # from 1970 on: watermarks start there
+    asked.repartitionByRange(3, "ts").write.parquet(str(tmp_path / "l"))
+    heard.repartitionByRange(3, "ts").write.parquet(str(tmp_path / "i"))
+    read = lambda d, df, name: spark.readStream.schema(df.schema).parquet(str(tmp_path / d)).withColumnRenamed("id", name)
+    q = feeds.await_callbacks(read("l", asked, "listener"), read("i", heard, "seq"), 2).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = rail.await_callbacks(asked.withColumnRenamed("id", "listener"), heard.withColumnRenamed("id", "seq"), 2)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "o")).collect())) == sorted(map(tuple, want.collect()))
+    join = next(o for o in q.lastProgress["stateOperators"] if "Join" in o["operatorName"])
+    assert join["numRowsTotal"] <= 1
+
+
+def test_tables_of_a_database(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.sources.payments import from_database
+
+    url, driver = "jdbc:derby:memory:ledger;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    t = payments(spark, SF, "transactions").select("seq", "transaction_id", "payer", "amount")
+    t = t.unionByName(t.limit(1).withColumn("seq", F.lit(None).cast("long")))
+    t.write.format("jdbc").options(url=url, dbtable="transactions", driver=driver).mode("overwrite").save()
+    got = from_database(spark, url, "transactions", "seq", 4, driver=driver)
+    assert got.rdd.getNumPartitions() == 4
+    assert sorted(map(str, got.collect())) == sorted(map(str, t.collect()))
+    few = got.where("seq < 100 and payer like 'B%'").select("transaction_id")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "LessThan(seq,100)" in plan.replace("*", "") and "amount" not in plan.split("Scan")[1]
+    assert few.count() == t.where("seq < 100 and payer like 'B%'").count()
+    t.limit(0).write.format("jdbc").options(url=url, dbtable="nothing", driver=driver).mode("overwrite").save()
+    assert from_database(spark, url, "nothing", "seq", 4, driver=driver).count() == 0
