@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -304,3 +305,47 @@ def test_winnowing_whole(spark):
     for (i, _), (j, _) in zip(rows, [*rows[1:], rows[0]], strict=True):
         assert got[i].edited_fingerprint == own[i]
         assert math.isclose(got[i].near_edited, alike(hashes(got[i].fingerprint), hashes(own[i]))) and math.isclose(got[i].near_next, alike(hashes(got[i].fingerprint), hashes(got[j].fingerprint)))
+
+
+@pytest.mark.parametrize(("min_share", "ratio"), [(0.0, 0.0), (1e-5, 0.25)])
+def test_language_filters_equal_plain_sets_of_grams(spark, min_share, ratio):
+    """Predictions against Python sets of 4-grams: with all grams of each language, and with the cuts that are the default."""
+    from collections import Counter
+
+    def plain(text):
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        s = "_" + "".join(w + "_" for w in words)
+        return [s[i : i + 4] for i in range(len(s) - 3)] if words else []
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text")
+    odd = [(-1, None, "Ärger über Öl"), (-2, None, "a"), (-3, None, "x y z"), (-4, None, "日本語のテキスト"), (-5, None, "12 34"), (-6, None, None), (-7, "en", "the\U0001f600the 'tis"), (-8, None, "ſtraße İstanbul")]
+    d = d.unionByName(spark.createDataFrame(odd, "doc_id long, lang string, text string"))
+    rows = d.collect()
+    counts = {}
+    for r in rows:
+        if r.lang is not None and not (r.doc_id >= 0 and zlib.crc32(str(r.doc_id).encode()) % 3 == 1):
+            counts.setdefault(r.lang, Counter()).update(plain(r.text))
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    share = {x: {g: n / total[x] for g, n in c.items() if n / total[x] >= min_share} for x, c in counts.items()}
+    top = Counter()
+    for of in share.values():
+        for g, s in of.items():
+            top[g] = max(top[g], s)
+    sets = {x: {g for g, s in of.items() if s >= ratio * top[g]} for x, of in share.items()}
+    model = langid.train(d.where("doc_id < 0 or crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1"), min_share, ratio)
+    assert model.langs == sorted(counts, key=lambda x: (-total[x], x))
+    clear = 0
+    for r in langid.predict(d, model).collect():
+        g = plain(r.text)
+        if not any(c.isalpha() for c in (r.text or "").lower()):
+            assert (r["_lang_pred"], r["_lang_score"]) == ("und", 0.0)
+            continue
+        held = {x: sum(t in s for t in g) / max(len(g), 1) for x, s in sets.items()}
+        best = sorted(held.values())
+        # a filter adds false positives, of which the expected number is taken off again
+        slack = 0.02 + 3 * (0.01 / max(len(g), 1)) ** 0.5
+        assert abs(r["_lang_score"] - best[-1]) <= slack, (r.doc_id, r["_lang_score"], held)
+        if best[-1] - best[-2] > 2 * slack:
+            assert r["_lang_pred"] == max(held, key=held.get)
+            clear += 1
+    assert clear > 150
