@@ -1,25 +1,35 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-Groups are equal texts. The groups of at least 1/``grain`` of a shard's capacity are few, however
-large the input is: with n shards, less than n * grain of them fit in the total. The smaller groups are
-hashed into ``n * grain`` pellets, each of them indivisible here. Both kinds are sorted by size and enter, by
-falling size, the bin with the tightest remaining capacity that holds them, found in a balanced
-tree; what no bin holds goes to a new bin, or, with a fixed number of shards, to the emptiest bin.
-The packing sees at most 2 * n * grain items, so it runs on the driver; all passes over
-documents are aggregations and joins with these few items.
+Groups are equal texts. All of them, large or small, enter by falling size, ties by the hash of their text: each goes to the
+bin with the tightest remaining capacity that holds it, found in a balanced tree; what no bin holds
+goes to a new bin, or, with a fixed number of shards, to the emptiest bin. Groups of one size are dealt
+together: the tightest bin that holds one takes as many as it has room for, as each of them leaves it the tightest, and so on.
+So the packing needs no groups, only how many there are of each size. The driver reads these counts as a stream by falling size and writes runs of
+places in the order of groups, each with its first bin and the number for a bin; the cluster ranks the groups and looks each
+one's place up. With n bins of capacity c and groups of d different sizes there are at most d + n * log2(c) runs, as a bin that
+takes a run keeps less than half of its room; d is at most the root of twice the bytes of all texts, as different sizes add up.
+The driver holds the tree of bins and one batch of runs.
 
 Cases. A null text counts as an empty one: no bytes, crc 0, and one group with empty texts. Ties in size are
-broken by group key. Repeated rows are rows of one group, each with its own slot. A group that is larger
+broken by the text's hash. Repeated rows are rows of one group, each with its own slot. A group that is larger
 than the capacity fills a bin alone or, when the number of shards is fixed, exceeds it. Null ids sort first. An
 empty table gives no rows. Very long texts are hashed whole. Only doc_id and text are read, whatever other columns are named.
+Of the groups, at most ``HOT`` can have that part of all rows; these are broadcast to their rows instead of joined by a shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import batched, groupby
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, with_rank
+from .common import materialize, scratch, with_rank
+
+#: Runs are looked up by blocks of this many places, and cut so that none has more than ``CUT`` of these; a group of
+#: at least 1/``HOT`` of all rows is hot.
+PLACES, CUT, HOT, RUNS_AT_ONCE = 128, 1 << 18, 1000, 1 << 20
 
 
 class Tree:
@@ -105,27 +115,71 @@ class Tree:
         return x.key
 
 
-def best_fit_decreasing(items: list[tuple], capacity: int, shards: int | None = None) -> dict:
-    """{key: bin} of (key, size) items. Without ``shards``, bins are opened as needed."""
-    tree, out, opened = Tree(), {}, 0
+def pack_runs(counts: Iterable[tuple[int, int]], capacity: int, shards: int | None = None) -> Iterator[tuple[int, int, int, int]]:
+    """Best-fit decreasing of items given as (size, number) by falling size: runs (start, end, bin, each) of places in the order
+    of items, the first ``each`` of which go to ``bin``, the next to the bin after it, and so on. Without ``shards``, bins are opened as needed."""
+    tree, opened, at = Tree(), 0, 0
     for b in range(shards or 0):
         tree.add((capacity, -b))
-    for key, size in sorted(items, key=lambda x: (-x[1], x[0])):
-        at = tree.at_least((size, -(len(items) + (shards or 0))))
-        if at is None and shards is None:
-            at, opened = (max(capacity, size), -opened), opened + 1
-        else:
-            at = at or tree.last()
-            tree.remove(at)
-        out[key] = -at[1]
-        tree.add((at[0] - size, at[1]))
-    return out
-
-
-def shard_documents(docs: DataFrame, shards: int | None = 24, capacity: int | None = None, grain: int = 400) -> DataFrame:
+    for size, left in counts:
+        while left:
+            found = tree.at_least((size, float("-inf")))
+            if found is None and shards is None:
+                each = max(1, capacity // size)
+                bins = max(1, left // each)
+                first, n = opened, min(left, bins * each)
+                opened += bins
+                for b in range(first, opened):
+                    tree.add((max(capacity, size) - min(n, each) * size, -b))
+            else:
+                each = n = min(left, found[0] // size) if found else 1
+                room, b = found or tree.last()
+                first = -b
+                tree.remove((room, b))
+                tree.add((room - n * size, b))
+            yield at, at + n, first, each
+            at, left = at + n, left - n
+
+
+def best_fit_decreasing(items: list[tuple], capacity: int, shards: int | None = None) -> dict:
+    """{key: bin} of (key, size) items, ties in size by key."""
+    items = sorted(items, key=lambda x: (-x[1], x[0]))
+    counts = ((size, len(list(same))) for size, same in groupby(items, key=lambda x: x[1]))
+    return {items[i][0]: b + (i - start) // each for start, end, b, each in pack_runs(counts, capacity, shards) for i in range(start, end)}
+
+
+def cut_runs(runs: Iterable[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
+    """Runs as (start, from, to, bin, each): none goes over a multiple of ``PLACES * CUT`` places."""
+    for start, end, b, each in runs:
+        at = start
+        while at < end:
+            to = min(end, (at // (PLACES * CUT) + 1) * PLACES * CUT)
+            yield start, at, to, b, each
+            at = to
+
+
+def shard_groups(groups: DataFrame, capacity: int, shards: int | None) -> DataFrame:
+    """groups (grp, size, ...) with the column shard."""
+    spark = groups.sparkSession
+    ranked = materialize(with_rank(groups.withColumn("_falling", -F.col("size")), ["_falling", "grp"], "_place"))
+    counts = materialize(ranked.groupBy("size").count()).orderBy(F.desc("size"))
+    runs, shape = scratch(spark), "_start long, _from long, _to long, _bin int, _each long"
+    for some in batched(cut_runs(pack_runs(counts.toLocalIterator(), capacity, shards)), RUNS_AT_ONCE):
+        spark.createDataFrame(some, shape).write.mode("append").parquet(runs)
+    block = lambda e: F.floor(e / PLACES)
+    at = spark.read.schema(shape).parquet(runs).withColumn("_block", F.explode(F.sequence(block(F.col("_from")), block(F.col("_to") - 1))))
+    inside = (F.col("_place") >= F.col("_from")) & (F.col("_place") < F.col("_to"))
+    shard = F.col("_bin") + F.floor((F.col("_place") - F.col("_start")) / F.col("_each"))
+    found = ranked.withColumn("_block", block(F.col("_place"))).join(at, "_block").where(inside)
+    return found.select(*groups.columns, shard.cast("int").alias("shard"))
+
+
+def shard_documents(docs: DataFrame, shards: int | None = 24, capacity: int | None = None) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard, slot (its rank by doc_id within the
     shard). Give ``shards`` for a fixed number of shards of near equal bytes, or ``capacity`` (with ``shards``
     None) for as few shards of that capacity as best-fit-decreasing needs."""
+    if (shards is None) == (capacity is None):
+        raise ValueError("give a number of shards or a capacity")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -134,20 +188,12 @@ def shard_documents(docs: DataFrame, shards: int | None = 24, capacity: int | No
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("grp"),
     )
     rows = materialize(rows)
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    if shards is None and not capacity:
-        raise ValueError("give a number of shards or a capacity")
-    cap = capacity or -(-total // shards)
-    pellets = max(1, (shards or -(-total // cap)) * grain)
-    groups = rows.groupBy("grp").agg(F.sum("size").alias("size"), F.pmod(F.xxhash64("grp"), F.lit(pellets)).alias("pellet"))
-    large = F.col("size") * grain >= cap
-    groups = groups.groupBy(F.when(large, F.col("grp")).alias("own"), F.when(~large, F.col("pellet")).alias("pellet")).agg(F.sum("size").alias("size"))
-    items = [((bytes(r["own"] or b""), -1 if r["pellet"] is None else r["pellet"]), r["size"]) for r in groups.toLocalIterator()]
-    placed = [(bytearray(k[0]) if k[1] < 0 else None, None if k[1] < 0 else k[1], b) for k, b in best_fit_decreasing(items, cap, shards).items()]
-    placed = docs.sparkSession.createDataFrame(placed, "own binary, at long, shard int")
-    own = placed.where("own is not null").select(F.col("own").alias("grp"), F.col("shard").alias("own_shard"))
-    rest = placed.where("own is null").select(F.col("at").alias("pellet"), F.col("shard").alias("pellet_shard"))
-    dealt = rows.withColumn("pellet", F.pmod(F.xxhash64("grp"), F.lit(pellets)))
-    dealt = dealt.join(F.broadcast(own), "grp", "left").join(F.broadcast(rest), "pellet", "left")
-    dealt = dealt.select("doc_id", "size", "text_crc32", F.coalesce("own_shard", "pellet_shard").alias("shard"))
+    total, n = rows.agg(F.sum("size"), F.count("*")).first()
+    if not n:
+        return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    groups = rows.groupBy("grp").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    placed = materialize(shard_groups(groups, capacity or -(-total // shards), shards))
+    hot = F.broadcast(placed.where(F.col("n") * HOT >= n).select("grp", "shard"))
+    others = rows.join(hot, "grp", "left_anti").join(placed.where(F.col("n") * HOT < n).select("grp", "shard"), "grp")
+    dealt = rows.join(hot, "grp").unionByName(others).select("doc_id", "size", "text_crc32", "shard")
     return with_rank(dealt, ["shard", "doc_id"], "slot", within="shard").select("doc_id", "size", "text_crc32", "shard", "slot")

@@ -279,6 +279,42 @@ def test_best_fit_decreasing_by_search():
         assert room(got) == room(want)
 
 
+def fit_one_by_one(sizes: list[int], capacity: int, shards: int | None) -> list[int]:
+    """The bin of each item, placed singly by falling size (as given): the tightest that holds it, the highest of equal ones."""
+    room, out = [capacity] * (shards or 0), []
+    for size in sizes:
+        fits = [b for b, x in enumerate(room) if x >= size]
+        if fits:
+            b = min(fits, key=lambda b: (room[b], -b))
+        elif shards is None:
+            b = len(room)
+            room.append(max(capacity, size))
+        else:
+            b = max(range(shards), key=lambda b: (room[b], -b))
+        room[b] -= size
+        out.append(b)
+    return out
+
+
+@pytest.mark.parametrize("shards, capacity", [(5, None), (24, None), (None, 300), (None, 90)])
+def test_groups_of_all_sizes_enter_one_by_one(spark, monkeypatch, shards, capacity):
+    """Every group's shard against single placements; runs are cut, looked up and written in several pieces."""
+    import hashlib
+
+    monkeypatch.setattr(sharding, "PLACES", 4)
+    monkeypatch.setattr(sharding, "CUT", 3)
+    monkeypatch.setattr(sharding, "RUNS_AT_ONCE", 7)
+    r = random.Random(4)
+    texts = [r.choice(["", "same", "x" * 70]) if r.random() < 0.4 else "".join(r.choice("abcü") for _ in range(r.choice([1, 2, 3, 30, 31, 80]))) for _ in range(400)]
+    rows = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards, capacity).collect()
+    size: dict[str, int] = {}
+    for t in texts:
+        size[t] = size.get(t, 0) + len(t.encode()) + 8
+    order = sorted(size, key=lambda t: (-size[t], hashlib.sha256(t.encode()).digest()))
+    want = dict(zip(order, fit_one_by_one([size[t] for t in order], capacity or -(-sum(size.values()) // shards), shards), strict=True))
+    assert {x.doc_id: x.shard for x in rows} == {i: want[t] for i, t in enumerate(texts)}
+
+
 def test_capacity_mode(spark, odd):
     rows = sharding.shard_documents(odd, None, capacity=500).toPandas()
     full = rows.groupby("shard")["size"].sum()
