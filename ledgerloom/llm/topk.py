@@ -7,8 +7,12 @@ a partial sum over the first axes holds most of the product, and the Cauchy-Schw
 rest, the product of the residual lengths, prunes what can't reach the query's k-th best so far. The partial sums grow in steps of
 16, 64 and all axes, each over what the one before has left. The products of what remains are exact. The longest block goes first for all
 queries; its k-th best scores prune later blocks: only the (query block, candidate block) pairs in which the product of
-lengths can reach the least goal of the block's queries are dealt, and only with the queries that can. Each task returns k
-rows a query at most; a window picks the best.
+lengths can reach the least goal of the block's queries are dealt, and only with the queries that can. For that, queries are put in blocks by
+the length that they need. Each task returns k rows a query at most; a window picks the best.
+
+Where lengths are alike, all blocks meet. Blocks then are the cells of a grid: with t tasks each vector is sent about sqrt(t) times. ``block_sizes`` gives
+sides of equal length for as many tasks as keep the cluster busy, up to blocks of 8 MB, which bound a task's memory; beyond that the number of tasks, and
+with it how often a vector is sent, grows with the products left, as any exact method with such tasks must.
 
 Cases. A vector that is null or empty, or has a null or non-finite component, or a null id, takes no part. Vectors of
 different sizes are padded with zeros. Rows with the query's own id are no candidates of it; of rows with one id the
@@ -25,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, with_rank
+from .common import materialize, shuffle_parts, with_rank
 
-BLOCK, QUERY_BLOCK, HEADS = 4096, 1024, (16, 64)
+#: The longest candidates, which go first; the least and greatest side of a block of the grid, and the bytes of its vectors.
+HEAD, LEAST_SIDE, MOST_SIDE, SIDE_BYTES = 4096, 1024, 16384, 1 << 23
+HEADS = (16, 64)
 #: Two vectors of less than this length have a product, and partial sums, of less than 2**53.
 LONGEST = 9.0e7
 MOST = (1 << 63) - 1
@@ -163,31 +169,56 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, vec_id: st
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def block_sizes(queries: int, candidates: int, width: int, tasks: int) -> tuple[int, int]:
+    """Sides (queries, candidates) of a grid of about ``tasks`` blocks, equal where neither is short of rows."""
+    most = max(LEAST_SIDE, min(MOST_SIDE, SIDE_BYTES // (8 * width)))
+    fit = lambda n, rows: max(LEAST_SIDE, min(most, n, rows))
+    pairs = queries * candidates / max(1, tasks)
+    even = int(pairs**0.5) + 1
+    q, c = fit(even, queries), fit(even, candidates)
+    return fit(int(pairs / c) + 1, queries), fit(int(pairs / q) + 1, candidates)
+
+
+def meetings(needs: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(qb, cb, longest): pairs of blocks in which the longest candidate is long enough for one of the queries, from needs (qb, least_reach) and
+    lengths (cb, longest). Lengths fall with cb, so a block of queries meets those from 1 to a last one, found by one
+    pass over both sorted together: a row a block, less than a thousandth of the vectors."""
+    none = F.lit(None).cast("long")
+    both = lengths.select(F.col("longest").alias("x"), F.lit(0).alias("side"), "cb", none.alias("qb"))
+    both = both.unionByName(needs.select(F.col("least_reach").alias("x"), F.lit(1).alias("side"), none.alias("cb"), "qb"))
+    last = both.withColumn("last", F.max("cb").over(Window.orderBy(F.desc("x"), "side"))).where("side = 1 and last is not null")
+    return last.select("qb", F.explode(F.sequence(F.lit(1).cast("long"), "last")).alias("cb")).join(lengths, "cb")
+
+
 def by_length(every: DataFrame, chosen: DataFrame, k: int) -> DataFrame | None:
     """(query_id, vec_id, score): all that can be among the k best of the chosen queries; null without any."""
-    rows = materialize(with_rank(every, ["short", "id", "v"]).withColumn("cb", F.floor(F.col("rank") / BLOCK)).select("id", "v", "norm2", "cb"))
-    queries = materialize(with_rank(chosen, ["id"]).withColumn("qb", F.floor(F.col("rank") / QUERY_BLOCK)).drop("rank"))
-    width, n_blocks = rows.agg(F.max(F.size("v"))).first()[0], queries.agg(F.max("qb")).first()[0]
-    if width is None or n_blocks is None:
+    rows = materialize(with_rank(every, ["short", "id", "v"]).select("id", "v", "norm2", "rank"))
+    queries = materialize(with_rank(chosen, ["id"]).select("id", "v", "norm2", "rank"))
+    width, n = rows.agg(F.max(F.size("v")), F.count("*")).first()
+    asked = queries.count()
+    if width is None or not asked:
         return None
     turn = axes(rows, width)
     names = ["qb", "cb", "id", "v", "least"]
     none = F.lit(None).cast("double").alias("least")
-    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks).cast("long"))).alias("qb")
-    head = rows.where("cb = 0").select(blocks, "cb", "id", "v", none)
-    longest = queries.select("qb", F.lit(0).cast("long").alias("cb"), "id", "v", F.lit(-1e300).alias("least"))
-    first = materialize(best_of_blocks(longest.unionByName(head.select(*names)), k, width, turn))
+    block = lambda at, size: F.floor(at / size).cast("long")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((asked - 1) // LEAST_SIDE).cast("long"))).alias("qb")
+    cb = F.lit(0).cast("long").alias("cb")
+    head = rows.where(F.col("rank") < HEAD).select(blocks, cb, "id", "v", none)
+    longest = queries.select(block(F.col("rank"), LEAST_SIDE).alias("qb"), cb, "id", "v", F.lit(-1e300).alias("least"))
+    first = materialize(best_of_blocks(longest.unionByName(head), k, width, turn))
+    if n <= HEAD:
+        return first
     low = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("low"))
-    goal = materialize(queries.join(low.withColumnRenamed("query_id", "id"), "id", "left").withColumn("least", F.coalesce("low", F.lit(-1e300))))
-    # the length from which on a candidate can reach a query's goal; a query block meets the blocks of which one query can use the longest
+    goal = queries.drop("rank").join(low.withColumnRenamed("query_id", "id"), "id", "left").withColumn("least", F.coalesce("low", F.lit(-1e300)))
+    # the length from which on a candidate can reach a query's goal
     reach = F.when(F.col("least") <= 0, 0.0).otherwise((F.col("least") - 1) / 1.000001 / F.greatest(F.sqrt("norm2"), F.lit(1e-9)))
-    goal = goal.withColumn("reach", reach)
-    lengths = rows.where("cb > 0").groupBy("cb").agg(F.sqrt(F.max("norm2")).alias("longest"))
-    of_block = goal.groupBy("qb").agg(F.min("reach").alias("least_reach"))
-    # lengths fall with cb, so each block of queries meets those from 1 to a last one
-    last = materialize(of_block.join(lengths, F.col("longest") >= F.col("least_reach")).groupBy("qb").agg(F.max("cb").alias("last")))
-    meets = materialize(last.select("qb", F.explode(F.sequence(F.lit(1).cast("long"), "last")).alias("cb")))
-    ask = goal.join(meets, "qb").join(lengths, "cb").where(F.col("longest") >= F.col("reach"))
-    cands = rows.where("cb > 0").join(meets, "cb").select("qb", "cb", "id", "v", none)
+    q_side, c_side = block_sizes(asked, n - HEAD, width, 4 * shuffle_parts(every.sparkSession))
+    goal = materialize(with_rank(goal.withColumn("reach", reach), ["reach", "id"]).withColumn("qb", block(F.col("rank"), q_side)))
+    others = rows.where(F.col("rank") >= HEAD).withColumn("cb", 1 + block(F.col("rank") - HEAD, c_side))
+    lengths = others.groupBy("cb").agg(F.sqrt(F.max("norm2")).alias("longest"))
+    meets = materialize(meetings(goal.groupBy("qb").agg(F.min("reach").alias("least_reach")), lengths))
+    ask = goal.join(meets, "qb").where(F.col("longest") >= F.col("reach"))
+    cands = others.join(meets.select("qb", "cb"), "cb").select("qb", "cb", "id", "v", none)
     later = best_of_blocks(ask.select(*names).unionByName(cands.select(*names)), k, width, turn)
     return first.unionByName(later)

@@ -165,6 +165,29 @@ def test_topk_takes_every_finite_vector(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), lambda i: i % 10 == 0).count() == 0
 
 
+@pytest.mark.parametrize("alike", [False, True])
+def test_topk_by_a_grid_of_blocks(spark, monkeypatch, alike):
+    """Small blocks, so that many meet: against all products, with lengths that differ and with lengths that are alike."""
+    for name, value in (("HEAD", 8), ("LEAST_SIDE", 4), ("MOST_SIDE", 16)):
+        monkeypatch.setattr(topk, name, value)
+    r = np.random.default_rng(5)
+    v = r.normal(size=(300, 20))
+    v = v / np.linalg.norm(v, axis=1, keepdims=True) * (1 if alike else r.exponential(size=(300, 1)))
+    v[40:60] = v[20:40]
+    e = np.floor(256 * v).astype("int64")
+    got = topk.top_k(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), lambda i: i % 5 == 0).collect()
+    want = {(q, n + 1, i, -s) for q in range(0, 300, 5) for n, (s, i) in enumerate(sorted((-int(e[q] @ e[i]), i) for i in range(300) if i != q)[:5])}
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
+
+
+def test_topk_grid_sends_vectors_seldom():
+    for queries, candidates, width, tasks in ((10_000, 50_000, 32, 32), (2_000_000, 100_000_000, 64, 4000), (3, 10**9, 4096, 10), (1, 1, 1, 1), (10**6, 10**6, 8, 10**4)):
+        q, c = topk.block_sizes(queries, candidates, width, tasks)
+        assert topk.LEAST_SIDE <= min(q, c) and max(q, c) <= max(topk.LEAST_SIDE, topk.SIDE_BYTES // (8 * width))
+        old = queries * -(-candidates // 4096) + candidates * -(-queries // 1024)
+        assert queries * -(-candidates // c) + candidates * -(-queries // q) <= 1.01 * old
+
+
 def test_viterbi_is_best_of_all(spark):
     """Every way to cut short words into pieces, or characters of the unknown score, is tried."""
     p = unigram.Pieces(tokenizer("piece_bpe_32k.model"))
