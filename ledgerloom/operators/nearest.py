@@ -39,12 +39,11 @@ def kept(raw: np.ndarray, turn: np.ndarray) -> int:
 class Rows:
     """Ledger rows of a block, in order of amount. A row is open to the transfers up to the one that takes it."""
 
-    def __init__(self, rows: pa.Table, named: bool):
-        self.usd, self.seq, self.taken = (rows[c].to_numpy() for c in ("usd", "seq", "taken_at"))
-        self.ids, self.known = rows["ledger_id"], {}
-        if not named:
-            names = rows["payee"].combine_chunks().dictionary_encode()
-            self.name, self.names = names.indices.to_numpy(), Names(names.dictionary.to_pylist())
+    def __init__(self, usd: np.ndarray, seq: np.ndarray, taken: np.ndarray, names: pa.Array | None):
+        self.usd, self.seq, self.taken, self.known = usd, seq, taken, {}
+        if names is not None:
+            coded = names.dictionary_encode()
+            self.name, self.names = coded.indices.to_numpy(), Names(coded.dictionary.to_pylist())
 
     def between(self, usd: float, gap: float) -> slice:
         return slice(int(self.usd.searchsorted(usd - gap, "left")), int(self.usd.searchsorted(usd + gap, "right")))
@@ -83,27 +82,42 @@ class Rows:
         return self.best(at, raw, usd) if raw.size and raw.max() >= 0 else None
 
     def best(self, at: slice, raw: np.ndarray, usd: float) -> tuple:
-        i = kept(raw, self.seq[at])
+        i = kept(raw, self.seq[at]) if raw.size > 1 else 0
         j = at.start + i
-        return int(self.seq[j]), self.ids[j].as_py(), float(raw[i]), float(abs(usd - self.usd[j]))
-
-
-def of_block(block: pa.Table) -> list[tuple]:
-    """(seq, side, l_seq, ledger_id, raw, gap) of the block's transfers."""
-    n = pc.sum(pc.equal(block["kind"], 0)).as_py() or 0
-    if n in (0, len(block)):
-        return []
-    named, side = block["salt"][0].as_py() < 0, block["side"][0].as_py()
-    rows, asked, out = Rows(block.slice(0, n), named), block.slice(n), []
-    if not named:
-        asked = asked.sort_by([("payee", "ascending"), ("payer", "ascending")])
-    for seq, usd, wide, score, payer, payee in zip(*(asked[c].to_pylist() for c in ("seq", "usd", "wide", "score", "payer", "payee")), strict=True):
-        if math.isnan(usd):
-            continue
-        got = rows.of_name(seq, usd, wide, score) if named else rows.of_any(seq, usd, wide, side, payer, payee)
-        if got:
-            out.append((seq, side, *got))
-    return out
+        return int(self.seq[j]), j, float(raw[i]), float(abs(usd - self.usd[j]))
+
+
+class Batch:
+    """Columns as numbers; strings are read only where they are needed."""
+
+    def __init__(self, b: pa.RecordBatch):
+        self.arrow = b
+        self.kind, self.usd, self.seq, self.score, self.wide = (b.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "usd", "seq", "score", "wide"))
+        self.taken = pc.fill_null(b.column("taken_at"), 0).to_numpy()
+
+    def block(self, i: int, j: int) -> list[tuple]:
+        """(seq, side, l_seq, ledger_id, raw, gap) of the transfers of the block in rows i to j."""
+        n = i + int(self.kind[i:j].searchsorted(1))
+        if n in (i, j):
+            return []
+        named, side, out = self.arrow.column("salt")[i].as_py() < 0, self.arrow.column("side")[i].as_py(), []
+        ids, payer, payee = (self.arrow.column(c) for c in ("ledger_id", "payer", "payee"))
+        rows = Rows(self.usd[i:n], self.seq[i:n], self.taken[i:n], None if named else payee.slice(i, n - i))
+        asked = [(k, "", "") for k in range(n, j)] if named else sorted(zip(range(n, j), payer.slice(n, j - n).to_pylist(), payee.slice(n, j - n).to_pylist(), strict=True), key=lambda x: x[1:])
+        for k, a, b in asked:
+            seq, usd, wide = int(self.seq[k]), float(self.usd[k]), float(self.wide[k])
+            if math.isnan(usd):
+                continue
+            got = rows.of_name(seq, usd, wide, float(self.score[k])) if named else rows.of_any(seq, usd, wide, side, a, b)
+            if got:
+                out.append((seq, side, got[0], ids[i + got[1]].as_py(), *got[2:]))
+        return out
+
+
+def joined(pieces: list[pa.RecordBatch]) -> list[tuple]:
+    """The same of a block in several batches."""
+    whole = pa.Table.from_batches(pieces).combine_chunks().to_batches()
+    return Batch(whole[0]).block(0, whole[0].num_rows)
 
 
 def nearest(rows: DataFrame, parts: int) -> DataFrame:
@@ -128,15 +142,15 @@ def nearest(rows: DataFrame, parts: int) -> DataFrame:
                 pieces.append(b.slice(0, until))
             if starts.size:
                 if pieces:
-                    out += of_block(pa.Table.from_batches(pieces))
-                kind, ends = b.column("kind").to_numpy(), starts[1:]
-                for i, j in zip(starts[:-1], ends, strict=True):
-                    if kind[i] == 0 and kind[j - 1] == 1:
-                        out += of_block(pa.Table.from_batches([b.slice(i, j - i)]))
+                    out += joined(pieces)
+                here = Batch(b)
+                both = (here.kind[starts[:-1]] == 0) & (here.kind[starts[1:] - 1] == 1)
+                for i, j in zip(starts[:-1][both].tolist(), starts[1:][both].tolist(), strict=True):
+                    out += here.block(i, j)
                 pieces = [b.slice(int(starts[-1]))]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SHAPE, strict=True)], schema=SHAPE)
-        out = of_block(pa.Table.from_batches(pieces)) if pieces else []
+        out = joined(pieces) if pieces else []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SHAPE, strict=True)], schema=SHAPE)
 
