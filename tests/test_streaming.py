@@ -285,3 +285,31 @@ def test_tables_of_a_database(spark):
     assert few.count() == t.where("seq < 100 and payer like 'B%'").count()
     t.limit(0).write.format("jdbc").options(url=url, dbtable="nothing", driver=driver).mode("overwrite").save()
     assert from_database(spark, url, "nothing", "seq", 4, driver=driver).count() == 0
+
+
+def test_exposure_takes_numbers_and_stays_exact(spark, tmp_path):
+    """A provider's messages are held as numbers, whatever their amounts: none, negative, with many digits."""
+    from decimal import Decimal
+
+    amounts = [None, -0.000000001, 1.1, 123456789012.123456, -987654321.5, 4e18, 1e-9, 0.1, -4e18, 999999999.999999999]
+    rows = [(i, f"2024-01-01 00:00:{i % 7:02d}", "post", "/transfers" if i % 3 else "/quotes", "f", amounts[i % 10]) for i in range(90)]
+    m = spark.createDataFrame(rows, "seq long, ts string, method string, path string, payee_fsp string, amount double").selectExpr("seq", "cast(ts as timestamp) as ts", "method", "path", "payee_fsp", "amount")
+    assert {t for c, t in feeds.exposure_numbers(m).dtypes if c not in ("payee_fsp", "ts")} == {"bigint", "int", "double", "boolean"}
+    got = collected(feeds.exposure(stream_of(spark, m, str(tmp_path / "in"))), spark, "numbers", tmp_path)
+    used, want = Decimal(0), {}
+    for i, _, _, path, _, amount in sorted(rows, key=lambda r: (r[1], r[0])):
+        if path == "/quotes":
+            want[i] = 1000.0 - float(used)
+        else:
+            used += Decimal(repr(amount or 0.0)).quantize(Decimal("1e-9"))
+    assert {r[0]: r[3] for r in got} == want
+
+
+def test_a_stream_of_a_large_table_has_files_that_one_task_can_sort(spark, monkeypatch):
+    from ledgerloom.plans import feeds_and_files
+
+    monkeypatch.setattr(feeds_and_files, "ROWS", 100, raising=False)
+    rows = feeds_and_files.arriving(spark.range(1000), "id")
+    from ledgerloom.steps import written
+
+    assert len(spark.read.parquet(written()[-1]).inputFiles()) >= 10 and rows.isStreaming
