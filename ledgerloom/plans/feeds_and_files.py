@@ -19,12 +19,16 @@ from ..streaming import feeds
 
 AS_OF = "2001-08-01"
 DAY = 24 * 3600
+#: Rows of a file that a stream reads.
+ROWS = 250_000
 LOG_TIME = "2024-01-20 12:00:00"
 
 
 def arriving(df: DataFrame, *order: str, files: int = 3) -> DataFrame:
-    """A stream of the rows, from files in the given order."""
+    """A stream of the rows, from files in the given order: that many, or more, so that a task never sorts much more than ROWS."""
     path = scratch(df.sparkSession)
+    if order:
+        files = max(files, -(-df.count() // ROWS))
     (df.repartitionByRange(files, *order).sortWithinPartitions(*order) if order else df).write.parquet(path)
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
