@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from .rivals import Names, stored
 
 #: What makes a block; ``salt`` is -1 for blocks of one name.
-BLOCK = ("side", "name", "level", "at", "salt")
+BLOCK = ("side", "name", "at", "salt")
 #: Scores closer than this can be stored as the same number.
 STEP = 0.011
 SHAPE = pa.schema([("seq", pa.int64()), ("side", pa.string()), ("l_seq", pa.int64()), ("ledger_id", pa.string()), ("raw", pa.float64()), ("gap", pa.float64())])

@@ -8,11 +8,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders written by ``materialize``, with the session that wrote them.
 _written: dict[str, SparkSession] = {}
+#: The folder of each table that ``materialize`` gave.
+_folder: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -40,7 +43,14 @@ def materialize(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     _written[path] = df.sparkSession
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folder[out] = path
+    return out
+
+
+def forget(*steps: DataFrame) -> None:
+    """Remove tables that ``materialize`` gave and no later step reads."""
+    release([_folder[x] for x in steps])
 
 
 def scratch(spark: SparkSession) -> str:
