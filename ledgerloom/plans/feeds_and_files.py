@@ -121,7 +121,7 @@ def t7_await(spark, sf_dir: str) -> DataFrame:
     asked = m.where("method = 'post' and path = '/quotes'").select(F.col("seq").alias("listener"), F.lit("put").alias("method"), F.concat(F.lit("/quotes/"), F.substring("transaction_id", 2, 20), F.lit("/error")).alias("path"), "ts")
     end = m.agg((F.max("ts") + F.expr("interval 3 days")).alias("ts")).select(F.lit(-1).cast("long").alias("seq"), "ts", F.lit("get").alias("method"), F.lit("/end").alias("path"))
     heard = m.drop("transaction_id").unionByName(end)
-    return drained(feeds.await_callbacks(arriving(asked, "ts", "listener"), arriving(heard, "ts", "seq"), DAY))
+    return drained(feeds.await_callbacks(arriving(asked, "ts", "listener"), arriving(heard, "ts", "seq"), DAY, methods=("put",)))
 
 
 def a3_daily_stream(spark, sf_dir: str) -> DataFrame:

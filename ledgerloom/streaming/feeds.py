@@ -230,11 +230,12 @@ def associate(messages: DataFrame, minutes: int = 10) -> DataFrame:
     return late.applyInPandasWithState(pop, "seq long, quote_seq long, error string", "seq long, us long", "append", "EventTimeTimeout")
 
 
-def await_callbacks(listeners: DataFrame, inbound: DataFrame, seconds: int = 15, late: str = "1 minute") -> DataFrame:
+def await_callbacks(listeners: DataFrame, inbound: DataFrame, seconds: int = 15, late: str = "1 minute", methods: tuple[str, ...] | None = None) -> DataFrame:
     """listeners (listener, method, path, ts) with the first inbound message (seq, method, path, ts) of the same method and path
     from then on, within the time, else null: a left outer join of two streams over an interval. A listener's row comes once the
     watermark (``late`` behind the newest of either stream) has passed its time; so do the rows that both sides keep. A null
-    method or path has no callback. Rows later than the watermark are dropped."""
+    method or path has no callback. Rows later than the watermark are dropped. ``methods``: all that listeners wait for, if known; messages of others
+    are then read and move the watermark, but aren't kept. A listener for another method gets null."""
     both = listeners.select("method", "path", F.col("ts").cast("timestamp").alias("ts"), F.col("listener").alias("id"), F.lit(0).alias("heard"))
     both = both.unionByName(inbound.select("method", "path", F.col("ts").cast("timestamp").alias("ts"), F.col("seq").alias("id"), F.lit(1).alias("heard")))
     both = both.withWatermark("ts", late)
@@ -244,7 +245,9 @@ def await_callbacks(listeners: DataFrame, inbound: DataFrame, seconds: int = 15,
         return both.where(F.when(F.col("ts").isNotNull(), F.col("heard")) == heard).select(*(F.col(c).alias(n) for c, n in names.items()))
 
     asked = side(0, method="method", path="path", ts="since", id="listener")
-    heard = side(1, method="_method", path="_path", ts="at", id="seq")
+    heard = side(1, method="_method", path="_path", ts="at", id="seq").where("_method is not null and _path is not null")
+    if methods is not None:
+        heard = heard.where(F.col("_method").isin(*methods))
     fits = (F.col("method") == F.col("_method")) & (F.col("path") == F.col("_path")) & (F.col("at") >= F.col("since")) & (F.col("at") <= F.col("since") + F.expr(f"interval {seconds} seconds"))
     first = F.min_by("seq", F.struct("at", "seq")).alias("callback_seq")
     return asked.join(heard, fits, "left_outer").groupBy("listener", "since").agg(first).select("listener", "callback_seq")

@@ -24,3 +24,21 @@ def test_steps_that_are_read_no_more_are_removed(spark):
     assert sorted(r.id for r in step.collect()) == list(range(5))
     steps.forget(step)
     assert folder not in steps.written() and not os.path.exists(folder.removeprefix("file:"))
+
+
+def test_messages_that_no_listener_waits_for_are_not_kept(spark, tmp_path):
+    """They move the watermark all the same: the last one, of another method, tells the second listener that nothing came."""
+    from ledgerloom.streaming import feeds
+
+    at = lambda s: f"timestamp_seconds({1_700_000_000 + s})"
+    spark.sql(f"select * from values (1L, 'put', '/a', {at(0)}), (2L, 'put', '/b', {at(1)}) as t(listener, method, path, ts)").write.parquet(f"{tmp_path}/asked")
+    spark.sql(f"select id as seq, if(id = 70, 'put', 'get') as method, '/a' as path, if(id = 99, {at(9000)}, timestamp_seconds(1700000000 + id % 9)) as ts from range(100)").write.parquet(f"{tmp_path}/heard")
+    kept = {}
+    for methods in (None, ("put",)):
+        asked, heard = (spark.readStream.schema(spark.read.parquet(f"{tmp_path}/{x}").schema).parquet(f"{tmp_path}/{x}") for x in ("asked", "heard"))
+        out = feeds.await_callbacks(asked, heard, methods=methods)
+        q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out{methods}").option("checkpointLocation", f"{tmp_path}/cp{methods}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out{methods}").collect()} == {(1, 70), (2, None)}
+        kept[methods] = sum(o.numRowsUpdated for p in q.recentProgress for o in p.stateOperators if "Join" in o.operatorName)
+    assert kept[("put",)] <= 3 < 50 < kept[None]
