@@ -12,6 +12,8 @@ import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Makes Spark remove the shuffle files of a query when it ends; else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders written by ``materialize``, with the session that wrote them.
 _written: dict[str, SparkSession] = {}
 #: The folder of each table that ``materialize`` gave.
@@ -39,9 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again. ``release`` removes what was written."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    """Write to the shared folder and read again. ``release`` removes what was written. Shuffle files of the step go at its end."""
+    spark = df.sparkSession
+    path, before = shared_dir(spark), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     _written[path] = df.sparkSession
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _folder[out] = path

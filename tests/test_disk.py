@@ -1,10 +1,50 @@
 """What the steps of the reconciliation write."""
 
+import gc
 import os
+import time
 
 from ledgerloom import steps
 from ledgerloom.operators import reconcile as rc
 
+from test_reconcile import numbered, tables
+
+
+def shuffle_files(spark) -> set[str]:
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_shuffle_files_of_a_step_go_at_its_end(spark):
+    """Not when the driver happens to collect its garbage: all steps of a reconciliation would be on disk at once."""
+    gc.disable()
+    try:
+        before, setting = shuffle_files(spark), spark.conf.get(steps.CLEANUP)
+        tx = numbered([(f"T{i}", f"R{i}" if i % 3 else None, "Ann", "Bob", 10.0 + i, "USD") for i in range(60)])
+        bank = numbered([(f"B{i}", f"R{i}", "Ann", 10.0 + i, "USD") for i in range(60)])
+        out = rc.reconcile(*tables(spark, tx, bank, []))
+        for _ in range(100):  # they are removed in the background
+            if not (left := shuffle_files(spark) - before):
+                break
+            time.sleep(0.1)
+        assert not left and spark.conf.get(steps.CLEANUP) == setting
+        assert out.where("match_confidence >= 90").count() == 40
+    finally:
+        gc.enable()
+
+
+def test_a_reference_with_one_transfer_comes_without_key(spark):
+    """By one shuffle: its ledger rows with the transfer, or the transfer alone; where there are several, each row by itself."""
+    tx = spark.createDataFrame([("a", 1, "p1", "q1", 5.0), ("b", 2, "p2", "q2", 6.0), ("c", 3, "p3", "q3", 7.0), ("c", 4, "p4", "q4", 8.0), (None, 5, "p5", "q5", 9.0)], "key string, seq long, payer string, payee string, usd double")
+    ledger = spark.createDataFrame([("a", "BANK", 1, "B1", "n1", 1.0), ("a", "ERP", 1, "E1", "n2", 2.0), ("c", "BANK", 2, "B2", "n3", 3.0), ("d", "ERP", 2, "E2", "n4", 4.0), (None, "ERP", 3, "E3", "n5", 5.0)], "key string, side string, l_seq long, ledger_id string, name string, l_usd double")
+    rows = rc.of_one_key(tx, ledger)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    none = (None,) * 5
+    assert {tuple(r) for r in rows.collect()} == {
+        (None, 1, "p1", "q1", 5.0, "BANK", 1, "B1", "n1", 1.0), (None, 1, "p1", "q1", 5.0, "ERP", 1, "E1", "n2", 2.0), (None, 2, "p2", "q2", 6.0, *none),
+        ("c", 3, "p3", "q3", 7.0, *none), ("c", 4, "p4", "q4", 8.0, *none), ("c", None, None, None, None, "BANK", 2, "B2", "n3", 3.0),
+    }
+
 
 def test_a_ledger_row_comes_to_the_search_once(spark, monkeypatch):
     """However different the amounts are that transfers may be off by; of blocks that none asks for, hardly a row comes."""
