@@ -10,10 +10,13 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Makes Spark remove the shuffle files of a query when it ends; else they stay until the driver happens to collect its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of the tables that a step reads for each of its slices, and the most slices, as each reads the tables anew.
+SLICE, SLICES = 16 << 20, 4
 #: Folders written by ``materialize``, with the session that wrote them.
 _written: dict[str, SparkSession] = {}
 #: The folder of each table that ``materialize`` gave.
@@ -40,21 +43,34 @@ def shared_dir(spark: SparkSession) -> str:
     return fs.makeQualified(path).toString()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again. ``release`` removes what was written. Shuffle files of the step go at its end."""
-    spark = df.sparkSession
+def materialize(*parts: DataFrame, compression: str | None = None) -> DataFrame:
+    """Write to the shared folder and read again. ``release`` removes what was written. Shuffle files of the step go at its end. Parts of
+    equal columns make one table: they are computed one after the other, so shuffle files of one at a time are on disk."""
+    spark = parts[0].sparkSession
     path, before = shared_dir(spark), spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        for df in parts:
+            df.write.mode("append").parquet(path, compression=compression)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    _written[path] = df.sparkSession
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(parts[0].schema).parquet(path)
     _folder[out] = path
     return out
 
 
+def slices_of(*steps: DataFrame) -> int:
+    """In how many slices to take what reads these tables of ``materialize``: of large tables, shuffle files of a quarter are on disk at a time."""
+    sizes = (fs.getContentSummary(at).getLength() for at, fs in (hadoop_path(x.sparkSession, _folder[x]) for x in steps))
+    return min(SLICES, 1 + sum(sizes) // SLICE)
+
+
+def slices(n: int, *by: str) -> list[Column]:
+    """Conditions of which each row meets one; rows of equal ``by`` meet the same."""
+    return [F.pmod(F.xxhash64(*by), F.lit(n)) == i for i in range(n)] if n > 1 else [F.lit(True)]
+
+
 def forget(*steps: DataFrame) -> None:
     """Remove tables that ``materialize`` gave and no later step reads."""
     release([_folder[x] for x in steps])

@@ -33,6 +33,42 @@ def test_shuffle_files_of_a_step_go_at_its_end(spark):
         gc.enable()
 
 
+def small(spark):
+    tx = numbered([(f"T{i}", f"R{i % 50}" if i % 3 else None, "Ann", "Bob", 10.0 + i, "USD") for i in range(60)])
+    bank = numbered([(f"B{i}", f"R{i}", "Ann" if i % 5 else "Bo", 10.0 + i, "USD") for i in range(55)])
+    return tables(spark, tx, bank, numbered([(f"E{i}", f"R{i}", "Bob", 9.0 + i, "USD") for i in range(20)]))
+
+
+def test_large_tables_are_taken_in_slices(spark, monkeypatch):
+    """Each reference is in one of them, so shuffle files of a part of the tables are on disk at a time. The results are the same."""
+    keys, real = [], rc.of_one_key
+
+    def seen(tx, ledger):
+        keys.append({r.key for r in tx.select("key").union(ledger.select("key")).where("key is not null").collect()})
+        return real(tx, ledger)
+
+    monkeypatch.setattr(rc, "of_one_key", seen)
+    whole = sorted(map(str, rc.reconcile(*small(spark)).collect()))
+    monkeypatch.setattr(steps, "SLICE", 1)
+    assert sorted(map(str, rc.reconcile(*small(spark)).collect())) == whole and len(whole) == 60
+    assert len(keys) == 1 + steps.SLICES and set().union(*keys[1:]) == keys[0] and sum(map(len, keys[1:])) == len(keys[0]) > 2 * max(map(len, keys[1:]))
+
+
+def test_a_step_of_several_parts_is_one_table(spark):
+    """Shuffle files of a part are gone before long, while the next is computed."""
+    gc.disable()
+    try:
+        before, parts = shuffle_files(spark), [spark.range(100).where(here).repartition(3, "id") for here in steps.slices(4, "id")]
+        assert sorted(r.id for r in steps.materialize(*parts, compression="zstd").collect()) == list(range(100))
+        for _ in range(100):
+            if not (left := shuffle_files(spark) - before):
+                break
+            time.sleep(0.1)
+        assert not left
+    finally:
+        gc.enable()
+
+
 def test_a_reference_with_one_transfer_comes_without_key(spark):
     """By one shuffle: its ledger rows with the transfer, or the transfer alone; where there are several, each row by itself."""
     tx = spark.createDataFrame([("a", 1, "p1", "q1", 5.0), ("b", 2, "p2", "q2", 6.0), ("c", 3, "p3", "q3", 7.0), ("c", 4, "p4", "q4", 8.0), (None, 5, "p5", "q5", 9.0)], "key string, seq long, payer string, payee string, usd double")
