@@ -2,7 +2,8 @@
 
 Pairs are never made, as their number grows with the product of both tables. A block is the ledger rows and the transfers of one amount bucket, of one name or,
 where names count as far as they are alike, of any. It comes as one sorted stream: its ledger rows by amount, kept as arrays of numbers, then its
-transfers, each of which looks at a slice around its amount and gives one row. What it gives of several blocks is its best of each.
+transfers, each of which looks at a slice around its amount and gives one row. What it gives of several blocks is its best of each. Where only amounts tell rows apart, the nearest
+row that is open to all of the block's transfers bounds the slice, and the slices of many transfers are scored at once.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .rivals import Names, stored
+from .rivals import PAIRS, Names, stored
 
 #: What makes a block; ``salt`` is -1 for blocks of one name.
 BLOCK = ("side", "name", "at", "salt")
+#: Rows of a slice up to which it is scored with those of other transfers.
+MANY = 1 << 12
 #: Scores closer than this can be stored as the same number.
 STEP = 0.011
 SHAPE = pa.schema([("seq", pa.int64()), ("side", pa.string()), ("l_seq", pa.int64()), ("ledger_id", pa.string()), ("raw", pa.float64()), ("gap", pa.float64())])
@@ -70,6 +73,36 @@ class Rows:
         at = self.between(usd, near + step if near + step < usd + 1e-5 else wide)
         return self.best(at, self.scores(at, seq, usd, score), usd)
 
+    def of_names(self, seq: np.ndarray, usd: np.ndarray, wide: np.ndarray, score: np.ndarray) -> list[tuple | None]:
+        """``of_name`` of many transfers."""
+        sure = np.concatenate([[-np.inf], self.usd[self.taken >= seq.max()], [np.inf]])
+        at, step = sure[1:-1].searchsorted(usd), (usd + 1e-5) * STEP / 40 * 1.000001
+        with np.errstate(invalid="ignore"):
+            gap = np.minimum(np.minimum(usd - sure[at], sure[at + 1] - usd), wide) + step
+            first, n = self.usd.searchsorted(usd - gap, "left"), self.usd.searchsorted(usd + gap, "right")
+            n -= first
+            quick = (gap < usd + 1e-5) & (n <= MANY)
+        out: list[tuple | None] = [None] * len(seq)
+        for k in np.flatnonzero(~quick & ~np.isnan(usd)).tolist():
+            out[k] = self.of_name(int(seq[k]), float(usd[k]), float(wide[k]), float(score[k]))
+        quick = np.flatnonzero(quick & (n > 0))
+        many = max(1, PAIRS // int(n[quick].max(initial=1)))
+        for k in (quick[i : i + many] for i in range(0, len(quick), many)):
+            starts = np.cumsum(n[k]) - n[k]
+            which = np.repeat(np.arange(len(k)), n[k])
+            rows, mine = np.arange(len(which)) + (first[k] - starts)[which], usd[k][which]
+            raw = score[k][which] * 0.4 + np.maximum(0.0, 100 - np.abs(mine - self.usd[rows]) / (mine + 1e-5) * 100) * 0.4 + 0.0
+            raw[self.taken[rows] < seq[k][which]] = -1.0
+            top = np.maximum.reduceat(raw, starts)
+            near = raw >= top[which] - STEP
+            alone, last = np.add.reduceat(near.astype(np.int64), starts) == 1, np.maximum.reduceat(np.where(near, rows, -1), starts)
+            for i in np.flatnonzero(top >= 0).tolist():
+                j, at = int(last[i]), slice(int(starts[i]), int(starts[i] + n[k[i]]))
+                if not alone[i]:
+                    j = int(rows[at.start + kept(raw[at], self.seq[rows[at]])])
+                out[k[i]] = (int(self.seq[j]), j, float(raw[at.start + j - rows[at.start]]), float(abs(usd[k[i]] - self.usd[j])))
+        return out
+
     def of_any(self, seq: int, usd: float, wide: float, side: str, payer: str, payee: str) -> tuple | None:
         who = (payer, payee) if side == "BANK" else (payee,)
         if who not in self.known:
@@ -103,12 +136,14 @@ class Batch:
         named, side, out = self.arrow.column("salt")[i].as_py() < 0, self.arrow.column("side")[i].as_py(), []
         ids, payer, payee = (self.arrow.column(c) for c in ("ledger_id", "payer", "payee"))
         rows = Rows(self.usd[i:n], self.seq[i:n], self.taken[i:n], None if named else payee.slice(i, n - i))
-        asked = [(k, "", "") for k in range(n, j)] if named else sorted(zip(range(n, j), payer.slice(n, j - n).to_pylist(), payee.slice(n, j - n).to_pylist(), strict=True), key=lambda x: x[1:])
-        for k, a, b in asked:
+        if named:
+            every = rows.of_names(self.seq[n:j], self.usd[n:j], self.wide[n:j], self.score[n:j])
+            return [(int(seq), side, got[0], ids[i + got[1]].as_py(), *got[2:]) for seq, got in zip(self.seq[n:j], every, strict=True) if got]
+        for k, a, b in sorted(zip(range(n, j), payer.slice(n, j - n).to_pylist(), payee.slice(n, j - n).to_pylist(), strict=True), key=lambda x: x[1:]):
             seq, usd, wide = int(self.seq[k]), float(self.usd[k]), float(self.wide[k])
             if math.isnan(usd):
                 continue
-            got = rows.of_name(seq, usd, wide, float(self.score[k])) if named else rows.of_any(seq, usd, wide, side, a, b)
+            got = rows.of_any(seq, usd, wide, side, a, b)
             if got:
                 out.append((seq, side, got[0], ids[i + got[1]].as_py(), *got[2:]))
         return out
