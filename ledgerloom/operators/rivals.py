@@ -25,7 +25,8 @@ KEPT, WORD = 64, 63
 SHARED = 1024
 #: Scores in memory at once, of at least one transfer.
 PAIRS = 1 << 18
-SHAPE = pa.schema([("seq", pa.int64()), ("side", pa.string()), ("l_seq", pa.int64()), ("ledger_id", pa.string()), ("raw", pa.float64()), ("gap", pa.float64())])
+ROW = [("l_seq", pa.int64()), ("ledger_id", pa.string()), ("raw", pa.float64()), ("gap", pa.float64())]
+SHAPE = pa.schema([("seq", pa.int64()), *((f"{side}_{c}", kind) for side in ("bank", "erp") for c, kind in ROW)])
 
 
 def stored(raw: float) -> float:
@@ -210,25 +211,25 @@ class Side:
         at, raw = (parts[0] if len(parts) == 1 else map(np.concatenate, zip(*parts, strict=True)))
         return at, np.where(at < 0, -1.0, raw)
 
-    def found(self, kind: str, seq: np.ndarray, usd: np.ndarray, at: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
-        has = np.flatnonzero(at >= 0)
-        place = at[has]
-        columns = [seq[has], pa.repeat(kind, len(has)), self.seq[place], self.ids.take(pa.array(place)), raw[has], np.abs(usd[has] - self.usd[place])]
-        return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=SHAPE)
+    def found(self, usd: np.ndarray, at: np.ndarray, raw: np.ndarray) -> list[pa.Array]:
+        """The columns of ROW, null where nothing is found."""
+        none = at < 0
+        return [pa.array(self.seq[at], mask=none), self.ids.take(pa.array(at, mask=none)), pa.array(raw, mask=none), pa.array(np.abs(usd - self.usd[at]), mask=none)]
 
 
-def settled(bank: Side | None, erp: Side | None, transfers: pa.RecordBatch) -> list[pa.RecordBatch]:
-    """The best bank row of the next transfers of a reference and, of those for which it doesn't reach 85, the best invoice."""
-    seq, usd, payer, payee = transfers.column("seq").to_numpy(), transfers.column("usd").to_numpy(), transfers.column("payer"), transfers.column("payee")
-    out = []
+def settled(bank: Side | None, erp: Side | None, transfers: pa.RecordBatch) -> pa.RecordBatch:
+    """The best bank row of each of the next transfers of a reference and, where it doesn't reach 85, the best invoice."""
+    usd, payer, payee = transfers.column("usd").to_numpy(), transfers.column("payer"), transfers.column("payee")
+    banks = erps = [pa.nulls(len(usd), kind) for _, kind in ROW]
+    left = np.arange(len(usd))
     if bank:
         at, raw = bank.best([payer, payee], usd)
-        out.append(bank.found("BANK", seq, usd, at, raw))
-        left = np.flatnonzero(~reaches(raw, 85))
-        seq, usd, payee = seq[left], usd[left], payee.take(pa.array(left))
-    if erp and seq.size:
-        out.append(erp.found("ERP", seq, usd, *erp.best([payee], usd)))
-    return out
+        banks, left = bank.found(usd, at, raw), np.flatnonzero(~reaches(raw, 85))
+    if erp and left.size:
+        at, raw = np.full(len(usd), -1), np.full(len(usd), -1.0)
+        at[left], raw[left] = erp.best([payee.take(pa.array(left))], usd[left])
+        erps = erp.found(usd, at, raw)
+    return pa.RecordBatch.from_arrays([transfers.column("seq"), *banks, *erps], schema=SHAPE)
 
 
 def swept(batches):
@@ -252,15 +253,17 @@ def swept(batches):
                 continue
             if sides is None:
                 sides, held = [Side(x, known) if x else None for x in held], ([], [])
-            out += settled(*sides, b.slice(i, j - i))
+            out.append(settled(*sides, b.slice(i, j - i)))
         if out:
             yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
 
 def sweep(rows: DataFrame, parts: int) -> DataFrame:
     """rows (key, kind: 0 ledger row, 1 transfer; seq, side, ledger_id, payer, payee, usd; a ledger row's name is ``payee``) to the
-    best bank row of each transfer and, where that doesn't reach 85, the best invoice, as (seq, side, l_seq, ledger_id, raw, gap)."""
+    best bank row of each transfer and, where that doesn't reach 85, the best invoice, as (seq, bank, erp), each (l_seq, ledger_id, raw, gap) or null."""
     order = ["key", "turn", "seq", "ledger_id"]
     turn = F.when(F.col("kind") == 1, 2).when(F.col("side") == "ERP", 1).otherwise(0)
     dealt = rows.select("key", turn.alias("turn"), "seq", "ledger_id", "payer", "payee", "usd").repartition(parts, "key").sortWithinPartitions(*order)
-    return dealt.mapInArrow(swept, "seq long, side string, l_seq long, ledger_id string, raw double, gap double")
+    row = lambda side: F.when(F.col(f"{side}_l_seq").isNotNull(), F.struct(*(F.col(f"{side}_{c}").alias(c) for c, _ in ROW))).alias(side)
+    flat = ", ".join(f"{side}_l_seq long, {side}_ledger_id string, {side}_raw double, {side}_gap double" for side in ("bank", "erp"))
+    return dealt.mapInArrow(swept, f"seq long, {flat}").select("seq", row("bank"), row("erp"))
